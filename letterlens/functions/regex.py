@@ -62,3 +62,12 @@ def _has_top_level_choice(pattern: str) -> bool:
     while re.search(r"\([^()]*\)", bare):
         bare = re.sub(r"\([^()]*\)", "", bare)
     return "|" in bare
+
+
+def compile_check(patterns: list[str]) -> None:
+    """Fail on the driver, with the pattern named, rather than inside a task."""
+    for pattern in patterns:
+        try:
+            re.compile(pattern)
+        except re.error as error:
+            raise ValueError(f"invalid search pattern {pattern!r}: {error}") from error

@@ -78,11 +78,3 @@ def immediate_reply(body: Column) -> Column:
 def body_lines(body: Column) -> Column:
     return F.split(body, "\n", -1)
 
-
-def compile_check(patterns: list[str]) -> None:
-    """Fail on the driver, with the pattern named, rather than inside a task."""
-    for pattern in patterns:
-        try:
-            re.compile(pattern)
-        except re.error as error:
-            raise ValueError(f"invalid search pattern {pattern!r}: {error}") from error
