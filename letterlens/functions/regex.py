@@ -1,6 +1,7 @@
 """Search patterns are written in Python's regex dialect; Spark matches with Java's."""
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -35,22 +36,33 @@ def java_pattern(pattern: str, case_sensitive: bool = False) -> str:
 def matches_any(text: Column, patterns: list[str], case_sensitive: bool = False) -> Column:
     """True where at least one pattern occurs. One alternation serves all patterns that can share
     one; those with group references or inline flags are tested on their own."""
-    shared, single = [], []
-    for pattern in patterns:
-        (single if re.search(r"\\[1-9]|\(\?[Pa-zA-Z(]", pattern) else shared).append(pattern)
-    tests = [text.rlike(java_pattern(p, case_sensitive)) for p in single]
-    if shared:
-        # A common \b is tested once per position instead of once per pattern.
-        at_word = [p[2:] for p in shared if p.startswith(r"\b") and not _has_top_level_choice(p)]
-        anywhere = [p for p in shared if not p.startswith(r"\b") or _has_top_level_choice(p)]
-        choices = [_choice(anywhere)] if anywhere else []
-        choices += [r"\b" + _choice(at_word)] if at_word else []
-        flags = FLAGS_EXACT_CASE if case_sensitive else FLAGS_IGNORE_CASE
-        tests.append(text.rlike(flags + "(?:" + "|".join(choices) + ")"))
-    found = F.lit(False)
-    for test in tests:
-        found = found | test
-    return found
+    flags = FLAGS_EXACT_CASE if case_sensitive else FLAGS_IGNORE_CASE
+    shared = [p for p in patterns if _shareable(p)]
+    tests = [text.rlike(flags + to_java(p)) for p in patterns if not _shareable(p)]
+    tests += [text.rlike(flags + any_of(shared))] if shared else []
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def any_of(patterns: list[str]) -> str:
+    """A Java regex that occurs wherever one of the patterns does; it may be empty, and then occurs
+    everywhere, if the patterns cannot share one. A common \\b is tested once per position instead
+    of once per pattern."""
+    if not all(_shareable(p) for p in patterns):
+        return ""
+    at_word = [p[2:] for p in patterns if _opens_at_word(p)]
+    anywhere = [p for p in patterns if not _opens_at_word(p)]
+    choices = [_choice(anywhere)] if anywhere else []
+    choices += [r"\b" + _choice(at_word)] if at_word else []
+    return "(?:" + "|".join(choices) + ")"
+
+
+def _shareable(pattern: str) -> bool:
+    return not re.search(r"\\[1-9]|\(\?[Pa-zA-Z(]", pattern)
+
+
+def _opens_at_word(pattern: str) -> bool:
+    # A quantifier right after \b would be left without its operand.
+    return bool(re.match(r"\\b(?![*+?{])", pattern)) and not _has_top_level_choice(pattern)
 
 
 def _choice(patterns: list[str]) -> str:

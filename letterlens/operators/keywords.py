@@ -4,7 +4,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from letterlens.functions.matching import first_hits, hit_keywords, hit_positions, keyword_hits
+from letterlens.functions.matching import (
+    PATTERNS_PER_GUARD, first_hits, hit_keywords, hit_positions, keyword_hits,
+)
 from letterlens.functions.regex import compile_check, matches_any
 from letterlens.functions.text import (
     body_lines, fold_czech, immediate_reply, is_quote_line, search_text,
@@ -40,8 +42,16 @@ def keyword_matches(df: DataFrame, text: str, patterns: list[str]) -> DataFrame:
 def all_hits(df: DataFrame, keys: list[str], text: str, patterns: list[str]) -> DataFrame:
     """Every hit in long form: keys, pattern_id, keyword, pos."""
     compile_check(patterns)
-    found = df.filter(matches_any(F.col(text), patterns))
-    return found.select(*keys, F.inline(keyword_hits(F.col(text), patterns)))
+    hits = keyword_hits(F.col(text), patterns)
+    if len(patterns) > PATTERNS_PER_GUARD:
+        hits = F.when(matches_any(F.col(text), patterns), hits)
+    return hit_rows(df.withColumn("hits", hits), keys)
+
+
+def hit_rows(found: DataFrame, keys: list[str]) -> DataFrame:
+    """The hits column in long form. The outer form keeps Spark from inferring a filter on the number
+    of hits, which would work them out a second time."""
+    return found.select(*keys, F.inline_outer("hits")).filter(F.col("keyword").isNotNull())
 
 
 def keyword_counts(hits: DataFrame) -> DataFrame:

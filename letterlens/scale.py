@@ -31,6 +31,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a small input that has fewer splits than there are cores. Large inputs
+    have more splits than cores and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def join_counted(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join a large frame with a materialized one that is normally small. It is broadcast only if
     its row count says so; otherwise Spark chooses the strategy."""

@@ -6,11 +6,11 @@ from letterlens.functions.html import visible_text
 from letterlens.functions.text import fold_czech, fold_european, immediate_reply, search_text, strip_tags
 from letterlens.operators.attachments import distinct_contents
 from letterlens.operators.keywords import (
-    all_hits, joined_keywords, joined_positions, keyword_counts, keyword_matches, pattern_table_hits, quote_lines,
+    all_hits, hit_rows, joined_keywords, joined_positions, keyword_counts, keyword_matches, pattern_table_hits, quote_lines,
 )
 from letterlens.operators.participants import addresses_in_text
 from letterlens.functions.regex import matches_any
-from workloads import table
+from workloads import table, text_table
 
 # (before the keyword, keyword) for the SQL side; RE2 has an ASCII-only word boundary.
 SQL_BOUNDARY = r"(^|[^\p{L}\p{N}_])"
@@ -72,7 +72,7 @@ DOC_HITS = hits_sql(f"SELECT doc_id, {czech('text')} AS t FROM documents", "doc_
 
 
 def folded_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", fold_czech(F.col("text")).alias("folded"))
+    return text_table(spark, folder, "documents", "doc_id", "text").select("doc_id", fold_czech(F.col("text")).alias("folded"))
 
 
 def fold_text(spark, folder):
@@ -80,15 +80,15 @@ def fold_text(spark, folder):
 
 
 def fold_text_eu(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", fold_european(F.col("text")).alias("folded"))
+    return text_table(spark, folder, "documents", "doc_id", "text").select("doc_id", fold_european(F.col("text")).alias("folded"))
 
 
 def html_strip(spark, folder):
-    return table(spark, folder, "pages").select("page_id", strip_tags(F.col("html")).alias("text"))
+    return text_table(spark, folder, "pages", "page_id", "html").select("page_id", strip_tags(F.col("html")).alias("text"))
 
 
 def html_visible(spark, folder):
-    return table(spark, folder, "pages").select("page_id", visible_text("html").alias("text"))
+    return text_table(spark, folder, "pages", "page_id", "html").select("page_id", visible_text("html").alias("text"))
 
 
 def keyword_flag(spark, folder):
@@ -106,7 +106,7 @@ def keyword_count_table(spark, folder):
 
 def keyword_first(spark, folder):
     found = keyword_matches(folded_documents(spark, folder), "folded", PATTERNS)
-    return found.select("doc_id", F.inline("hits"))
+    return hit_rows(found, ["doc_id"])
 
 
 def keyword_log(spark, folder):
@@ -129,8 +129,9 @@ def pattern_join(spark, folder):
 
 
 def address_extract(spark, folder):
-    docs = table(spark, folder, "documents")
-    return docs.select("doc_id", F.explode(addresses_in_text(F.col("text"))).alias("address"))
+    docs = text_table(spark, folder, "documents", "doc_id", "text")
+    listed = docs.select("doc_id", F.explode_outer(addresses_in_text(F.col("text"))).alias("address"))
+    return listed.filter(F.col("address").isNotNull())
 
 
 def search_text_of(spark, folder):
