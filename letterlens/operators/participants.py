@@ -31,10 +31,11 @@ def of_target(messages: DataFrame, target: str | None, from_only: bool = False)
 
 def address_roles(messages: DataFrame, keys: list[str]) -> DataFrame:
     """One row per message, role and address."""
-    lists = [
-        F.transform(F.col(f"{role}_addrs"), lambda a, role=role: F.struct(F.lit(role).alias("role"), a.alias("address")))
-        for role in ROLES
-    ]
+
+    def listed(role: str) -> Column:
+        return F.transform(F.col(f"{role}_addrs"), lambda a: F.struct(F.lit(role).alias("role"), a.alias("address")))
+
+    lists = [listed(role) for role in ROLES]
     return messages.select(*keys, F.inline(F.flatten(F.array(*lists))))
 
 
