@@ -65,8 +65,19 @@ def _opens_at_word(pattern: str) -> bool:
     return bool(re.match(r"\\b(?![*+?{])", pattern)) and not _has_top_level_choice(pattern)
 
 
-def _choice(patterns: list[str]) -> str:
-    return "(?:" + "|".join(f"(?:{to_java(p)})" for p in patterns) + ")"
+def _choice(patterns: list[str], depth: int = 3) -> str:
+    """An alternation in which patterns with the same opening letters share them, so that a text
+    position is tested against few branches even for a long list."""
+    sharing, branches = {}, []
+    for pattern in patterns:
+        opens_plain = re.match(r"[a-z0-9](?![*+?{])", pattern) and not _has_top_level_choice(pattern)
+        if depth and opens_plain:
+            sharing.setdefault(pattern[0], []).append(pattern[1:])
+        else:
+            branches.append(f"(?:{to_java(pattern)})")
+    for letter, rests in sharing.items():
+        branches.append(letter + (_choice(rests, depth - 1) if len(rests) > 1 else f"(?:{to_java(rests[0])})"))
+    return "(?:" + "|".join(branches) + ")"
 
 
 def _has_top_level_choice(pattern: str) -> bool:

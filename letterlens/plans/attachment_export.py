@@ -21,7 +21,7 @@ def find_attachments(
 ) -> DataFrame:
     """Messages with matching attachments and a message key; payload bytes only on request."""
     sound, _ = split_failures(first_messages(messages, limit), "header_error")
-    found = with_attachments(with_parts(sound, with_payload=with_payload), pattern, **options)
+    found = with_attachments(with_parts(sound, with_text=False, with_payload=with_payload), pattern, **options)
     return found.withColumn("uuid", message_key(F.col("archive"), F.col("msg_index")))
 
 

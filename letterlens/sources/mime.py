@@ -1,9 +1,10 @@
 """The one place where message bytes become columns.
 
 Two Arrow jobs around the standard library's email package: one over the header block only, one
-over the whole message. Filter by headers before the body pass; a filter on body text stays above
-it, so that no message is parsed once for the filter and again for the result. Spark drops the body
-pass when no part column is used.
+over the whole message. Both are declared non-deterministic, which makes them barriers: a filter on
+what they yield stays above them, so that no message is parsed once for the filter and again for the
+result. Filter by keys before the header pass and by headers before the body pass. Spark still drops
+a pass none of whose columns are used.
 """
 
 import datetime as dt
@@ -110,10 +111,10 @@ def part_name(part) -> str | None:
     return decoded(name) if name else None
 
 
-def body_row(raw: bytes, with_payload: bool, charset_order: tuple[str, ...]) -> dict:
+def body_row(raw: bytes, with_text: bool, with_payload: bool, charset_order: tuple[str, ...]) -> dict:
     message = message_from_bytes(raw)
     multipart = message.is_multipart()
-    parts, error, readable, nameable = [], None, True, True
+    parts, error, readable, nameable = [], None, with_text, True
     for ordinal, part in enumerate(message.walk()):
         row = {"ord": ordinal, "content_type": _text(part.get_content_type())}
         row["main_type"] = _text(part.get_content_maintype())
@@ -149,9 +150,13 @@ BODY_ARROW = to_arrow_type(BODY)
 PLACED = T.StructType([T.StructField("block_pos", T.LongType()), *HEADERS.fields])
 
 
-@F.arrow_udf(HEADERS)
-def _headers(block: pa.Array) -> pa.Array:
-    return pa.array([header_row(b.as_py() or b"") for b in block], HEADERS_ARROW)
+@cache
+def _headers():
+    @F.arrow_udf(HEADERS)
+    def headers(block: pa.Array) -> pa.Array:
+        return pa.array([header_row(b.as_py() or b"") for b in block], HEADERS_ARROW)
+
+    return headers.asNondeterministic()
 
 
 @cache
@@ -180,10 +185,10 @@ def _placed_headers():
 
 
 @cache
-def _body(with_payload: bool, charset_order: tuple[str, ...]):
+def _body(with_text: bool, with_payload: bool, charset_order: tuple[str, ...]):
     @F.arrow_udf(BODY)
     def body(raw: pa.Array) -> pa.Array:
-        return pa.array([body_row(r.as_py() or b"", with_payload, charset_order) for r in raw], BODY_ARROW)
+        return pa.array([body_row(r.as_py() or b"", with_text, with_payload, charset_order) for r in raw], BODY_ARROW)
 
     return body.asNondeterministic()
 
@@ -196,7 +201,7 @@ def header_block(raw: Column) -> Column:
 
 def with_headers(messages: DataFrame) -> DataFrame:
     """Add the header columns to a frame that has a raw column."""
-    parsed = messages.withColumn("_h", _headers(header_block(F.col("raw"))))
+    parsed = messages.withColumn("_h", _headers()(header_block(F.col("raw"))))
     return parsed.select(*messages.columns, "_h.*")
 
 
@@ -208,10 +213,12 @@ def with_placed_headers(records: DataFrame) -> DataFrame:
 
 
 def with_parts(
-    messages: DataFrame, with_payload: bool = False, charset_order: tuple[str, ...] = CHARSET_ORDER
+    messages: DataFrame, with_text: bool = True, with_payload: bool = False,
+    charset_order: tuple[str, ...] = CHARSET_ORDER,
 ) -> DataFrame:
-    """Add is_multipart, parts and parse_error. Payload bytes are left out unless asked for."""
-    parsed = messages.withColumn("_b", _body(with_payload, charset_order)("raw"))
+    """Add is_multipart, parts and parse_error. Payload bytes are left out unless asked for; the
+    search for attachments does without text."""
+    parsed = messages.withColumn("_b", _body(with_text, with_payload, charset_order)("raw"))
     return parsed.select(*messages.columns, "_b.*")
 
 

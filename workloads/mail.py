@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from letterlens.scale import scratch_path
 from letterlens.sinks.messages import write_archive
 from letterlens.sources.mime import with_headers
-from workloads import table
+from workloads import text_table
 
 DAYS = 3650
 
@@ -69,7 +69,7 @@ def conversation_raw(body: Column) -> Column:
 
 def conversation_mail(spark: SparkSession, folder: str) -> DataFrame:
     """One message per turn: archive is the thread, msg_index the turn."""
-    rows = table(spark, folder, "conversations")
+    rows = text_table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
     return rows.select(
         F.col("conv_id").cast("string").alias("archive"), F.col("turn").alias("msg_index"),
         "conv_id", "turn", "role", conversation_raw(F.col("text")).alias("raw"),
@@ -89,7 +89,7 @@ def conversation_archive(spark: SparkSession, folder: str) -> str:
 
 def document_mail(spark: SparkSession, folder: str) -> DataFrame:
     """One message per document; archive is the source, msg_index the document."""
-    rows = table(spark, folder, "documents")
+    rows = text_table(spark, folder, "documents", "doc_id", "text", "lang", "source")
     address = F.concat(F.col("source"), F.lit("@docs.example.com"))
     message_id = F.format_string("<d%d@example.com>", "doc_id")
     head = headers(
@@ -106,7 +106,7 @@ def document_mail(spark: SparkSession, folder: str) -> DataFrame:
 def page_mail(spark: SparkSession, folder: str) -> DataFrame:
     """One multipart message per page: a text part, and the page as an attachment named by the end of
     its address. archive is the part of the address up to the host."""
-    rows = table(spark, folder, "pages").withColumn("page_name", F.element_at(F.split("url", "/"), -1))
+    rows = text_table(spark, folder, "pages", "page_id", "url", "html").withColumn("page_name", F.element_at(F.split("url", "/"), -1))
     head = headers(
         F.lit("crawler@web.example.com"), F.lit("archive@web.example.com"), F.col("url"),
         mail_date(F.col("page_id"), F.lit(0)), F.format_string("<p%d@example.com>", "page_id"),
