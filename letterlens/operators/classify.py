@@ -42,7 +42,8 @@ PROMPT_FORMAT = (
 
 
 def user_message(criteria: str) -> Column:
-    return F.format_string(PROMPT_FORMAT, F.lit(criteria), "sender", "date", "subject", "body")
+    fields = [F.coalesce(F.col(c), F.lit("")) for c in ("sender", "date", "subject", "body")]
+    return F.format_string(PROMPT_FORMAT, F.lit(criteria), *fields)
 
 
 ATTEMPT = T.StructType(
@@ -167,7 +168,8 @@ def routed(found: DataFrame, finals: DataFrame) -> DataFrame:
         F.when(ok, F.lit("")).otherwise(F.coalesce("read_error", "problem", F.lit("No response"))).alias("error"),
         F.coalesce("attempts", zero).alias("attempts"),
         F.coalesce(
-            F.when(ok, confidence_name(F.col("confidence"), F.col("file_name"))), failed_name
+            F.when(ok & F.col("confidence").isNotNull(), confidence_name(F.col("confidence"), F.col("file_name"))),
+            failed_name,
         ).alias("output_name"),
     )
 
