@@ -82,6 +82,11 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
+def write_json(log: DataFrame, path: str) -> None:
+    """A log as JSON lines; lists stay lists."""
+    log.write.mode("append").json(path)
+
+
 def keyword_columns(matches: DataFrame) -> DataFrame:
     """Joined keyword and position text, for consumers of the flat log."""
     return matches.withColumns(

@@ -1,11 +1,15 @@
 """New archive files as a stream: the same transforms as in batch, resumed from a checkpoint."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from letterlens.functions.names import message_file_name
 from letterlens.operators.keywords import keyword_matches, searchable
 from letterlens.operators.participants import of_target
+from letterlens.operators.naming import unique_names
 from letterlens.plans.extraction import Search
+from letterlens.scale import materialize
 from letterlens.sources.archives import scan_records
 from letterlens.sources.mime import with_parts, with_placed_headers
 
@@ -18,10 +22,10 @@ def stream_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_matches(messages: DataFrame, search: Search) -> DataFrame:
-    """Stateless search. Names and dense indexes need the whole table: see index_messages and
-    unique_names for the stored result."""
+    """Stateless search; base_name is the file name before collisions are settled."""
+    base = message_file_name(F.col("date_wall"), F.col("from_addrs"), F.col("message_id"), F.col("subject"))
     texts = searchable(with_parts(of_target(messages, search.target, search.from_only)), search.reply_only)
-    return keyword_matches(texts, "folded", search.patterns).drop("folded")
+    return keyword_matches(texts, "folded", search.patterns).drop("folded").withColumn("base_name", base)
 
 
 def start_intake(matches: DataFrame, table: str, checkpoint: str, continuous: bool = False) -> StreamingQuery:
@@ -29,3 +33,24 @@ def start_intake(matches: DataFrame, table: str, checkpoint: str, continuous: bo
     writer = matches.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": "1 minute"} if continuous else {"availableNow": True}
     return writer.outputMode("append").trigger(**trigger).start()
+
+
+def start_named_intake(matches: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Append matches with names that collide neither within a batch nor with earlier batches. A batch
+    that is run again after a failure replaces its own folder."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        stored = materialize(batch, "batch")
+        names = unique_names(stored, KEYS, "base_name", _names_before(batch.sparkSession, table, batch_id))
+        named = names.select(*KEYS, F.col("file_name").alias("filename"), "collision")
+        stored.join(named, KEYS).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    writer = matches.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def _names_before(spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
+    try:
+        return spark.read.parquet(table).filter(F.col("batch") < batch_id).select("filename")
+    except AnalysisException:
+        return None

@@ -3,14 +3,15 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from letterlens.functions.names import message_file_name
-from letterlens.functions.text import strip_tags
+from letterlens.functions.text import fold_czech, strip_tags
 from letterlens.operators.attachments import (
     attachment_rows, attachment_summary, named_attachments, of_sizes, of_types,
 )
 from letterlens.operators.counters import attachment_counters, search_counters
 from letterlens.operators.keywords import all_hits
-from letterlens.operators.naming import unique_names
+from letterlens.operators.naming import failure_names, unique_names
 from letterlens.operators.participants import address_roles, of_any_target, of_target
+from letterlens.operators.selection import also_in, of_dates
 from letterlens.plans.attachment_export import find_attachments
 from letterlens.plans.extraction import Search, find_matches
 from letterlens.plans.repack import repack
@@ -22,8 +23,10 @@ from letterlens.sources.messages import read_message_files
 from letterlens.sources.mime import body_text, with_headers, with_parts
 from letterlens.streaming.intake import start_intake, stream_matches, stream_messages
 from workloads import table
-from workloads.mail import conversation_archive, conversation_mail, page_mail, parsed_conversations
-from workloads.texts import PATTERNS, czech, hits_sql, tags_cut
+from workloads.mail import (
+    conversation_archive, conversation_mail, conversation_raw, page_mail, parsed_conversations,
+)
+from workloads.texts import PATTERNS, REPLIED_SQL, czech, hits_sql, replied, stripped, tags_cut
 
 PAGE_NAMES = r"\.html$|^4"
 TURN_FROM_ID = r"\.t([0-9]+)@"
@@ -126,6 +129,29 @@ def extraction(spark, folder):
     return rows.select("conv_id", "turn", F.inline_outer("hits"))
 
 
+def reply_only(spark, folder):
+    """The search in the text above the quoted turn only."""
+    roles = table(spark, folder, "conversations").select("conv_id", "turn", "role")
+    rows = replied(spark, folder).join(roles, ["conv_id", "turn"])
+    mail = rows.select(
+        "conv_id", "turn", F.col("conv_id").cast("string").alias("archive"), F.col("turn").alias("msg_index"),
+        conversation_raw(F.col("body")).alias("raw"),
+    )
+    found = find_matches(with_headers(mail), Search(PATTERNS, reply_only=True))
+    return found.select("conv_id", "turn", F.inline_outer("hits"))
+
+
+def failed_names(spark, folder):
+    """Numbered names for the system turns, taken as the failed messages."""
+    failed = table(spark, folder, "conversations").filter("role = 'system'")
+    return failure_names(failed, ["conv_id", "turn"])
+
+
+def date_range(spark, folder):
+    mail = of_dates(parsed_conversations(spark, folder), "2024-01-15", "2024-02-20")
+    return mail.select("conv_id", "turn")
+
+
 def run_counters(spark, folder):
     mail = parsed_conversations(spark, folder)
     return search_counters(mail, find_matches(mail, Search(PATTERNS)))
@@ -177,12 +203,10 @@ def size_filter(spark, folder):
 def content_and_attachment(spark, folder):
     """Pages whose text holds a keyword and whose name matches."""
     pages = table(spark, folder, "pages")
-    from letterlens.functions.text import fold_czech
-
     texts = pages.select("page_id", fold_czech(strip_tags(F.col("html"))).alias("folded"))
     hits = all_hits(texts, ["page_id"], "folded", [r"licen[cs]e", r"[0-9]{3,}"]).select("page_id")
     named = page_attachments(spark, folder).select(F.col("msg_index").alias("page_id"))
-    return named.join(hits, "page_id", "left_semi")
+    return also_in(named, hits, ["page_id"])
 
 
 QUERIES = {
@@ -197,6 +221,9 @@ QUERIES = {
     "collisions": collisions,
     "first_n": first_n,
     "extraction": extraction,
+    "reply_only": reply_only,
+    "failure_names": failed_names,
+    "date_range": date_range,
     "run_counters": run_counters,
     "stream_intake": stream_intake,
     "attachment_hits": attachment_hits,
@@ -226,6 +253,14 @@ MAIL_HITS = hits_sql(MAIL_TEXT, "conv_id, turn") + (
     "SELECT conv_id, turn, pattern_id, keyword, pos FROM firsts WHERE nth = 1"
 )
 
+BODY, REPLY = "text || tail", stripped("text")
+REPLY_TEXT = f"""
+SELECT conv_id, turn, {czech(f"({SUBJECT}) || CASE WHEN length({stripped('reply')}) < 10 THEN '' ELSE ' ' || reply END")} AS t
+FROM (SELECT conv_id, turn, CASE WHEN length({stripped(BODY)}) < 10 THEN {BODY}
+        WHEN tail <> '' THEN CASE WHEN {REPLY} = '' THEN {BODY} ELSE {REPLY} END
+        WHEN length({REPLY}) < 20 THEN text ELSE {REPLY} END AS reply
+      FROM ({REPLIED_SQL}))"""
+
 SQL = {
     "mail_round_trip": ROUND_TRIP,
     "message_files": ROUND_TRIP,
@@ -248,6 +283,15 @@ SELECT conv_id, turn, role || CASE WHEN k = 0 THEN '' WHEN k < 1000 THEN '_' ||
   ELSE '_' || k END || '.eml' AS file_name, k > 0 AS collision FROM n""",
     "first_n": "SELECT conv_id, turn FROM conversations WHERE turn < 2",
     "extraction": MAIL_HITS,
+    "reply_only": hits_sql(REPLY_TEXT, "conv_id, turn") + (
+        "SELECT conv_id, turn, pattern_id, keyword, pos FROM firsts WHERE nth = 1"
+    ),
+    "failure_names": """
+SELECT conv_id, turn, 'failed_email_' || CASE WHEN n < 10000 THEN lpad(n::VARCHAR, 4, '0') ELSE n::VARCHAR END || '.eml'
+  AS file_name FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations
+  WHERE role = 'system')""",
+    "date_range": f"""
+SELECT conv_id, turn FROM conversations WHERE {SENT}::DATE BETWEEN DATE '2024-01-15' AND DATE '2024-02-20'""",
     "run_counters": hits_sql(MAIL_TEXT, "conv_id, turn") + """
 SELECT (SELECT count(*) FROM conversations) AS processed,
        (SELECT count(*) FROM (SELECT DISTINCT conv_id, turn FROM hits)) AS matched, 0::BIGINT AS failed""",

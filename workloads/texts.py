@@ -10,6 +10,7 @@ from letterlens.operators.keywords import (
 )
 from letterlens.operators.participants import addresses_in_text
 from letterlens.functions.regex import matches_any
+from letterlens.operators.selection import unprocessed
 from workloads import table, text_table
 
 # (before the keyword, keyword) for the SQL side; RE2 has an ASCII-only word boundary.
@@ -184,7 +185,7 @@ def dedupe(spark, folder):
 def resume_anti(spark, folder):
     """Documents that an earlier run has not seen."""
     docs, seen = table(spark, folder, "documents"), table(spark, folder, "labels")
-    return docs.join(seen.select("doc_id"), "doc_id", "left_anti").select("doc_id", "source")
+    return unprocessed(docs.select("doc_id", "source"), seen, ["doc_id"])
 
 
 QUERIES = {
