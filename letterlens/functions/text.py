@@ -8,6 +8,7 @@ from letterlens.fixed_values import (
     CZECH_ASCII, CZECH_LETTERS, EUROPEAN_ASCII, EUROPEAN_LETTERS, MIN_BODY_LENGTH, MIN_REPLY_LENGTH,
     QUOTE_LINE_PATTERNS, WHITESPACE,
 )
+from letterlens.functions.arrays import let
 from letterlens.functions.regex import FLAGS_IGNORE_CASE, SPACE
 
 
@@ -44,8 +45,10 @@ def subject_or_default(subject: Column) -> Column:
 def search_text(subject: Column, body: Column) -> Column:
     """Subject and body joined by a space; the subject alone when the body is next to empty."""
     subject = subject_or_default(subject)
-    body = F.coalesce(body, F.lit(""))
-    return F.when(F.length(strip(body)) < MIN_BODY_LENGTH, subject).otherwise(F.concat(subject, F.lit(" "), body))
+    return let(
+        F.coalesce(body, F.lit("")),
+        lambda b: F.when(F.length(strip(b)) < MIN_BODY_LENGTH, subject).otherwise(F.concat(subject, F.lit(" "), b)),
+    )
 
 
 def _within_line(pattern: str) -> str:
@@ -66,13 +69,19 @@ def is_quote_line(line: Column) -> Column:
 
 def immediate_reply(body: Column) -> Column:
     """The text above the first quote line; see the README for the length rules."""
-    head = F.regexp_replace(body, QUOTED_TAIL, "")
-    reply = strip(head)
-    quoted = F.length(head) < F.length(body)
-    kept = F.when(quoted, F.when(reply == "", body).otherwise(reply)).otherwise(
-        F.when(F.length(reply) < MIN_REPLY_LENGTH, body).otherwise(reply)
-    )
-    return F.when(F.length(strip(body)) < MIN_BODY_LENGTH, body).otherwise(kept)
+
+    def chosen(body: Column, head: Column, reply: Column) -> Column:
+        quoted = F.length(head) < F.length(body)
+        kept = F.when(quoted, F.when(reply == "", body).otherwise(reply)).otherwise(
+            F.when(F.length(reply) < MIN_REPLY_LENGTH, body).otherwise(reply)
+        )
+        return F.when(F.length(strip(body)) < MIN_BODY_LENGTH, body).otherwise(kept)
+
+    def above_quotes(body: Column) -> Column:
+        head = F.regexp_replace(body, QUOTED_TAIL, "")
+        return let(head, lambda h: let(strip(h), lambda reply: chosen(body, h, reply)))
+
+    return let(body, above_quotes)
 
 
 def body_lines(body: Column) -> Column:

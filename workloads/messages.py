@@ -131,9 +131,7 @@ def extraction(spark, folder):
 
 def reply_only(spark, folder):
     """The search in the text above the quoted turn only."""
-    roles = table(spark, folder, "conversations").select("conv_id", "turn", "role")
-    rows = replied(spark, folder).join(roles, ["conv_id", "turn"])
-    mail = rows.select(
+    mail = replied(spark, folder).select(
         "conv_id", "turn", F.col("conv_id").cast("string").alias("archive"), F.col("turn").alias("msg_index"),
         conversation_raw(F.col("body")).alias("raw"),
     )

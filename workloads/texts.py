@@ -151,7 +151,7 @@ def quote_line_table(spark, folder):
 
 def replied(spark: SparkSession, folder: str) -> DataFrame:
     """Turns with the turn before quoted below, by one of three markers."""
-    turns = table(spark, folder, "conversations")
+    turns = text_table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("quoted"))
     marker = (
         F.when(F.col("role") == "user", F.lit("On Mon, Jan 15, 2024 at 10:30 AM A <a@example.com> wrote:\n"))
@@ -160,7 +160,7 @@ def replied(spark: SparkSession, folder: str) -> DataFrame:
     )
     quote = F.concat(F.lit("\n\n"), marker, F.lit("> "), F.replace(F.col("quoted"), F.lit("\n"), F.lit("\n> ")))
     return turns.join(before, ["conv_id", "turn"], "left").select(
-        "conv_id", "turn", F.concat("text", F.coalesce(quote, F.lit(""))).alias("body")
+        "conv_id", "turn", "role", F.concat("text", F.coalesce(quote, F.lit(""))).alias("body")
     )
 
 
