@@ -24,7 +24,8 @@ def message_id_token(message_id: Column) -> Column:
 
 
 def date_token(date_wall: Column) -> Column:
-    return F.coalesce(F.date_format(date_wall, "yyyyMMdd_HHmmss"), F.lit("00000000_000000"))
+    # Made from the written digits: formatting would pass through the session's time zone.
+    return F.coalesce(F.translate(date_wall.cast("string"), " -:", "_"), F.lit("00000000_000000"))
 
 
 def message_file_name(date_wall: Column, from_addrs: Column, message_id: Column, subject: Column) -> Column:
