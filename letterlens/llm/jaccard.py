@@ -69,16 +69,15 @@ def frequency_sketch(texts: DataFrame, words: int) -> np.ndarray:
 
 
 def shingle_index(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """(uid, id, n, digest, leaders, prefix) per document, stored. uid numbers the rows; digest names the set; leaders
-    holds a min-hash with a size band for each leader key; prefix holds the shingles of the index prefix, rarest first."""
-    slots = frequency_sketch(docs.select(text), words)
-    mean = float(slots.mean())
-    levels = np.maximum(0, np.log2((slots + 1) / (4 * mean + 8))).astype(np.uint8)
+    """(uid, id, n, digest, leaders, prefix, parities) per document, stored. uid numbers the rows; digest names the set;
+    leaders holds a min-hash with a size band for each leader key; prefix holds the shingles of the index prefix, rarest
+    first; parities holds for each of 1,024 hash slots whether an odd number of shingles falls into it."""
+    levels = frequency_sketch(docs.select(text), words)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for value in _binary(batch.column(1)):
                 found = shingle_set(value, words, cache)
                 n = len(found)
@@ -88,20 +87,27 @@ def shingle_index(docs: DataFrame, key: str, text: str, words: int, percent: int
                 length = n - -(-percent * n // 100) + 1
                 level = levels[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 out[3].append(found[np.argsort(level, kind="stable")[:length]].view(np.int64) if n else found.view(np.int64))
+                out[4].append(_parities(found))
             yield pa.record_batch(
                 [
                     batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()),
                     pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.int64())),
+                    pa.array(out[4], pa.list_(pa.int64())),
                 ],
-                ["id", "n", "digest", "leaders", "prefix"],
+                ["id", "n", "digest", "leaders", "prefix", "parities"],
             )
 
     rows = docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(
-        index, "id long, n long, digest binary, leaders array<long>, prefix array<long>"
+        index, "id long, n long, digest binary, leaders array<long>, prefix array<long>, parities array<long>"
     )
     return materialize(rows.withColumn("uid", F.monotonically_increasing_id()), "shingles")
 
 
+def _parities(found: np.ndarray) -> np.ndarray:
+    bits = np.bincount((found & np.uint64(1023)).astype(np.int64), minlength=1024).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _leader_key(found: np.ndarray, k: int) -> int:
     multiplier, shift = LEADER_KEYS[k]
     lowest = int((found * np.uint64(multiplier)).min())
@@ -125,10 +131,15 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     )
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the similarity. Only texts of documents in a pair are read."""
+def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets reach the similarity. Sets differ in at least as many shingles as their
+    parities differ in slots; pairs with too many go first. Only texts of documents in a remaining pair are read."""
+    side = lambda name: named.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("parities").alias(f"parities_{name}"))
+    differing = F.aggregate(F.zip_with("parities_a", "parities_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    close = (100 + percent) * differing <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b"), "close")
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(nodes.join(ends, "node", "left_semi").select("node", "digest", "id"), "wanted")
+    wanted = materialize(named.join(ends, "node", "left_semi").select("node", "digest", "id"), "wanted")
     known = wanted.select(F.col("id").alias("wanted_id")).distinct()
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(
         known, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi"
@@ -242,9 +253,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(key).alias("row_id"), F.col(text).alias("row_text"))
     rows = shingle_index(docs, "row_id", "row_text", words, percent)
     names = rows.where("n > 0").groupBy("digest").agg(F.min("uid").alias("node"), F.min("id").alias("id"))
-    named = materialize(names, "nodes")
-    nodes = rows.join(named.select(F.col("node").alias("uid")), "uid", "left_semi").withColumnRenamed("uid", "node")
-    nodes = materialize(nodes.select("node", "n", "leaders", "prefix"), "nodes")
+    first = rows.drop("id", "digest").withColumnRenamed("uid", "node")
+    named = materialize(first.join(names, "node"), "nodes")
+    nodes = named.select("node", "n", "leaders", "prefix")
     check = (named, docs, "row_id", "row_text", words, percent)
     stars = materialize(leader_pairs(nodes, percent), "pairs")
     links = materialize(verified(stars, *check), "links")
