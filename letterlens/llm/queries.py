@@ -1,14 +1,70 @@
 """The registered queries of this subpackage, and their SQL where there is one."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from letterlens.llm import jaccard
+from letterlens.llm import curriculum, decontaminate, jaccard, ring, rules, secrets, token_planes
+from letterlens.scale import scratch_path
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op3_token_planes(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of all documents, written in bit planes and read back."""
+    path = scratch_path(spark, "planes")
+    token_planes.write_tokens(documents(spark, folder), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_planes.read_digests(spark, path)
+
+
+def op4_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Measurements, failure bits and the verdict of the latest policy for every document."""
+    found = rules.ledger(documents(spark, folder).select("doc_id", "text"))
+    base = F.lit(rules.mask(rules.BASE))
+    return found.select(
+        "doc_id", *rules.MEASURES, "failed_bits", (F.col("failed_bits").bitwiseAND(base) != 0).alias("base_failed"),
+        rules.passes("v3").alias("kept"),
+    )
+
+
+def op5_ring_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents on 16 shards, row counts at most one apart."""
+    placed = ring.shard(documents(spark, folder), 16)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op6_curriculum(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix of all documents, with the times at which each is shown."""
+    return curriculum.mix(documents(spark, folder)).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies", "positions"
+    )
+
+
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document inside ten-word passages of the benchmark."""
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    found = decontaminate.find_passages(documents(spark, folder).select("doc_id", "text"), benchmark)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op9_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of known shape, and shapeless ones that only one source has."""
+    found = secrets.scan_secrets(documents(spark, folder), repository="doc_id", owner="source")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        F.col("repository").alias("doc_id"), *map(count, secrets.KINDS), F.sha2(text("base"), 256).alias("base_sha256"),
+        text("spans").alias("spans"), "n_copied",
+    )
+
+
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Near-copy components over five-word shingles at 0.8."""
     return jaccard.jaccard_components(documents(spark, folder)).select(
@@ -16,5 +72,10 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_jaccard_join": op10_jaccard_join}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_token_planes, op4_rule_ledger, op5_ring_shards, op6_curriculum, op7_decontaminate, op9_secret_ownership, op10_jaccard_join,
+    )
+}
 SQL: dict[str, str] = {}
