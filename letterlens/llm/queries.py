@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from letterlens.llm import curriculum, decontaminate, jaccard, ring, rules, secrets, token_planes
+from letterlens.llm import curriculum, decontaminate, extract, jaccard, ring, rules, secrets, token_planes
 from letterlens.scale import scratch_path
 
 
@@ -11,6 +11,14 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    return extract.main_text(pages).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_blocks", "n_dropped"
+    )
+
+
 def op3_token_planes(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of all documents, written in bit planes and read back."""
     path = scratch_path(spark, "planes")
@@ -75,7 +83,7 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op3_token_planes, op4_rule_ledger, op5_ring_shards, op6_curriculum, op7_decontaminate, op9_secret_ownership, op10_jaccard_join,
+        op1_page_text, op3_token_planes, op4_rule_ledger, op5_ring_shards, op6_curriculum, op7_decontaminate, op9_secret_ownership, op10_jaccard_join,
     )
 }
 SQL: dict[str, str] = {}
