@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from letterlens.llm import curriculum, decontaminate, extract, jaccard, ring, rules, secrets, token_planes
+from letterlens.llm import cotrain, curriculum, decontaminate, extract, jaccard, line_dedup, ring, rules, secrets, token_planes
 from letterlens.scale import scratch_path
 
 
@@ -19,6 +19,13 @@ def op1_page_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every document that remain when of each class of lines within two edits the first is kept."""
+    return line_dedup.line_classes(documents(spark, folder)).select(
+        F.col("id").alias("doc_id"), "n_lines", "n_removed", "kept_lines"
+    )
+
+
 def op3_token_planes(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of all documents, written in bit planes and read back."""
     path = scratch_path(spark, "planes")
@@ -62,6 +69,13 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    """Chances of low quality and of toxicity for every document, by each view and by both."""
+    docs = documents(spark, folder)
+    models = cotrain.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return cotrain.score(docs.select("doc_id", "text", "lang", "source"), models).drop("text", "lang", "source")
+
+
 def op9_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of known shape, and shapeless ones that only one source has."""
     found = secrets.scan_secrets(documents(spark, folder), repository="doc_id", owner="source")
@@ -83,7 +97,8 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_page_text, op3_token_planes, op4_rule_ledger, op5_ring_shards, op6_curriculum, op7_decontaminate, op9_secret_ownership, op10_jaccard_join,
+        op1_page_text, op2_line_dedup, op3_token_planes, op4_rule_ledger, op5_ring_shards, op6_curriculum, op7_decontaminate, op8_cotraining,
+        op9_secret_ownership, op10_jaccard_join,
     )
 }
 SQL: dict[str, str] = {}
