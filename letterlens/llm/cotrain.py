@@ -246,7 +246,7 @@ def score(docs: DataFrame, models: dict, text: str = "text", only_kept: bool = F
                     [*batch.columns, *map(pa.array, np.ascontiguousarray(chances.T)), kept], [*batch.schema.names, *NEW, "kept"]
                 )
 
-    schema = StructType(docs.schema.fields)
+    schema = StructType([*docs.schema])
     for name in () if only_kept else NEW:
         schema = schema.add(name, "double")
     return docs.mapInArrow(judge, schema if only_kept else schema.add("kept", "boolean"))

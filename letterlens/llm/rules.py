@@ -106,7 +106,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
                 [*(batch.column(name) for name in others), *(pa.array(list(c), pa.int64()) for c in columns)], [*others, *MEASURES]
             )
 
-    schema = StructType(keys.drop(text).schema.fields)
+    schema = StructType([*keys.drop(text).schema])
     for name in MEASURES:
         schema = schema.add(name, "long")
     bits = sum((F.when(F.expr(rule.fails), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES)), F.lit(0))
