@@ -51,7 +51,7 @@ class WordEncoder:
         if stretch.isascii():
             stretch = stretch.lower()
         match = TAIL.fullmatch(stretch)
-        if match and (stretch.isascii() or match[1].decode()[-1:].isalpha()):
+        if match and (stretch.isascii() or match[1].decode().lower()[-1:].isalpha()):
             return match.groups()
         return (stretch,)
 
