@@ -9,6 +9,7 @@ the last one, so the chunk of any id is found by division."""
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,52 +19,61 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 CHUNK = 1 << 16
-WORD_CACHE = 300_000
-TAIL = re.compile(rb"([^\x00-\x40\x5b-\x60\x7b-\x7f]+)([!-&(-/:-@\[-`{-~]+)", re.S)
+WORD_CACHE = 600_000
+SMALL = rb"[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]"
+SIGNS = rb"[!-&(-/:-@\[-`{-~]+"
+SIGNS_BEHIND = re.compile(rb"((?:" + SMALL + rb")+)(" + SIGNS + rb")")
+SIMPLE = re.compile(rb"(?:" + SMALL + rb")+|" + SIGNS)
+# Fixed rule of byte-level vocabularies: printable bytes are letters of their own, the rest follow from 256 on.
+_UNPRINTABLE = [*range(33), *range(127, 161), 173]
+BYTE_LETTERS = {byte: 256 + i for i, byte in enumerate(_UNPRINTABLE)}
 PIECE = "struct<doc_id: bigint, ordinal: bigint, piece: int, n: int>"
 PIECE_ARROW = pa.list_(
     pa.struct([("doc_id", pa.int64()), ("ordinal", pa.int64()), ("piece", pa.int32()), ("n", pa.int32())])
 )
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Ids of whole texts. No token of this kind of vocabulary spans ASCII white space, so a text is encoded by the
-    stretches between; the library sees each stretch once as long as it stays in a bounded cache. Punctuation behind
-    letters is a token of its own and is split off first, which makes stretches repeat more often."""
+    stretches between; the library sees a stretch once as long as it stays in this bounded cache. Two steps make
+    stretches repeat more often and change no token: A-Z are lowered (the vocabulary knows no capitals), and signs behind
+    letters, which are a token of their own, are looked up by themselves."""
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def _library(self, stretches: list[bytes]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast([x.decode() for x in stretches], add_special_tokens=False)
-        return [np.array(x.ids, self.width).tobytes() for x in encoded]
-
-    @staticmethod
-    def _split(stretch: bytes) -> tuple[bytes, ...]:
-        if b"<|" in stretch:  # might hold a special token
-            return (stretch,)
-        if stretch.isascii():
-            stretch = stretch.lower()
-        match = TAIL.fullmatch(stretch)
-        if match and (stretch.isascii() or match[1].decode().lower()[-1:].isalpha()):
-            return match.groups()
-        return (stretch,)
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        rows = [text.split() if text else [] for text in texts]
-        if len(self.known) > WORD_CACHE:
-            self.known, self.parts = {}, {}
-        fresh = {word: self._split(word) for words in rows for word in words if word not in self.known}
-        missing = list({part for parts in fresh.values() for part in parts if part not in self.parts})
-        self.parts.update(zip(missing, self._library(missing)))
-        self.known.update({word: b"".join(self.parts[part] for part in parts) for word, parts in fresh.items()})
-        return [b"".join(map(self.known.__getitem__, words)) for words in rows]
+        self.model = self.tokenizer.model
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = "<u2" if self.code == "H" else "<u4"
+
+    def __missing__(self, part: bytes) -> bytes:
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        small = part if part.isascii() else part.decode().lower().encode()
+        if SIMPLE.fullmatch(small):  # one token of the pre-tokenizer as it stands
+            ids = [token.id for token in self.model.tokenize(small.decode("latin-1").translate(BYTE_LETTERS))]
+        elif match := SIGNS_BEHIND.fullmatch(small):
+            found = self[part] = self[match[1]] + self[match[2]]
+            return found
+        else:
+            ids = self.tokenizer.encode(part.decode(), add_special_tokens=False).ids
+        found = self[part] = array(self.code, ids).tobytes()
+        return found
+
+    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        return (b"".join(map(self.__getitem__, stretches(text))) for text in texts)
+
+
+def stretches(text: bytes | None) -> list[bytes]:
+    if not text:
+        return []
+    # A special token keeps its case; a combining mark may join a capital and not the small letter, or the other way.
+    if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
+        return text.split()
+    return text.lower().split()
 
 
 def to_planes(ids: np.ndarray) -> list[bytes]:
