@@ -17,6 +17,7 @@ from letterlens.sources.mime import body_text
 
 KEYS = ["archive", "msg_index"]
 NOT_READ = "Failed to read EML file"
+NOT_EXTRACTED = "Failed to extract email data: "
 
 
 def candidates(messages: DataFrame) -> DataFrame:
@@ -25,7 +26,8 @@ def candidates(messages: DataFrame) -> DataFrame:
     return messages.select(
         *KEYS,
         "file_name",
-        F.when(F.col("n_headers") == 0, F.lit(NOT_READ)).alias("read_error"),
+        F.when(F.col("header_error").isNotNull(), F.concat(F.lit(NOT_EXTRACTED), "header_error"))
+        .when(F.col("n_headers") == 0, F.lit(NOT_READ)).alias("read_error"),
         F.col("from_decoded").alias("sender"),
         F.coalesce("date_raw", F.lit("")).alias("date"),
         "subject",
@@ -59,10 +61,12 @@ ATTEMPT = T.StructType(
 
 def score(
     found: DataFrame, system_prompt: str, criteria: str, scorer: Callable[[str, str], tuple[str, int, int]],
-    retries: int = 1,
+    retries: int = 1, match_key: str = "is_match", strict: bool = False,
 ) -> DataFrame:
     """Call scorer(system prompt, user message) -> (answer, tokens in, tokens out) per candidate, and
-    record every attempt. The record is stored: recomputing a lost task must not ask again."""
+    record every attempt. It asks again until an answer is usable by the rule that replays apply. The
+    record is stored: recomputing a lost task must not ask again."""
+    found = materialize(found, "scoring")
     attempts_type = to_arrow_type(T.ArrayType(ATTEMPT))
 
     def attempts(message: str) -> list[dict]:
@@ -72,8 +76,7 @@ def score(
             made.append(row)
             try:
                 row["content"], row["prompt_tokens"], row["completion_tokens"] = scorer(system_prompt, message)
-                answer = json.loads(row["content"])
-                if "is_match" in answer and "confidence" in answer:
+                if usable(row["content"], match_key, strict):
                     break
             except Exception as error:
                 row["error"] = str(error)
@@ -89,6 +92,17 @@ def score(
     return materialize(asked.select(*KEYS, F.inline("made")), "responses")
 
 
+def usable(content: str | None, match_key: str, strict: bool) -> bool:
+    """Whether an answer is complete: a decision, and a confidence that is a number."""
+    try:
+        answer = json.loads(content)
+    except (TypeError, ValueError):
+        return False
+    if not isinstance(answer, dict) or match_key not in answer or isinstance(answer.get("confidence"), bool):
+        return False
+    return isinstance(answer.get("confidence"), (int, float)) and (not strict or isinstance(answer[match_key], bool))
+
+
 def parsed_attempts(responses: DataFrame, match_key: str = "is_match", strict: bool = False) -> DataFrame:
     """Add valid, decision, label, confidence, reasoning and problem to recorded attempts.
 
@@ -108,9 +122,9 @@ def parsed_attempts(responses: DataFrame, match_key: str = "is_match", strict: b
         | as_text.isin("[]", "{}") & kind.rlike("^(ARRAY|OBJECT)")
     )
     number = F.schema_of_variant(confidence).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    complete = match.isNotNull() & confidence.isNotNull()
+    complete = match.isNotNull() & confidence.isNotNull() & number
     if strict:
-        complete = complete & (kind == "BOOLEAN") & number
+        complete = complete & (kind == "BOOLEAN")
     return (
         responses.withColumn("answer", answer)
         .withColumn("answer_text", as_text)
@@ -133,16 +147,15 @@ def parsed_attempts(responses: DataFrame, match_key: str = "is_match", strict: b
     )
 
 
-def final_attempts(parsed: DataFrame, retries: int = 1) -> DataFrame:
-    """Per message the first valid attempt, or the last one; attempts counts those made."""
+def final_attempts(parsed: DataFrame) -> DataFrame:
+    """Per message the first valid attempt, or the last one; attempts counts all that were recorded."""
     fields = F.struct(
         "attempt", "valid", "decision", "label", "confidence", "reasoning", "problem", "prompt_tokens",
         "completion_tokens",
     )
     first_valid = F.min_by(F.when(F.col("valid"), fields), F.when(F.col("valid"), F.col("attempt")))
     return (
-        parsed.filter(F.col("attempt") <= retries)
-        .groupBy(*KEYS)
+        parsed.groupBy(*KEYS)
         .agg(
             F.coalesce(first_valid, F.max_by(fields, "attempt")).alias("final"),
             F.count("*").alias("attempts"),

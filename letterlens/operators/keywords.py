@@ -1,6 +1,7 @@
 """Keyword search over messages or any text column."""
 
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -61,18 +62,14 @@ def keyword_counts(hits: DataFrame) -> DataFrame:
 
 def pattern_table_hits(df: DataFrame, keys: list[str], text: str, patterns: DataFrame) -> DataFrame:
     """Every hit of a pattern table (pattern_id, pattern) of any length, as keys, pattern_id,
-    keyword, pos. The table is worked off in passes of bounded length over the text."""
-    numbered = patterns.select("pattern_id", "pattern").orderBy("pattern_id")
-    passes, after = [], None
-    while True:
-        rest = numbered if after is None else numbered.filter(F.col("pattern_id") > after)
-        rows = rest.limit(PATTERNS_PER_PASS).collect()
-        if not rows:
-            break
-        after = rows[-1]["pattern_id"]
+    keyword, pos. The table is worked off in passes of bounded length over the text; rows with equal
+    or null ids are patterns of their own."""
+    rows_left = patterns.select("pattern_id", "pattern").orderBy("pattern_id").toLocalIterator()
+    passes = []
+    while rows := list(islice(rows_left, PATTERNS_PER_PASS)):
         ids = F.split(F.lit(" ".join(str(r["pattern_id"]) for r in rows)), " ")
         hits = all_hits(df, keys, text, [r["pattern"] for r in rows])
-        passes.append(hits.withColumn("pattern_id", F.get(ids, F.col("pattern_id")).cast("bigint")))
+        passes.append(hits.withColumn("pattern_id", F.get(ids, F.col("pattern_id")).try_cast("bigint")))
     if not passes:
         return all_hits(df, keys, text, [])
     return reduce(DataFrame.unionByName, passes)

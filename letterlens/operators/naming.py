@@ -5,51 +5,59 @@ from pyspark.sql import DataFrame, functions as F
 from letterlens.functions.names import numbered_name
 from letterlens.scale import materialize, ordered_rank
 
-ROUNDS = 20
+NUMBERED = r"^(.*)_(\d{3,})(\.[^.]*)$"
 
 
 def unique_names(rows: DataFrame, keys: list[str], base: str, prior: DataFrame | None = None) -> DataFrame:
     """(keys, base, file_name, collision): the first use of a name keeps it, later ones get _001,
     _002 and so on, in key order. Names of an earlier run (prior, column filename) count as taken.
+
+    A numbered name that a message bears itself is a taken slot of the name without the number, so
+    one ranked pass hands out the free slots and no name is tried twice.
     """
-    pending = rows.select(*keys, F.col(base).alias("wanted"), F.col(base).alias("base"))
-    if prior is not None:
-        pending = _after_prior(pending, keys, prior)
+    wanted = materialize(rows.select(*keys, F.col(base).alias("wanted")), "names")
+    ranks = ordered_rank(wanted, ["wanted"], keys, "nth")
+    zero = F.lit(0).cast("bigint")
+    if prior is None:
+        placed = ranks.withColumn("taken", zero)
     else:
-        pending = pending.withColumn("taken", F.lit(0).cast("bigint"))
-    pending = materialize(pending, "names")
-    done = None
-    for _ in range(ROUNDS):
-        ranks = ordered_rank(pending.select("wanted", *keys), ["wanted"], keys, "nth")
-        named = pending.join(ranks, ["wanted", *keys]).withColumn(
-            "file_name", numbered_name(F.col("wanted"), F.col("taken") + F.col("nth") - 1)
-        )
-        named = materialize(named.select(*keys, "base", "file_name"), "named")
-        done = named if done is None else done.unionByName(named)
-        # A numbered name may equal another message's own name: those of numbered origin try again.
-        clashing = done.groupBy("file_name").agg(F.count("*").alias("uses")).filter("uses > 1")
-        repeated = done.join(clashing, "file_name", "left_semi")
-        retry = repeated.filter(F.col("file_name") != F.col("base"))
-        if retry.isEmpty():
-            return done.withColumn("collision", F.col("file_name") != F.col("base"))
-        again = retry.select(*keys, F.col("file_name").alias("wanted"), "base", F.lit(1).cast("bigint").alias("taken"))
-        pending = materialize(again, "names")
-        done = materialize(done.join(pending.select(*keys), keys, "left_anti"), "named")
-    raise RuntimeError("file names still collide")
-
-
-def _after_prior(pending: DataFrame, keys: list[str], prior: DataFrame) -> DataFrame:
-    """How many names of each family an earlier run has taken: x.eml, x_001.eml, ..."""
-    numbered = r"^(.*)_(\d{3,})(\.[^.]*)$"
+        placed = ranks.join(_taken_before(prior), "wanted", "left").withColumn("taken", F.coalesce("taken", zero))
+    placed = placed.join(_own_slots(wanted), "wanted", "left")
+    # The number in line, moved on by the own slots at or before it.
+    first = F.greatest("taken", F.lit(1).cast("bigint"))
+    in_line = F.col("taken") + F.col("nth") - 1
+    ahead = F.filter(F.col("slots"), lambda s: s["slot"] >= first)
+    steps = F.transform(ahead, lambda s, i: s["slot"] - i)
+    slot = in_line + F.coalesce(F.size(F.filter(steps, lambda step: step <= in_line)), F.lit(0))
+    number = F.when(in_line == 0, zero).otherwise(slot)
+    return placed.select(
+        *keys, F.col("wanted").alias("base"), numbered_name(F.col("wanted"), number).alias("file_name"),
+        (number > 0).alias("collision"),
+    )
+
+
+def _family(name) -> list:
+    return [
+        F.regexp_replace(name, NUMBERED, "$1$3").alias("wanted"),
+        F.regexp_extract(name, NUMBERED, 2).cast("bigint").alias("slot"),
+    ]
+
+
+def _own_slots(wanted: DataFrame) -> DataFrame:
+    """(wanted, slots): the numbers of a name that messages bear as their own names, ascending."""
+    own = wanted.select("wanted").distinct()
+    numbered = own.filter(F.col("wanted").rlike(NUMBERED)).select(F.col("wanted").alias("own"), *_family(F.col("wanted")))
+    numbered = numbered.filter(numbered_name(F.col("wanted"), F.col("slot")) == F.col("own"))
+    known = numbered.join(own, "wanted", "left_semi")
+    return known.groupBy("wanted").agg(F.sort_array(F.collect_list(F.struct("slot"))).alias("slots"))
+
+
+def _taken_before(prior: DataFrame) -> DataFrame:
+    """(wanted, taken): how many names of each family an earlier run has used up: x.eml, x_001.eml, ..."""
     name = F.col("filename")
     own = prior.select(name.alias("wanted"), F.lit(0).cast("bigint").alias("slot"))
-    family = prior.filter(name.rlike(numbered)).select(
-        F.regexp_replace(name, numbered, "$1$3").alias("wanted"),
-        F.regexp_extract(name, numbered, 2).cast("bigint").alias("slot"),
-    )
-    taken = own.unionByName(family).groupBy("wanted").agg((F.max("slot") + 1).alias("taken"))
-    joined = pending.join(taken, "wanted", "left")
-    return joined.select(*keys, "wanted", "base", F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"))
+    family = prior.filter(name.rlike(NUMBERED)).select(*_family(name))
+    return own.unionByName(family).groupBy("wanted").agg((F.max("slot") + 1).alias("taken"))
 
 
 def failure_names(failed: DataFrame, keys: list[str]) -> DataFrame:

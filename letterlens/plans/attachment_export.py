@@ -9,7 +9,7 @@ from letterlens.operators.attachments import (
 from letterlens.operators.counters import attachment_counters
 from letterlens.scale import materialize
 from letterlens.sinks.logs import attachment_log, write_attachment_csv
-from letterlens.sinks.messages import split_failures, write_attachments
+from letterlens.sinks.messages import split_failures, write_attachments, write_failures
 from letterlens.sources.archives import first_messages
 from letterlens.sources.mime import with_parts
 
@@ -34,7 +34,7 @@ def count_attachments(messages: DataFrame, pattern: str, limit: int | None = Non
 def run_attachments(
     messages: DataFrame, pattern: str, output: str, limit: int | None = None, **options
 ) -> DataFrame:
-    """Write matched messages, attachments and the log; return the counters."""
+    """Write matched messages, attachments, the log and the messages that could not be read; return the counters."""
     found = materialize(find_attachments(messages, pattern, limit, with_payload=True, **options), "attachments")
     rows = attachment_rows(found, ["uuid"])
     write_attachments(named_attachments(rows, F.col("uuid")), f"{output}/attachments")
@@ -44,4 +44,6 @@ def run_attachments(
     log = attachment_log(attachment_summary(found, LOG_HEADERS))
     log.write.mode("append").parquet(f"{output}/log")
     write_attachment_csv(log, f"{output}/log_csv")
+    _, failed = split_failures(first_messages(messages, limit), "header_error")
+    write_failures(failed, ["archive", "msg_index"], "header_error", f"{output}/failed")
     return attachment_counters(first_messages(messages, limit), found)

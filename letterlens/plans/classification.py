@@ -23,14 +23,14 @@ def classify(found: DataFrame, responses: DataFrame, match_key: str = "is_match"
 def run_classification(
     messages: DataFrame, system_prompt: str, criteria: str, output: str,
     scorer: Callable[[str, str], tuple[str, int, int]] | None = None, responses: DataFrame | None = None,
-    configuration: dict[str, str] | None = None,
+    configuration: dict[str, str] | None = None, match_key: str = "is_match", strict: bool = False, retries: int = 1,
 ) -> DataFrame:
     """Score (or replay recorded responses), route, and write routes, log and report."""
     started = time.monotonic()
     found = materialize(candidates(with_parts(messages)), "candidates")
     if responses is None:
-        responses = score(found, system_prompt, criteria, scorer)
-    rows = materialize(classify(found, responses), "routed")
+        responses = score(found, system_prompt, criteria, scorer, retries, match_key, strict)
+    rows = materialize(classify(found, responses, match_key, strict), "routed")
     with_bytes = rows.select(*KEYS, "route", "output_name").join(messages.select(*KEYS, "raw"), KEYS)
     write_routes(with_bytes.select(F.col("output_name").alias("file_name"), "raw", "route"), f"{output}/routes")
     log = classification_log(rows)

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from letterlens.functions.names import message_file_name
 from letterlens.operators.counters import search_counters
 from letterlens.operators.keywords import keyword_matches, searchable
-from letterlens.operators.naming import failure_names, unique_names
+from letterlens.operators.naming import unique_names
 from letterlens.operators.participants import of_target
 from letterlens.scale import materialize
 from letterlens.sinks.logs import extraction_log, write_extraction_csv
-from letterlens.sinks.messages import split_failures, write_messages
+from letterlens.sinks.messages import split_failures, write_failures, write_messages
 from letterlens.sources.archives import first_messages
 from letterlens.sources.mime import with_parts
 
@@ -58,6 +58,5 @@ def run_extraction(
     log.write.mode("append").parquet(f"{output}/log")
     write_extraction_csv(log, f"{output}/log_csv")
     _, failed = split_failures(first_messages(messages, search.limit), "header_error")
-    if not failed.isEmpty():
-        write_messages(failed, failure_names(failed, KEYS), KEYS, f"{output}/failed")
+    write_failures(failed, KEYS, "header_error", f"{output}/failed")
     return search_counters(first_messages(messages, search.limit), matches)

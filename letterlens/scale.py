@@ -5,8 +5,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-BROADCAST_ROWS = 1_000_000
-
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir. A local run may do without the setting."""
@@ -39,10 +37,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def join_counted(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join a large frame with a materialized one that is normally small. It is broadcast only if
-    its row count says so; otherwise Spark chooses the strategy."""
-    side = F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
-    return big.join(side, on, how)
+    """Join a large frame with a stored one that is normally small. Spark knows the size of the stored files
+    and chooses the strategy by its own limit."""
+    return big.join(small, on, how)
 
 
 def ordered_rank(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:

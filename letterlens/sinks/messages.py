@@ -5,6 +5,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from letterlens.operators.naming import failure_names
+
 
 def write_messages(messages: DataFrame, names: DataFrame, keys: list[str], path: str) -> None:
     """(file_name, raw) of the named messages; the original bytes, unchanged."""
@@ -26,30 +28,29 @@ def split_failures(rows: DataFrame, error: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter(F.col(error).isNull()), rows.filter(F.col(error).isNotNull())
 
 
+def write_failures(failed: DataFrame, keys: list[str], error: str, path: str) -> None:
+    """(file_name, reason, raw) of messages that could not be read; nothing if there are none."""
+    if not failed.isEmpty():
+        named = failed.select(*keys, F.col(error).alias("reason"), "raw").join(failure_names(failed, keys), keys)
+        named.select("file_name", "reason", "raw").write.mode("append").parquet(path)
+
+
 def archive_record(raw: Column, envelope: Column) -> Column:
-    """A message as archive text: envelope line, body lines starting "From " marked, empty line."""
-    marked = F.regexp_replace(raw.cast("string"), r"(?m)^From ", ">From ")
-    ended = F.when(F.col("raw").cast("string").endswith("\n"), F.lit("")).otherwise(F.lit("\n"))
-    return F.concat(envelope, F.lit("\n"), marked, ended)
+    """A message as archive text: envelope line, lines starting "From " marked, a line end. Works on bytes: what is
+    not UTF-8 stays as it is."""
+    text = raw.cast("string")
+    marked = F.replace(F.concat(F.lit("\n"), text), F.lit("\nFrom "), F.lit("\n>From "))
+    ended = F.when(text.endswith("\n"), F.lit("")).otherwise(F.lit("\n"))
+    return F.concat(envelope, marked, ended)
 
 
 DEFAULT_ENVELOPE = "From MAILER-DAEMON Thu Jan  1 00:00:00 1970"
 
 
 def write_archive(messages: DataFrame, path: str, order: list[str], mode: str = "append") -> None:
-    """Messages as archive files in key order: one file per range of keys, each a valid archive.
-
-    Text made from bytes is written back byte for byte, except that bytes outside UTF-8 in a
-    message with a body line starting "From " go through the marking of that line.
-    """
-    safe = F.col("raw").cast("string")
-    needs_mark = F.concat(F.lit("\n"), safe).contains("\nFrom ")
-    record = F.when(needs_mark, archive_record(F.col("raw"), F.lit(DEFAULT_ENVELOPE))).otherwise(
-        F.concat(
-            F.lit(DEFAULT_ENVELOPE + "\n"), safe,
-            F.when(safe.endswith("\n"), F.lit("")).otherwise(F.lit("\n")),
-        )
-    )
+    """Messages as archive files in key order: one file per range of keys, each a valid archive. Give the
+    folder a name that ends in .mbox, and the archive reader takes its parts as archives."""
+    record = archive_record(F.col("raw"), F.lit(DEFAULT_ENVELOPE))
     in_order = messages.repartitionByRange(*order).sortWithinPartitions(*order)
     in_order.select(record.alias("value")).write.mode(mode).text(path)
 

@@ -1,5 +1,7 @@
 """Archive files: many messages per file, each opened by a line starting "From "."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from letterlens.scale import join_counted, materialize
@@ -26,6 +28,15 @@ def read_archives(
     return index_messages(materialize(messages, "messages")) if indexed else messages
 
 
+def matching_files(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """(address, whether it is a folder) of the files and folders that a path or a glob names, in any file system that Spark
+    reads."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    return [(re.sub("^file:/+", "file:/", f.getPath().toUri().toString()), f.isDirectory()) for f in found or ()]
+
+
 def scan_records(reader, paths: str | list[str]) -> DataFrame:
     """One row per record, from a batch or a stream reader. Large files are split over tasks."""
     lines = reader.option("lineSep", SEPARATOR).text(paths)
@@ -49,9 +60,14 @@ def _of_archives(records: DataFrame, paths: list[str]) -> DataFrame:
     """Messages of the files that count as archives. Files without a suffix are judged by their
     opening bytes; that join comes last, as the header pass needs the records in scan order."""
     name = F.element_at(F.split("archive", "/"), -1)
-    by_name = name.endswith(".mbox")
+    by_name = name.endswith(".mbox") | F.col("archive").rlike(r"\.mbox/part-[^/]+$")
+    named = []
     for path in paths:
-        by_name = by_name | F.col("archive").endswith(path.rstrip("/"))
+        found = matching_files(records.sparkSession, path)
+        if not found:
+            raise FileNotFoundError(path)
+        named += [uri for uri, is_folder in found if not is_folder]
+    by_name = by_name | F.regexp_replace("archive", "^file:/+", "file:/").isin(named)
     bare = ~by_name & ~name.rlike(HAS_SUFFIX)
     messages = with_placed_headers(records.filter(by_name | bare))
     listed = records.sparkSession.createDataFrame([(f,) for f in records.inputFiles()], "archive string")

@@ -7,7 +7,6 @@ from letterlens.fixed_values import DEFAULT_SEARCH_PATTERNS
 from letterlens.functions.regex import compile_check
 from letterlens.functions.text import strip
 
-MAX_PATTERNS = 10_000
 
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
@@ -20,10 +19,7 @@ def read_patterns(spark: SparkSession, path: str) -> DataFrame:
 
 def pattern_list(patterns: DataFrame) -> list[str]:
     """The patterns in order, as job configuration."""
-    rows = patterns.orderBy("pattern_id").limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns; use operators.keywords.pattern_table_hits")
-    return [row["pattern"] for row in rows]
+    return [row["pattern"] for row in patterns.orderBy("pattern_id").collect()]
 
 
 def choose_patterns(

@@ -1,6 +1,5 @@
 """New archive files as a stream: the same transforms as in batch, resumed from a checkpoint."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,7 +9,7 @@ from letterlens.operators.participants import of_target
 from letterlens.operators.naming import unique_names
 from letterlens.plans.extraction import Search
 from letterlens.scale import materialize
-from letterlens.sources.archives import scan_records
+from letterlens.sources.archives import matching_files, scan_records
 from letterlens.sources.mime import with_parts, with_placed_headers
 
 KEYS = ["archive", "block_start", "block_pos"]
@@ -22,9 +21,12 @@ def stream_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_matches(messages: DataFrame, search: Search) -> DataFrame:
-    """Stateless search; base_name is the file name before collisions are settled."""
+    """Stateless search; base_name is the file name before collisions are settled. A limit counts messages of
+    an archive, which a stream sees in parts, so it is refused."""
+    if search.limit:
+        raise ValueError("a stream has no first messages; leave Search.limit unset")
     base = message_file_name(F.col("date_wall"), F.col("from_addrs"), F.col("message_id"), F.col("subject"))
-    texts = searchable(with_parts(of_target(messages, search.target, search.from_only)), search.reply_only)
+    texts = searchable(with_parts(of_target(messages, search.target, search.from_only)), search.reply_only, search.html_mode)
     return keyword_matches(texts, "folded", search.patterns).drop("folded").withColumn("base_name", base)
 
 
@@ -50,7 +52,6 @@ def start_named_intake(matches: DataFrame, table: str, checkpoint: str) -> Strea
 
 
 def _names_before(spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(table).filter(F.col("batch") < batch_id).select("filename")
-    except AnalysisException:
+    if not matching_files(spark, f"{table}/batch=*"):
         return None
+    return spark.read.parquet(table).filter(F.col("batch") < batch_id).select("filename")

@@ -8,6 +8,7 @@ from email.mime.multipart import MIMEMultipart
 from email.mime.text import MIMEText
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from letterlens.functions.html import visible_text
@@ -21,6 +22,7 @@ from letterlens.operators.participants import check_target, of_any_target, of_ta
 from letterlens.plans.attachment_export import count_attachments, run_attachments
 from letterlens.plans.repack import name_prefix, repack
 from letterlens.scale import ordered_rank
+from letterlens.sinks.messages import write_archive
 from letterlens.sources.archives import first_messages, read_archives
 from letterlens.sources.lists import choose_patterns, read_prompt
 from letterlens.sources.messages import read_message_files
@@ -199,7 +201,14 @@ def test_unique_names(spark):
     rows = spark.createDataFrame(list(enumerate(base)), "k int, base string")
     got = {r.k: (r.file_name, r.collision) for r in unique_names(rows, ["k"], "base").collect()}
     assert got[0] == ("x.eml", False) and got[2] == ("x_001.eml", False) and got[4] == ("y.eml", False)
-    assert len({n for n, _ in got.values()}) == 5 and got[3] == ("x_002.eml", True) and got[1][1]
+    # x_001.eml is a message's own name, so the repeats take the next slots.
+    assert got[1] == ("x_002.eml", True) and got[3] == ("x_003.eml", True)
+    own_first = spark.createDataFrame(list(enumerate(["x_001.eml", "x.eml", "x.eml", "x_003.eml", "x.eml"])), "k int, base string")
+    names = {r.k: r.file_name for r in unique_names(own_first, ["k"], "base").collect()}
+    assert names == {0: "x_001.eml", 1: "x.eml", 2: "x_002.eml", 3: "x_003.eml", 4: "x_004.eml"}
+    chained = ["x" + "_001" * (i // 2) + ".eml" for i in range(60)]
+    chain = unique_names(spark.createDataFrame(list(enumerate(chained)), "k int, base string"), ["k"], "base")
+    assert chain.select("file_name").distinct().count() == 60
     prior = spark.createDataFrame([("y.eml",), ("y_001.eml",)], "filename string")
     assert unique_names(rows, ["k"], "base", prior).filter("k = 4").first().file_name == "y_002.eml"
     failed = failure_names(rows.filter("k > 2"), ["k"])
@@ -249,3 +258,30 @@ def test_configuration_files(spark, tmp_path):
     assert len(choose_patterns(spark, path("missing.txt"))) == 94
     (tmp_path / "prompt.txt").write_text("\n Two\nlines \n")
     assert read_prompt(spark, path("prompt.txt")) == "Two\nlines"
+
+
+def test_explicit_paths(spark, tmp_path):
+    folder = tmp_path / "my mail"
+    folder.mkdir()
+    (folder / "in.txt").write_bytes(b"From x\nSubject: a\n\nbody\n\n")
+    for path in (f"{folder}/in.txt", f"{folder}/*.txt", f"file:{folder}/in.txt"):
+        assert read_archives(spark, path).count() == 1
+    with pytest.raises((FileNotFoundError, AnalysisException)):
+        read_archives(spark, f"{folder}/none-*.txt")
+
+
+def test_repacked_bytes(spark, tmp_path):
+    raw = b"Subject: a\n\nFrom caf\xe9\nfrom \xff\n>From x\nFrom y\n"
+    df = spark.createDataFrame([(1, bytearray(raw))], "k int, raw binary")
+    write_archive(df, f"{tmp_path}/out.mbox", ["k"])
+    back = read_archives(spark, f"{tmp_path}/out.mbox").collect()
+    assert [bytes(r.raw) for r in back] == [raw.replace(b"\nFrom ", b"\n>From ")]
+
+
+def test_unreadable_messages_are_kept(spark, tmp_path):
+    (tmp_path / "a.mbox").write_bytes(b"From x\nSubject: a\n\nbody\n\nFrom y\nSubject: b\n\nbody\n\n")
+    mail = read_archives(spark, str(tmp_path / "a.mbox"))
+    broken = mail.withColumn("header_error", F.when(F.col("msg_index") == 1, F.lit("bad header")))
+    run_attachments(broken, r".*", str(tmp_path / "out"))
+    failed = spark.read.parquet(str(tmp_path / "out" / "failed")).collect()
+    assert [(r.file_name, r.reason, bytes(r.raw)[:10]) for r in failed] == [("failed_email_0001.eml", "bad header", b"Subject: b")]

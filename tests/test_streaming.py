@@ -1,5 +1,7 @@
 """Incremental intake: resumed from the checkpoint, names unique over batches."""
 
+import pytest
+
 from letterlens.plans.extraction import Search
 from letterlens.streaming.intake import start_intake, start_named_intake, stream_matches, stream_messages
 
@@ -21,6 +23,12 @@ def test_intake_resumes(spark, tmp_path):
         assert spark.read.schema(matches.schema).parquet(table).count() == expected
 
 
+def test_search_options_are_honoured_or_refused(spark, tmp_path):
+    arrive(tmp_path / "in", "1.mbox", (b"s", b"I am away today"))
+    with pytest.raises(ValueError):
+        stream_matches(stream_messages(spark, str(tmp_path / "in")), Search(["away"], limit=1))
+
+
 def test_names_over_batches(spark, tmp_path):
     inbox, table, state = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "state")
     for number in range(2):
