@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from letterlens.llm.words import WordHashes
+
 # Bounds of the fitting sample: labelled rows, and unlabelled rows for the exchange. Chosen by hash of the id.
 MAX_LABELLED = 8_000
 MAX_POOL = 4_000
@@ -30,6 +32,7 @@ DIGITS, CONTINUED = b"0123456789", bytes(range(0x80, 0xC0))
 SYMBOLS = b"#*$%&|<>!"
 HASHED = 16
 STEM = 6
+FEW = np.array([xxhash.xxh3_64_intdigest(b"few"), xxhash.xxh3_64_intdigest(b"very few")], np.uint64)
 SHOUT = re.compile(rb"[A-Z][A-Z]")
 
 
@@ -110,16 +113,16 @@ class Words:
 
 @dataclass
 class Model:
-    """One target: word weights, metadata weights and the combination of both scores."""
+    """One target: weights by word hash, metadata weights and the combination of both scores."""
 
-    words: dict[bytes, float]
+    words: dict[int, float]
     constant: float
     center: np.ndarray
     spread: np.ndarray
     metadata: np.ndarray
     combined: np.ndarray
 
-    def score(self, words: set[bytes], metadata: list[float]) -> tuple[float, float, float]:
+    def score(self, words: list[int], metadata: list[float]) -> tuple[float, float, float]:
         """Calibrated chance by text, by metadata score, and by both."""
         get = self.words.get
         text = math.fsum(get(word, 0.0) for word in words) + self.constant
@@ -128,7 +131,7 @@ class Model:
         return float(_sigmoid(text)), float(_sigmoid(page)), float(_sigmoid(both))
 
 
-def train(words: list[set[bytes]], metadata: np.ndarray, labels: np.ndarray) -> Model | None:
+def train(words: list[np.ndarray], metadata: np.ndarray, labels: np.ndarray) -> Model | None:
     """labels: 1, 0, or -1 for pool rows. None if there are not both classes to learn from and to calibrate on."""
     known = np.flatnonzero(labels >= 0)
     held, learned, pool = known[::5], np.setdiff1d(known, known[::5]), np.flatnonzero(labels < 0)
@@ -137,8 +140,7 @@ def train(words: list[set[bytes]], metadata: np.ndarray, labels: np.ndarray) ->
     center, spread = metadata[known].mean(0), metadata[known].std(0) + 1e-6
     page = (metadata - center) / spread
     names = _chosen_words([words[i] for i in learned], labels[learned])
-    number = {word: i for i, word in enumerate(names)}
-    rows = Words([np.array([number[w] for w in found if w in number], np.int64) for found in words])
+    rows = Words([np.flatnonzero(np.isin(names, found, assume_unique=True)) for found in words])
     text_labels, page_labels = labels.copy(), labels.copy()
     text_rows, page_rows = learned, learned
     for turn in range(ROUNDS + 1):
@@ -158,29 +160,27 @@ def train(words: list[set[bytes]], metadata: np.ndarray, labels: np.ndarray) ->
         page_rows = np.r_[learned, pool[page_labels[pool] >= 0]]
     both = np.c_[rows.scores(text_weights), np.c_[page, np.ones(len(page))] @ page_weights]
     combined = logistic(np.clip(both[held], -20, 20), labels[held], 1e-2)
-    weights = {word: float(w) for word, w in zip(names, text_weights)}
+    weights = {int(word): float(w) for word, w in zip(names, text_weights)}
     return Model(weights, float(text_weights[-1]), center, spread, page_weights, combined)
 
 
-def _chosen_words(rows: list[set[bytes]], labels: np.ndarray) -> list[bytes]:
-    """Words whose document frequency differs most between the classes."""
-    counts: dict[bytes, list[int]] = {}
-    for found, label in zip(rows, labels):
-        for word in found:
-            counts.setdefault(word, [0, 0])[int(label)] += 1
-    n = [int((labels == 0).sum()), int((labels == 1).sum())]
-    ranked = []
-    for word, (a, b) in counts.items():
-        if a + b >= 4:
-            p = (a + b) / (n[0] + n[1])
-            z = abs(a / n[0] - b / n[1]) / math.sqrt(p * (1 - p) * (1 / n[0] + 1 / n[1]) + 1e-12)
-            if z >= LEAST_Z or b"few" in (word, word[5:]):
-                ranked.append((-z, word))
-    return [word for _, word in sorted(ranked)[:MAX_WORDS]]
+def _chosen_words(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Hashes, ascending, of the words whose document frequency differs most between the classes."""
+    words, place = np.unique(np.concatenate(rows), return_inverse=True)
+    bad = np.repeat(labels == 1, [len(row) for row in rows])
+    n_bad, n = (labels == 1).sum(), len(labels)
+    seen, seen_bad = np.bincount(place, minlength=len(words)), np.bincount(place[bad], minlength=len(words))
+    share = seen / n
+    error = np.sqrt(share * (1 - share) * (1 / n_bad + 1 / (n - n_bad)) + 1e-12)
+    z = np.abs(seen_bad / n_bad - (seen - seen_bad) / (n - n_bad)) / error
+    chosen = np.flatnonzero(((seen >= 4) & (z >= LEAST_Z)) | np.isin(words, FEW))
+    best = chosen[np.lexsort((words[chosen], -z[chosen]))][:MAX_WORDS]
+    return np.sort(words[best])
 
 
 def fitting_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, targets: list[str]) -> tuple[list, np.ndarray, np.ndarray]:
-    """Views and labels of at most MAX_LABELLED labelled and MAX_POOL other documents. Views are made where the documents are."""
+    """Views and labels of at most MAX_LABELLED labelled and MAX_POOL other documents. Views are made where the documents
+    are; only word hashes and metadata come to the driver."""
     known = labels.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.max(t).cast("int").alias(f"label_{t}") for t in targets))
     known = known.orderBy(F.xxhash64(key), key).limit(MAX_LABELLED)
     rows = docs.select(F.col(key), F.col(text).alias("text"), *(F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")))
@@ -190,21 +190,24 @@ def fitting_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, targ
     pool = rows.join(F.broadcast(chosen), key).select("*", *(F.lit(-1).alias(f"label_{t}") for t in targets))
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            found = [sorted(text_view(text)) for text in texts]
+            found = [np.array(sorted(map(cache.__getitem__, text_view(text))), np.uint64).view(np.int64) for text in texts]
             dense = [metadata_view(*row) for row in zip(texts, batch.column("lang").to_pylist(), batch.column("source").to_pylist())]
             yield pa.record_batch(
-                [batch.column(key), pa.array(found, pa.list_(pa.binary())), pa.array(dense, pa.list_(pa.float64())),
+                [batch.column(key), pa.array(found, pa.list_(pa.int64())), pa.array(dense, pa.list_(pa.float64())),
                  *(batch.column(f"label_{t}") for t in targets)],
                 ["key", "words", "metadata", *(f"label_{t}" for t in targets)],
             )
 
     kind = rows.schema[key].dataType.simpleString()
-    schema = f"key {kind}, words array<binary>, metadata array<double>, " + ", ".join(f"label_{t} int" for t in targets)
+    schema = f"key {kind}, words array<bigint>, metadata array<double>, " + ", ".join(f"label_{t} int" for t in targets)
     # At most one row of a key: repeated rows would count twice.
     sample = labelled.unionByName(pool).mapInArrow(views, schema).dropDuplicates(["key"]).toArrow().sort_by("key")
-    words = [set(row) for row in sample["words"].to_pylist()]
+    lists = sample["words"].combine_chunks()
+    hashes, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())
+    words = np.split(hashes, ends[:-1]) if len(ends) else []
     found = np.array([[-1 if v is None else v for v in sample[f"label_{t}"].to_pylist()] for t in targets]).reshape(len(targets), len(words))
     return words, np.array(sample["metadata"].to_pylist(), float), found
 
@@ -230,12 +233,13 @@ def score(docs: DataFrame, models: dict, text: str = "text", only_kept: bool = F
     docs = docs if only_kept else docs.drop(*NEW, "kept")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
         for batch in batches:
             texts = batch.column(text).cast(pa.binary()).to_pylist()
             lang, source = (batch.column(c).to_pylist() if c in batch.schema.names else [None] * len(texts) for c in ("lang", "source"))
             rows = []
             for value, *rest in zip(texts, lang, source):
-                words, metadata = text_view(value), metadata_view(value, *rest)
+                words, metadata = list(map(cache.__getitem__, text_view(value))), metadata_view(value, *rest)
                 rows.append([p for m in (models["low"], models["toxic"]) for p in (m.score(words, metadata) if m else (0.0,) * 3)])
             chances = np.array(rows).reshape(-1, len(NEW)).round(6)
             kept = pa.array((chances[:, 2] < low) & (chances[:, 5] < toxic))
