@@ -119,10 +119,11 @@ def keyword_log(spark, folder):
 
 
 def pattern_join(spark, folder):
-    """Openings of the benchmark texts as a pattern table."""
-    words = F.slice(F.split(fold_czech(F.col("text")), " "), F.lit(1), F.lit(3))
+    """The benchmark texts as a pattern table: their words in order, with any white space between."""
+    words = F.filter(F.split(fold_czech(F.col("text")), r"[ \n\t]+"), lambda word: word != "")
+    quoted = F.transform(words, lambda word: F.regexp_replace(word, r"([^a-z0-9\u0080-\uffff])", r"\\$1"))
     patterns = table(spark, folder, "benchmark").select(
-        F.col("item_id").alias("pattern_id"), F.array_join(words, r"\s+").alias("pattern")
+        F.col("item_id").alias("pattern_id"), F.array_join(quoted, r"\s+").alias("pattern")
     )
     docs = folded_documents(spark, folder)
     hits = pattern_table_hits(docs, ["doc_id"], "folded", patterns)
@@ -233,7 +234,9 @@ SELECT doc_id, string_agg(keyword, ', ' ORDER BY pattern_id, pos) AS matched_key
 FROM firsts WHERE nth = 1 GROUP BY doc_id""",
     "pattern_join": f"""
 WITH pats AS (
-  SELECT item_id AS pattern_id, array_to_string(string_split({czech('text')}, ' ')[1:3], '\\s+') AS p FROM benchmark),
+  SELECT item_id AS pattern_id, array_to_string(list_transform(
+    list_filter(string_split_regex({czech('text')}, '[ \\n\\t]+'), lambda w: w != ''),
+    lambda w: regexp_replace(w, '([^a-z0-9\\x{{80}}-\\x{{ffff}}])', '\\\\\\1', 'g')), '\\s+') AS p FROM benchmark),
 src AS (SELECT doc_id, {czech('text')} AS t FROM documents)
 SELECT pattern_id, doc_id, len(regexp_extract_all(t, p))::BIGINT AS n_hits
 FROM src JOIN pats ON regexp_matches(t, p)""",
