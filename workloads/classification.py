@@ -1,4 +1,4 @@
-"""Classification over labelled documents, with answers derived from the labels."""
+"""Classification over all documents, with answers derived from the labels; without a label, none came."""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,12 +13,6 @@ from workloads.mail import document_mail
 PRICES = [("low", 0.15, 0.60), ("mid", 2.50, 10.00), ("high", 10.00, 30.00)]
 
 
-def labelled_mail(spark: SparkSession, folder: str) -> DataFrame:
-    """Mail of the documents that have a label."""
-    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("msg_index"))
-    return document_mail(spark, folder).join(labels, "msg_index", "left_semi")
-
-
 def recorded(spark: SparkSession, folder: str) -> DataFrame:
     """Recorded attempts: every label gets an answer; some first answers are unusable, and some of
     those stay unusable at the second attempt. All rows are kept, the cases only differ in content."""
@@ -52,12 +46,12 @@ def recorded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def routes(spark: SparkSession, folder: str) -> DataFrame:
-    found = candidates(with_parts(with_headers(labelled_mail(spark, folder))))
+    found = candidates(with_parts(with_headers(document_mail(spark, folder))))
     return routed(found, final_attempts(parsed_attempts(recorded(spark, folder))))
 
 
 def classify_candidates(spark, folder):
-    found = candidates(with_parts(with_headers(labelled_mail(spark, folder))))
+    found = candidates(with_parts(with_headers(document_mail(spark, folder))))
     return found.select("msg_index", F.sha2(user_message("Is this about work?"), 256).alias("prompt_digest"))
 
 
@@ -113,26 +107,27 @@ QUERIES = {
 GOOD = """'{"is_match": ' || (quality = 1)::VARCHAR || ', "confidence": 0.' || lpad((n_chars % 100)::VARCHAR, 2, '0')
   || ', "reasoning": "quality ' || quality || ', toxic ' || toxic || '"}'"""
 RECORDED = f"""
-WITH d AS (SELECT d.doc_id, d.source, d.text, d.n_chars, l.quality, l.toxic, n_chars % 10 AS k
-           FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+WITH d AS (SELECT d.doc_id, d.source, d.text, d.n_chars, l.quality, l.toxic,
+             CASE WHEN l.doc_id IS NULL THEN -1 ELSE n_chars % 10 END AS k
+           FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
 made AS (
   SELECT *, 0 AS attempt, 300 AS tokens_in, CASE k
     WHEN 0 THEN 'no json' WHEN 1 THEN '{{"confidence": 0.5}}' WHEN 2 THEN '{{"is_match": "false", "confidence": 1.0}}'
     WHEN 3 THEN '{{"is_match": null, "confidence": 0.29}}'
-    WHEN 4 THEN '{{"is_match": 0, "confidence": 0.57, "reasoning": "none"}}' ELSE {GOOD} END AS content FROM d
+    WHEN 4 THEN '{{"is_match": 0, "confidence": 0.57, "reasoning": "none"}}' ELSE {GOOD} END AS content FROM d WHERE k >= 0
   UNION ALL
   SELECT *, 1, 310, CASE k WHEN 0 THEN '{{"is_match": true}}' ELSE {GOOD} END FROM d WHERE k IN (0, 1)),
 final AS (
-  SELECT doc_id, source, k, CASE WHEN k = 0 THEN 'failed' WHEN k = 2 THEN 'matched' WHEN k IN (3, 4) THEN 'rejected'
+  SELECT doc_id, source, k, CASE WHEN k <= 0 THEN 'failed' WHEN k = 2 THEN 'matched' WHEN k IN (3, 4) THEN 'rejected'
       WHEN quality = 1 THEN 'matched' ELSE 'rejected' END AS route,
-    CASE k WHEN 0 THEN 0.0 WHEN 2 THEN 1.0 WHEN 3 THEN 0.29 WHEN 4 THEN 0.57 ELSE (n_chars % 100) / 100.0 END::DOUBLE
+    CASE k WHEN -1 THEN 0.0 WHEN 0 THEN 0.0 WHEN 2 THEN 1.0 WHEN 3 THEN 0.29 WHEN 4 THEN 0.57 ELSE (n_chars % 100) / 100.0 END::DOUBLE
       AS confidence,
-    CASE k WHEN 0 THEN 'error' WHEN 2 THEN 'false' WHEN 3 THEN 'none' WHEN 4 THEN '0'
+    CASE k WHEN -1 THEN 'error' WHEN 0 THEN 'error' WHEN 2 THEN 'false' WHEN 3 THEN 'none' WHEN 4 THEN '0'
       ELSE (quality = 1)::VARCHAR END AS label,
-    CASE WHEN k IN (0, 2, 3) THEN '' WHEN k = 4 THEN 'none' ELSE 'quality ' || quality || ', toxic ' || toxic END
+    CASE WHEN k IN (-1, 0, 2, 3) THEN '' WHEN k = 4 THEN 'none' ELSE 'quality ' || quality || ', toxic ' || toxic END
       AS reasoning,
-    CASE k WHEN 0 THEN 0 WHEN 1 THEN 310 ELSE 300 END AS tokens_in,
-    CASE k WHEN 0 THEN 0 ELSE length((SELECT m.content FROM made m WHERE m.doc_id = d.doc_id
+    CASE k WHEN -1 THEN 0 WHEN 0 THEN 0 WHEN 1 THEN 310 ELSE 300 END AS tokens_in,
+    CASE k WHEN -1 THEN 0 WHEN 0 THEN 0 ELSE length((SELECT m.content FROM made m WHERE m.doc_id = d.doc_id
       AND m.attempt = CASE k WHEN 1 THEN 1 ELSE 0 END)) END AS tokens_out
   FROM d)
 """
@@ -143,7 +138,7 @@ SQL = {
 WITH s AS (SELECT d.*, 'Is this about work?' AS criteria,
     strftime(TIMESTAMP '2024-01-01' + to_days((d.doc_id % 3650)::INTEGER), '%a, %d %b %Y %H:%M:%S') || ' +0100' AS sent,
     CASE WHEN length(trim(text, {SPACES})) < 20 THEN text ELSE trim(text, {SPACES}) END AS reply
-  FROM documents d JOIN labels l ON l.doc_id = d.doc_id)
+  FROM documents d)
 SELECT doc_id AS msg_index, sha256(criteria || chr(10) || chr(10) || 'EMAIL TO ANALYZE:' || chr(10)
   || 'From: Účastník <' || source || '@docs.example.com>' || chr(10) || 'Date: ' || sent || chr(10)
   || 'Subject: Dokument ' || doc_id || chr(10) || chr(10) || substring(reply, 1, 4000) || chr(10) || chr(10)
@@ -154,11 +149,11 @@ FROM s""",
 SELECT 'd' || doc_id || '.eml' AS filename, label AS llm_decision, round(confidence, 4) AS confidence, reasoning,
   tokens_in::BIGINT AS prompt_tokens, tokens_out::BIGINT AS completion_tokens,
   (tokens_in + tokens_out)::BIGINT AS total_tokens,
-  CASE WHEN k = 0 THEN 'Invalid JSON structure' ELSE '' END AS error_message,
+  CASE WHEN k = -1 THEN 'No response' WHEN k = 0 THEN 'Invalid JSON structure' ELSE '' END AS error_message,
   'Účastník <' || source || '@docs.example.com>' AS from_address, 'Dokument ' || doc_id AS subject,
-  CASE WHEN k = 0 THEN 'failed' ELSE lpad(floor(confidence * 100)::INTEGER::VARCHAR,
+  CASE WHEN k <= 0 THEN 'failed' ELSE lpad(floor(confidence * 100)::INTEGER::VARCHAR,
     CASE WHEN confidence >= 1 THEN 3 ELSE 2 END, '0') END || '_d' || doc_id || '.eml' AS output_filename,
-  CASE WHEN k IN (0, 1) THEN 2 ELSE 1 END::BIGINT AS attempts
+  CASE WHEN k = -1 THEN 0 WHEN k IN (0, 1) THEN 2 ELSE 1 END::BIGINT AS attempts
 FROM final""",
     "classify_routes": RECORDED + """
 SELECT route, count(*) AS n, sum(tokens_in)::BIGINT AS prompt_tokens FROM final GROUP BY route""",
