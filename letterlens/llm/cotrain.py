@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from letterlens.llm.words import WordHashes
+from letterlens.llm.words import WordHashes, slices
 
 # Bounds of the fitting sample: labelled rows, and unlabelled rows for the exchange. Chosen by hash of the id.
 MAX_LABELLED = 8_000
@@ -191,7 +191,7 @@ def fitting_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, targ
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             found = [np.array(sorted(map(cache.__getitem__, text_view(text))), np.uint64).view(np.int64) for text in texts]
             dense = [metadata_view(*row) for row in zip(texts, batch.column("lang").to_pylist(), batch.column("source").to_pylist())]
@@ -234,7 +234,7 @@ def score(docs: DataFrame, models: dict, text: str = "text", only_kept: bool = F
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(text).cast(pa.binary()).to_pylist()
             lang, source = (batch.column(c).to_pylist() if c in batch.schema.names else [None] * len(texts) for c in ("lang", "source"))
             rows = []

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from letterlens.llm.graph import connected_components
-from letterlens.llm.words import WordHashes, shingle_set
+from letterlens.llm.words import WordHashes, shingle_set, slices
 from letterlens.scale import materialize
 
 SKETCH_BITS = 20
@@ -39,7 +39,7 @@ def frequency_sketch(texts: DataFrame, words: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, slots = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(text, words, cache) for text in _binary(batch.column(0))]
             if sets:
                 found = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
@@ -76,7 +76,7 @@ def shingle_index(docs: DataFrame, key: str, text: str, words: int, percent: int
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             out = [[], [], [], [], []]
             for value in _binary(batch.column(1)):
                 found = shingle_set(value, words, cache)
@@ -120,7 +120,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingle_set(value, words, cache) for value in _binary(batch.column(1))]
             digests = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in found]
             shingles = pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))

@@ -18,8 +18,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from letterlens.llm.words import slices
+
 CHUNK = 1 << 16
-WORD_CACHE = 600_000
+WORD_CACHE = 400_000
 SMALL = rb"[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]"
 SIGNS = rb"[!-&(-/:-@\[-`{-~]+"
 SIGNS_BEHIND = re.compile(rb"((?:" + SMALL + rb")+)(" + SIGNS + rb")")
@@ -133,7 +135,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: s
         end = np.array([end_id], encoder.width).tobytes()
         chunker = _Chunker(TaskContext.get().partitionId(), encoder.width)
         ordinal = 0
-        for batch in batches:
+        for batch in slices(batches):
             rows, keys = [], batch.column(0).to_pylist()
             for doc_id, ids in zip(keys, encoder.encode(batch.column(1).cast(pa.binary()).to_pylist())):
                 rows += chunker.add(doc_id, ordinal, np.frombuffer(ids + end, encoder.width))

@@ -1,12 +1,23 @@
 """Words and word shingles of texts, as 64-bit numbers, for use inside Arrow tasks."""
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
+SLICE = 1_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 WORD_CACHE = 200_000
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that fewer texts are held as Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
 class WordHashes(dict):
     """Hash of each word (bytes), kept for words seen lately. Its size is bounded."""
 
