@@ -92,17 +92,17 @@ def _merged(spans: list[tuple]) -> list[tuple]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, key: str, text: str, window: int) -> list[Phrases]:
-    """The benchmark in blocks of about 20,000 items, cut by hash. Documents pass every block in turn."""
+def item_blocks(benchmark: DataFrame, key: str, text: str, window: int, item_block: int = ITEM_BLOCK) -> list[Phrases]:
+    """The benchmark in blocks of about `item_block` items, cut by hash. Documents are searched for every block."""
     items = benchmark.select(F.col(key).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null")
-    blocks = items.count() // ITEM_BLOCK + 1
+    blocks = items.count() // item_block + 1
     place = F.pmod(F.xxhash64("item"), F.lit(blocks))
     return [Phrases([(r.item, r.text) for r in items.where(place == i).collect()], window) for i in range(blocks)]
 
 
 def find_passages(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    window: int = WINDOW,
+    window: int = WINDOW, item_block: int = ITEM_BLOCK,
 ) -> DataFrame:
     """docs with n_words, spans (word numbers from 0, end exclusive, merged) and items (ids as text, sorted, distinct).
 
@@ -114,7 +114,7 @@ def find_passages(
         "*", F.lit(0).cast("bigint").alias("n_words"), F.array().cast(SPANS).alias("spans"),
         F.array().cast("array<string>").alias("items"),
     )
-    for phrases in item_blocks(benchmark, item_key, item_text, window):
+    for phrases in item_blocks(benchmark, item_key, item_text, window, item_block):
         result = result.mapInArrow(_marker(phrases, text), result.schema)
     return result
 
@@ -136,27 +136,28 @@ def _marker(phrases: Phrases, text: str):
     return mark
 
 
-def remove_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs with the words inside occurrences cut out of the text. What is left of a text is searched again, so that no
-    phrase arises across a cut. Documents without a hit keep their text byte by byte."""
-    found = docs
-    for phrases in item_blocks(benchmark, options.get("item_key", "item_id"), options.get("item_text", "text"),
-                               options.get("window", WINDOW)):
-        found = found.mapInArrow(_cutter(phrases, text), found.schema)
-    return found
+def remove_passages(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, item_block: int = ITEM_BLOCK,
+) -> DataFrame:
+    """docs with the words inside occurrences cut out of the text. The occurrences of all blocks of items are found in the
+    same text and cut at once; what is left of it is searched again for all blocks, so that no phrase arises across a
+    cut. Documents without a hit keep their text byte by byte."""
+    return docs.mapInArrow(_cutter(item_blocks(benchmark, item_key, item_text, window, item_block), text), docs.schema)
 
 
-def _cutter(phrases: Phrases, text: str):
+def _cutter(blocks: list[Phrases], text: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text).cast(pa.binary()).to_pylist()
             left = list(range(len(texts)))
             changed = False
             while left:
-                spans = phrases.find([texts[i] for i in left])[1]
-                left = [i for i, found in zip(left, spans) if found]
-                for i, found in zip(left, [found for found in spans if found]):
-                    texts[i], changed = _without(texts[i], found), True
+                searched = [phrases.find([texts[i] for i in left])[1] for phrases in blocks]
+                merged = [_merged([span for spans in found for span in spans]) for found in zip(*searched)]
+                left, merged = [i for i, spans in zip(left, merged) if spans], [spans for spans in merged if spans]
+                for i, spans in zip(left, merged):
+                    texts[i], changed = _without(texts[i], spans), True
             if changed:
                 column = pa.array(texts, pa.binary()).cast(batch.column(text).type)
                 names = batch.schema.names

@@ -93,6 +93,46 @@ def test_removal_leaves_nothing(spark, table):
             assert texts[i] == text
 
 
+def without(text, items):
+    """All occurrences cut at once, again and again."""
+    while brute(text, items)[1]:
+        have, hit = words(text), set()
+        for _, item in items:
+            phrase = words(item)
+            width = min(10, len(phrase))
+            runs = {tuple(phrase[i : i + width]) for i in range(len(phrase) - width + 1)}
+            hit |= {j for i in range(len(have) - width + 1) if tuple(have[i : i + width]) in runs for j in range(i, i + width)}
+        text = " ".join(word for i, word in enumerate(have) if i not in hit)
+    return words(text)
+
+
+def test_blocks_of_few_items(spark, table):
+    """Passages of different blocks that overlap, and phrases that arise across the cut of another block."""
+    w = [f"w{i}" for i in range(30)]
+    items, docs = [], []
+    for n in range(12):  # whichever of two items comes first, the other's words must go too
+        own = [f"{n}{word}" for word in w]
+        items += [(2 * n, " ".join(own[:12])), (2 * n + 1, " ".join(own[5:21]))]
+        docs.append((n, "before " + " ".join(own[:21]) + " behind"))
+    for n in range(12, 24):
+        own = [f"{n}{word}" for word in w]
+        items += [(2 * n, " ".join(own[:12])), (2 * n + 1, " ".join(own[15:27]))]
+        docs.append((n, " ".join(["before", *own[:6], *own[15:27], *own[6:12], "behind"])))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for size in (3, 20_000):
+        for r in remove_passages(table(docs), benchmark, item_block=size).collect():
+            assert words(r.text) == without(docs[r.doc_id][1], items) == ["before", "behind"]
+    docs, items = cases()
+    items = [item for item in items if item[0] is not None and words(item[1])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    expected = sorted((repr(i), without(text, items)) for i, text in docs)
+    for size in (3, 20_000):
+        got = remove_passages(table(docs), benchmark, item_block=size).collect()
+        assert sorted((repr(r.doc_id), words(r.text)) for r in got) == expected
+    found = [sorted(map(repr, find_passages(table(docs), benchmark, item_block=size).collect())) for size in (3, 20_000)]
+    assert found[0] == found[1]
+
+
 def test_empty_tables(spark, table):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r) for r in find_passages(table([(1, "a b")]), nothing).select("n_words", "spans", "items").collect()] == [(2, [], [])]
