@@ -1,8 +1,9 @@
 """Quality classifier by co-training.
 
 Two views of a document are learned apart: the words of its text, and its page metadata (language, source, length, layout
-and the shares of kinds of characters). Over some rounds each view labels the pool documents that it is sure of for the
-other. Both are then calibrated on rows held out and combined, and the pair scores every document."""
+and the shares of kinds of characters). Over some rounds each view labels the unlabelled documents that it is sure of for the
+other. All unlabelled documents take part: Spark sums the counts of their words and the gradients, and only sums of
+the size of a model reach the driver. Both are then calibrated on rows held out and combined, and the pair scores every document."""
 
 import math
 import re
@@ -14,17 +15,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from letterlens.llm.words import WordHashes, slices
+from letterlens.scale import materialize, scratch_path
 
-# Bounds of the fitting sample: labelled rows, and unlabelled rows for the exchange. Chosen by hash of the id.
+# Bound of the labelled rows, chosen by hash of the id. Unlabelled rows have none.
 MAX_LABELLED = 8_000
-MAX_POOL = 4_000
 ROUNDS = 3
+STEPS = 10
 SURE = 0.97
-SHARE = 0.1
+# Words of a target: as many from the labelled rows, and as many more from the exchange of the latest round.
 MAX_WORDS = 4_000
+FAR = 20.0
 LEAST_Z = 4.0
 FOLD = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 SIGNS = bytes(c if 33 <= c <= 126 and not chr(c).isalnum() else 32 for c in range(256))
@@ -79,6 +82,10 @@ def logistic(features: np.ndarray, labels: np.ndarray, penalty: float, steps: in
     return weights
 
 
+def standard(metadata: np.ndarray, center: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    return np.clip((metadata - center) / spread, -FAR, FAR)
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
@@ -126,68 +133,102 @@ class Model:
         """Calibrated chance by text, by metadata score, and by both."""
         get = self.words.get
         text = math.fsum(get(word, 0.0) for word in words) + self.constant
-        page = float(((np.asarray(metadata) - self.center) / self.spread) @ self.metadata[:-1] + self.metadata[-1])
+        page = float(standard(np.asarray(metadata), self.center, self.spread) @ self.metadata[:-1] + self.metadata[-1])
         both = float(self.combined @ np.clip([text, page, 1.0], -20, 20))
         return float(_sigmoid(text)), float(_sigmoid(page)), float(_sigmoid(both))
 
 
-def train(words: list[np.ndarray], metadata: np.ndarray, labels: np.ndarray) -> Model | None:
-    """labels: 1, 0, or -1 for pool rows. None if there are not both classes to learn from and to calibrate on."""
-    known = np.flatnonzero(labels >= 0)
-    held, learned, pool = known[::5], np.setdiff1d(known, known[::5]), np.flatnonzero(labels < 0)
-    if len(set(labels[held])) < 2 or len(set(labels[learned])) < 2:
-        return None
-    center, spread = metadata[known].mean(0), metadata[known].std(0) + 1e-6
-    page = (metadata - center) / spread
-    names = _chosen_words([words[i] for i in learned], labels[learned])
-    rows = Words([np.flatnonzero(np.isin(names, found, assume_unique=True)) for found in words])
-    text_labels, page_labels = labels.copy(), labels.copy()
-    text_rows, page_rows = learned, learned
-    for turn in range(ROUNDS + 1):
-        text_weights = rows.take(text_rows).fit(text_labels[text_rows], len(names))
-        page_weights = logistic(page[page_rows], page_labels[page_rows], 1.0)
-        if turn == ROUNDS or not len(pool):
-            break
-        by_text, by_page = rows.scores(text_weights), np.c_[page, np.ones(len(page))] @ page_weights
-        most = int(SHARE * len(pool))
-        for scores, own, other in ((by_text, text_labels, page_labels), (by_page, page_labels, text_labels)):
-            scale = logistic(scores[held, None], labels[held], 1e-3)
-            chance = _sigmoid(scores * scale[0] + scale[1])
-            for label, sure in ((1, chance), (0, 1 - chance)):
-                best = pool[np.argsort(-sure[pool], kind="stable")[:most]]
-                other[best[sure[best] >= SURE]] = label
-        text_rows = np.r_[learned, pool[text_labels[pool] >= 0]]
-        page_rows = np.r_[learned, pool[page_labels[pool] >= 0]]
-    both = np.c_[rows.scores(text_weights), np.c_[page, np.ones(len(page))] @ page_weights]
-    combined = logistic(np.clip(both[held], -20, 20), labels[held], 1e-2)
-    weights = {int(word): float(w) for word, w in zip(names, text_weights)}
-    return Model(weights, float(text_weights[-1]), center, spread, page_weights, combined)
-
-
-def _chosen_words(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Hashes, ascending, of the words whose document frequency differs most between the classes."""
-    words, place = np.unique(np.concatenate(rows), return_inverse=True)
-    bad = np.repeat(labels == 1, [len(row) for row in rows])
-    n_bad, n = (labels == 1).sum(), len(labels)
-    seen, seen_bad = np.bincount(place, minlength=len(words)), np.bincount(place[bad], minlength=len(words))
-    share = seen / n
-    error = np.sqrt(share * (1 - share) * (1 / n_bad + 1 / (n - n_bad)) + 1e-12)
-    z = np.abs(seen_bad / n_bad - (seen - seen_bad) / (n - n_bad)) / error
-    chosen = np.flatnonzero(((seen >= 4) & (z >= LEAST_Z)) | np.isin(words, FEW))
-    best = chosen[np.lexsort((words[chosen], -z[chosen]))][:MAX_WORDS]
-    return np.sort(words[best])
-
-
-def fitting_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, targets: list[str]) -> tuple[list, np.ndarray, np.ndarray]:
-    """Views and labels of at most MAX_LABELLED labelled and MAX_POOL other documents. Views are made where the documents
-    are; only word hashes and metadata come to the driver."""
-    known = labels.where(F.col(key).isNotNull()).groupBy(key).agg(*(F.max(t).cast("int").alias(f"label_{t}") for t in targets))
-    known = known.orderBy(F.xxhash64(key), key).limit(MAX_LABELLED)
-    rows = docs.select(F.col(key), F.col(text).alias("text"), *(F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")))
-    labelled = rows.join(F.broadcast(known), key)
-    others = rows.select(key).where(F.col(key).isNotNull()).join(labels.select(key).distinct(), key, "left_anti")
-    chosen = others.distinct().orderBy(F.xxhash64(key), key).limit(MAX_POOL)
-    pool = rows.join(F.broadcast(chosen), key).select("*", *(F.lit(-1).alias(f"label_{t}") for t in targets))
+TARGETS = ("low", "toxic")
+
+
+@dataclass
+class View:
+    """What tasks need of one target: sorted word hashes, both views' weights (constant last) and their calibration."""
+
+    names: np.ndarray
+    text: np.ndarray
+    page: np.ndarray
+    center: np.ndarray
+    spread: np.ndarray
+    text_scale: np.ndarray
+    page_scale: np.ndarray
+
+
+class Learner:
+    """The labelled rows of one target on the driver, and its two views."""
+
+    def __init__(self, metadata: np.ndarray, labels: np.ndarray):
+        known = np.flatnonzero(labels >= 0)
+        self.labels, self.held = labels, known[::5]
+        self.learned = np.setdiff1d(known, self.held)
+        self.usable = len(set(labels[self.held])) == 2 and len(set(labels[self.learned])) == 2
+        if self.usable:
+            self.center, self.spread = metadata[known].mean(0), metadata[known].std(0) + 1e-6
+            self.page = np.c_[standard(metadata, self.center, self.spread), np.ones(len(metadata))]
+            self.page_weights = logistic(self.page[self.learned, :-1], labels[self.learned], 1.0)
+            self.names, self.text_weights = np.empty(0, np.int64), np.zeros(1)
+
+    def own(self) -> np.ndarray:
+        """Labels of the rows to learn from, -1 elsewhere."""
+        own = np.full(len(self.labels), -1)
+        own[self.learned] = self.labels[self.learned]
+        return own
+
+    def take_words(self, names: np.ndarray, rows: list[np.ndarray]) -> None:
+        """Go over to another word list; rows are the numbers in it of the labelled rows' words."""
+        weights = np.zeros(len(names) + 1)
+        weights[-1] = self.text_weights[-1]
+        weights[np.searchsorted(names, self.names)] = self.text_weights[:-1]
+        self.names, self.text_weights, self.rows = names, weights, Words(rows)
+        self.own_rows = self.rows.take(self.learned)
+
+    def calibrated(self) -> View:
+        scale = lambda scores: logistic(scores[self.held, None], self.labels[self.held], 1e-3)
+        return View(
+            self.names, self.text_weights, self.page_weights, self.center, self.spread,
+            scale(self.rows.scores(self.text_weights)), scale(self.page @ self.page_weights),
+        )
+
+    def begin(self, counts: np.ndarray, n_text: int, n_page: int) -> None:
+        """Rows of the exchange weigh at most as much, taken together, as the labelled rows."""
+        self.text_share, self.page_share = (min(1.0, len(self.learned) / max(n, 1)) for n in (n_text, n_page))
+        own = np.r_[np.bincount(self.own_rows.word, minlength=len(self.names)), len(self.learned)]
+        self.scale = 4.0 / ((own + self.text_share * counts) / 4 + 1.0)
+        self.speed = np.zeros(len(self.names) + 1)
+
+    def step(self, text: np.ndarray, gradient: np.ndarray, curve: np.ndarray) -> None:
+        """One step of each view by the sums over the exchange and over the labelled rows."""
+        y = self.labels[self.learned]
+        error = _sigmoid(self.own_rows.scores(self.text_weights)) - y
+        own = np.r_[np.bincount(self.own_rows.word, error[self.own_rows.row], len(self.names)) + self.text_weights[:-1], error.sum()]
+        self.speed = 0.8 * self.speed - 0.05 * self.scale * (own + self.text_share * text)
+        self.text_weights = self.text_weights + self.speed
+        x = self.page[self.learned]
+        p = _sigmoid(x @ self.page_weights)
+        ridge = np.r_[np.ones(x.shape[1] - 1), 1e-6]
+        gradient = x.T @ (p - y) + self.page_share * gradient + ridge * self.page_weights
+        curve = (x * (p * (1 - p))[:, None]).T @ x + self.page_share * curve + np.diag(ridge)
+        self.page_weights = self.page_weights - np.clip(np.linalg.solve(curve, gradient), -5, 5)
+
+    def model(self) -> Model:
+        both = np.c_[self.rows.scores(self.text_weights), self.page @ self.page_weights]
+        combined = logistic(np.clip(both[self.held], -20, 20), self.labels[self.held], 1e-2)
+        weights = dict(zip(self.names.view(np.uint64).tolist(), self.text_weights.tolist()))
+        return Model(weights, float(self.text_weights[-1]), self.center, self.spread, self.page_weights, combined)
+
+
+def stored_views(docs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
+    """Stored: (key, sampled, low, toxic, words, metadata) of every row of docs. At most MAX_LABELLED keys are sampled; the
+    labels of all other rows are -1."""
+    known = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    sample = known.orderBy(F.xxhash64("key"), "key").limit(MAX_LABELLED).select(
+        "key", F.lit(True).alias("sampled"), F.when(F.col("quality") >= 0, (F.col("quality") == 0).cast("int")).alias("low"),
+        F.when(F.col("toxic") >= 0, F.least(F.col("toxic").cast("int"), F.lit(1))).alias("toxic"),
+    )
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *(F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")))
+    rows = rows.join(F.broadcast(sample), "key", "left").select(
+        "key", F.coalesce("sampled", F.lit(False)).alias("sampled"), *(F.coalesce(t, F.lit(-1)).alias(t) for t in TARGETS), "text", "lang", "source"
+    )
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -196,29 +237,225 @@ def fitting_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, targ
             found = [np.array(sorted(map(cache.__getitem__, text_view(text))), np.uint64).view(np.int64) for text in texts]
             dense = [metadata_view(*row) for row in zip(texts, batch.column("lang").to_pylist(), batch.column("source").to_pylist())]
             yield pa.record_batch(
-                [batch.column(key), pa.array(found, pa.list_(pa.int64())), pa.array(dense, pa.list_(pa.float64())),
-                 *(batch.column(f"label_{t}") for t in targets)],
-                ["key", "words", "metadata", *(f"label_{t}" for t in targets)],
+                [*(batch.column(c) for c in same), pa.array(found, pa.list_(pa.int64())), pa.array(dense, pa.list_(pa.float64()))],
+                [*same, "words", "metadata"],
             )
 
-    kind = rows.schema[key].dataType.simpleString()
-    schema = f"key {kind}, words array<bigint>, metadata array<double>, " + ", ".join(f"label_{t} int" for t in targets)
-    # At most one row of a key: repeated rows would count twice.
-    sample = labelled.unionByName(pool).mapInArrow(views, schema).dropDuplicates(["key"]).toArrow().sort_by("key")
-    lists = sample["words"].combine_chunks()
-    hashes, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy())
-    words = np.split(hashes, ends[:-1]) if len(ends) else []
-    found = np.array([[-1 if v is None else v for v in sample[f"label_{t}"].to_pylist()] for t in targets]).reshape(len(targets), len(words))
-    return words, np.array(sample["metadata"].to_pylist(), float), found
+    same = ["key", "sampled", *TARGETS]
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, sampled boolean, low int, toxic int, words array<bigint>, metadata array<double>"
+    path = scratch_path(docs.sparkSession, "views")
+    # Most words are in many documents: numbers in a dictionary take a fraction of their hashes.
+    stored = rows.mapInArrow(views, schema)
+    stored.write.option("parquet.dictionary.page.size", 8 << 20).option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(stored.schema).parquet(path)
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of all lists, and the row of each."""
+    lengths = column.value_lengths().to_numpy()
+    return column.flatten().to_numpy(), np.repeat(np.arange(len(lengths)), lengths)
+
+
+def _dense(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.empty((0, 10 + 2 * HASHED))
+
+
+def _numbers(words: np.ndarray, row: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place in names of the words that stand there, and their rows."""
+    if not len(names):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(names, words), len(names) - 1)
+    hit = names[at] == words
+    return at[hit], row[hit]
+
+
+def _rows_of(number: np.ndarray, row: np.ndarray, count: int) -> pa.ListArray:
+    ends = np.r_[0, np.cumsum(np.bincount(row, minlength=count))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(number, pa.int32()))
+
+
+def exchanged(rows: DataFrame, views: dict[str, View]) -> DataFrame:
+    """(words, metadata, text_*, page_*) of the rows that a view is sure of: text_* are labels by the page view, for the text
+    view, and the other way round; -1 where the view is not sure or a label is given."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            n = batch.num_rows
+            (words, row), metadata = _lists(batch.column("words")), _dense(batch.column("metadata"))
+            labels = []
+            for target in TARGETS:
+                found = [np.full(n, -1, np.int32), np.full(n, -1, np.int32)]
+                if target in views:
+                    view, free = views[target], batch.column(target).to_numpy() < 0
+                    page = np.c_[standard(metadata, view.center, view.spread), np.ones(n)] @ view.page
+                    number, at = _numbers(words, row, view.names)
+                    text = np.bincount(at, view.text[number], n) + view.text[-1]
+                    for labelled, scores, scale in zip(found, (page, text), (view.page_scale, view.text_scale)):
+                        chance = _sigmoid(scores * scale[0] + scale[1])
+                        labelled[free & (chance >= SURE)] = 1
+                        labelled[free & (1 - chance >= SURE)] = 0
+                labels += found
+            names = ["words", "metadata", *(f"{v}_{t}" for t in TARGETS for v in ("text", "page"))]
+            out = pa.record_batch([batch.column("words"), batch.column("metadata"), *map(pa.array, labels)], names)
+            yield out.filter(pa.array(np.max(labels, axis=0) >= 0))
+
+    columns = ", ".join(f"{v}_{t} int" for t in TARGETS for v in ("text", "page"))
+    return rows.mapInArrow(judge, f"words array<bigint>, metadata array<double>, {columns}")
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """Stored: (word, seen_*, bad_*), the number of rows with a text_* label and of those labelled 1 that have the word. The
+    row without a word has the number of rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words, row = _lists(batch.column("words"))
+            words, place = np.unique(words, return_inverse=True)
+            counts = []
+            for target in TARGETS:
+                label = batch.column(f"text_{target}").to_numpy()
+                for chosen in (label >= 0, label == 1):
+                    counts.append(np.r_[np.bincount(place[chosen[row]], minlength=len(words)), chosen.sum()].astype(np.int64))
+            seen = pa.array(np.max(counts, axis=0) > 0)
+            column = pa.array(np.r_[words, 0], pa.int64(), mask=np.r_[np.zeros(len(words), bool), True])
+            yield pa.record_batch([column, *map(pa.array, counts)], ["word", *names]).filter(seen)
+
+    names = [f"{kind}_{t}" for t in TARGETS for kind in ("seen", "bad")]
+    counted = rows.mapInArrow(count, "word bigint, " + ", ".join(f"{name} bigint" for name in names))
+    return materialize(counted.groupBy("word").agg(*(F.sum(name).alias(name) for name in names)), "words")
+
+
+def chosen_words(counts: DataFrame, target: str) -> np.ndarray:
+    """Hashes, ascending, of the words whose document frequency differs most between the classes."""
+    total = counts.where("word is null").select(f"seen_{target}", f"bad_{target}").first()
+    n, n_bad = total or (0, 0)
+    if not 0 < n_bad < n:
+        return np.empty(0, np.int64)
+    seen, bad = F.col(f"seen_{target}"), F.col(f"bad_{target}")
+    error = F.sqrt(seen / n * (1 - seen / n) * (1 / n_bad + 1 / (n - n_bad)) + 1e-12)
+    z = F.abs(bad / n_bad - (seen - bad) / (n - n_bad)) / error
+    words = counts.where(F.col("word").isNotNull() & (seen > 0)).select("word", seen.alias("seen"), z.alias("z"))
+    few = F.col("word").isin(FEW.view(np.int64).tolist())
+    best = words.where(((F.col("seen") >= 4) & (F.col("z") >= LEAST_Z)) | few).orderBy(F.desc("z"), "word").limit(MAX_WORDS)
+    return np.sort(np.array([r.word for r in best.collect()], np.int64))
+
+
+def labelled_numbers(labelled: DataFrame, lists: dict[str, np.ndarray]) -> dict[str, list[np.ndarray]]:
+    """Per target: the numbers, in its word list, of the words of each labelled row, rows in order of their keys."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [_rows_of(*_numbers(*_lists(batch.column("words")), names), batch.num_rows) for names in lists.values()]
+            yield pa.record_batch([batch.column("key"), *found], ["key", *lists])
+
+    kind = labelled.schema["key"].dataType.simpleString()
+    schema = f"key {kind}, " + ", ".join(f"{t} array<int>" for t in lists)
+    found = labelled.select("key", "words").mapInArrow(number, schema).toArrow().sort_by("key")
+    return {t: [np.array(x, np.int64) for x in found[t].to_pylist()] for t in lists}
+
+
+def numbered(exchange: DataFrame, lists: dict[str, np.ndarray]) -> DataFrame:
+    """Stored: the exchange with numbers in the targets' word lists in place of words."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words, row = _lists(batch.column("words"))
+            found = []
+            for target, names in lists.items():
+                known = batch.column(f"text_{target}").to_numpy()[row] >= 0
+                found.append(_rows_of(*_numbers(words[known], row[known], names), batch.num_rows))
+            yield pa.record_batch([*found, *batch.columns[1:]], [*lists, *batch.schema.names[1:]])
+
+    schema = StructType()
+    for target in lists:
+        schema = schema.add(target, ArrayType(IntegerType()))
+    return materialize(exchange.mapInArrow(number, StructType([*schema, *exchange.schema[1:]])), "exchange")
+
+
+def gradient_sums(exchange: DataFrame, views: dict[str, View], counts: bool = False) -> dict[str, tuple[np.ndarray, ...]]:
+    """Per target, summed over the exchange: gradient of the text weights, gradient and curvature of the page weights. With
+    counts: rows with each word and all rows of the text view, in place of the first; rows of the page view last in the second."""
+    wide = 11 + 2 * HASHED
+    sizes = {t: (len(view.names) + 1, wide, wide * wide) for t, view in views.items()}
+    total = sum(map(sum, sizes.values()))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(total)
+        for batch in slices(batches):
+            n, at = batch.num_rows, 0
+            metadata = _dense(batch.column("metadata"))
+            for target, view in views.items():
+                (number, row), label = _lists(batch.column(target)), batch.column(f"text_{target}").to_numpy()
+                if counts:
+                    error = np.ones(n)
+                else:  # whole numbers: their sum is the same in any order
+                    scores = np.bincount(row, view.text[number], n) + view.text[-1]
+                    error = np.rint((_sigmoid(scores) - label) * 2**20)
+                error[label < 0] = 0
+                label = batch.column(f"page_{target}").to_numpy()
+                x, y = np.c_[standard(metadata, view.center, view.spread), np.ones(n)][label >= 0], label[label >= 0]
+                p = _sigmoid(x @ view.page)
+                slope = x.T @ (np.ones(len(y)) if counts else p - y)
+                parts = (np.r_[np.bincount(number, error[row], len(view.names)), error.sum()], slope, ((x * (p * (1 - p))[:, None]).T @ x).ravel())
+                for part in parts:
+                    sums[at : at + len(part)] += part
+                    at += len(part)
+        slots = np.flatnonzero(sums)
+        yield pa.record_batch([pa.array(slots, pa.int32()), pa.array(sums[slots])], ["slot", "value"])
+
+    found = exchange.mapInArrow(add, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toArrow()
+    sums = np.zeros(total)
+    sums[found["slot"].to_numpy()] = found["value"].to_numpy()
+    out, at = {}, 0
+    for target, (text, page, curve) in sizes.items():
+        unit = 1.0 if counts else 2.0**-20
+        out[target] = (sums[at : at + text] * unit, sums[at + text : at + text + page], sums[at + text + page : at + text + page + curve].reshape(page, page))
+        at += text + page + curve
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, Model | None]:
     """Models of low quality and of toxicity from labels (key, quality, toxic)."""
-    words, metadata, (quality, toxic) = fitting_sample(docs, labels, key, text, ["quality", "toxic"])
-    if not len(words):
-        return {"low": None, "toxic": None}
-    low = np.where(quality < 0, -1, (quality == 0).astype(int))
-    return {"low": train(words, metadata, low), "toxic": train(words, metadata, np.minimum(toxic, 1))}
+    rows = stored_views(docs, labels, key, text)
+    # At most one row of a labelled key: repeated rows would count twice.
+    labelled = materialize(rows.where("sampled").dropDuplicates(["key"]), "labelled")
+    known = labelled.select("key", "metadata", *TARGETS).toArrow().sort_by("key")
+    metadata = np.array(known["metadata"].to_pylist(), float)
+    learners = {t: Learner(metadata, known[t].to_numpy()) for t in TARGETS}
+    learned = {t: learner for t, learner in learners.items() if learner.usable}
+    models: dict[str, Model | None] = dict.fromkeys(TARGETS)
+    if not learned:
+        return models
+    own = docs.sparkSession.createDataFrame(
+        pa.table({"key": known["key"], **{f"text_{t}": pa.array(learners[t].own(), pa.int32()) for t in TARGETS}})
+    )
+    own_words = materialize(labelled.select("key", "words").join(F.broadcast(own), "key").select("words", *(f"text_{t}" for t in TARGETS)), "own")
+    counts = word_counts(own_words)
+    first = {t: chosen_words(counts, t) for t in learned}
+    found = labelled_numbers(labelled, first)
+    for t, learner in learned.items():
+        learner.take_words(first[t], found[t])
+        learner.text_weights = learner.own_rows.fit(learner.labels[learner.learned], len(first[t]))
+    free = rows.where("low < 0 or toxic < 0")
+    for _ in range(ROUNDS):
+        exchange = exchanged(free, {t: learner.calibrated() for t, learner in learned.items()})
+        counts = word_counts(exchange.select("words", *(f"text_{t}" for t in TARGETS)).unionByName(own_words))
+        lists = {t: np.union1d(first[t], chosen_words(counts, t)) for t in learned}
+        stored = numbered(exchange, lists)
+        found = labelled_numbers(labelled, lists)
+        for t, learner in learned.items():
+            # Words of an earlier round that are not chosen again leave the list.
+            stay = np.isin(learner.names, lists[t])
+            learner.names, learner.text_weights = learner.names[stay], np.r_[learner.text_weights[:-1][stay], learner.text_weights[-1]]
+            learner.take_words(lists[t], found[t])
+        for turn in range(STEPS + 1):
+            sums = gradient_sums(stored, {t: learner.calibrated() for t, learner in learned.items()}, counts=turn == 0)
+            for t, learner in learned.items():
+                if turn == 0:
+                    learner.begin(sums[t][0], int(sums[t][0][-1]), int(sums[t][1][-1]))
+                else:
+                    learner.step(*sums[t])
+    return models | {t: learner.model() for t, learner in learned.items()}
 
 
 NEW = ("p_low_text", "p_low_page", "p_low", "p_toxic_text", "p_toxic_page", "p_toxic")

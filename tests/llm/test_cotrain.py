@@ -50,3 +50,17 @@ def test_without_labels_or_rows(spark, table):
     rows, labels = small(spark, table)
     assert all(r.kept for r in cotrain.score(table(rows), cotrain.fit(table(rows), none)).collect())
     assert cotrain.score(table([]), cotrain.fit(table([]), labels)).count() == 0
+
+
+def test_unlabelled_documents_add_words(spark):
+    """A word that no labelled document has, in documents that the page view is sure of; more of them than one sample held."""
+    rng = random.Random(4)
+    text = lambda *more: " ".join([*(rng.choice(("sun", "tree", "road")) for _ in range(25)), *more])
+    rows = [(i, text(*["vile"] * (i % 2)), "en", ("web", "forum")[i % 2]) for i in range(120)]
+    rows += [(i, text(*["fresh"] * (i % 2)), "en", ("web", "forum")[i % 2]) for i in range(1_000, 6_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(120)], "doc_id long, quality int, toxic int")
+    views = cotrain.stored_views(docs, labels, "doc_id", "text")
+    assert views.where("not sampled").count() == 5_000
+    model = cotrain.fit(docs, labels)["toxic"]
+    assert model.words[cotrain.xxhash.xxh3_64_intdigest(b"fresh")] > 0.1
