@@ -18,7 +18,9 @@ from letterlens.llm.lists import complete_lists, pair_batches
 from letterlens.scale import materialize
 
 LIMIT = 2
+# Lines of LEAST code points or more may differ by LIMIT edits, lines of SHORT or more by one.
 LEAST = 40
+SHORT = 12
 SEEN = 500_000
 BLOCK = 256
 
@@ -38,20 +40,29 @@ def cuts(length: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def index_keys(line: str, limit: int) -> list[int]:
+def allowed(length: int, limit: int, least: int = 0) -> int:
+    """Edits between a line of this length and an equally long or longer one of its class."""
+    if length >= max(least, limit + 1):
+        return limit
+    return min(limit, 1) if length >= SHORT else 0
+
+
+def index_keys(line: str, limit: int, least: int = 0) -> list[int]:
     n = len(line)
-    return [_key(line[at : at + size], n, i) for i, (at, size) in enumerate(cuts(n, limit + 1))]
+    return [_key(line[at : at + size], n, i) for i, (at, size) in enumerate(cuts(n, allowed(n, limit, least) + 1))]
 
 
-def probe_keys(line: str, limit: int) -> list[int]:
+def probe_keys(line: str, limit: int, least: int = 0) -> list[int]:
     """Keys under which an equally long or shorter line within the limit would be found."""
     keys, n = [], len(line)
-    for other in range(max(limit + 1, n - limit), n + 1):
-        gap = n - other
-        for i, (at, size) in enumerate(cuts(other, limit + 1)):
-            # Edits before segment i number at most i, edits behind it at most limit - i.
-            first = max(0, at - i, at + gap - (limit - i))
-            last = min(n - size, at + i, at + gap + (limit - i))
+    for other in range(max(1, n - limit), n + 1):
+        gap, most = n - other, allowed(other, limit, least)
+        if gap > most or not most:
+            continue
+        for i, (at, size) in enumerate(cuts(other, most + 1)):
+            # Edits before segment i number at most i, edits behind it at most `most` - i.
+            first = max(0, at - i, at + gap - (most - i))
+            last = min(n - size, at + i, at + gap + (most - i))
             keys += [_key(line[place : place + size], other, i) for place in range(first, last + 1)]
     return keys
 
@@ -98,12 +109,12 @@ def index_entries(docs: DataFrame, limit: int, least: int) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 for _, line in split_lines(text):
                     name = line_hash(line)
-                    if len(line) < max(least, limit + 1) or name in seen:
+                    if not allowed(len(line), limit, least) or name in seen:
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(name)
-                    index, probes = index_keys(line, limit), list(dict.fromkeys(probe_keys(line, limit)))
+                    index, probes = index_keys(line, limit, least), list(dict.fromkeys(probe_keys(line, limit, least)))
                     count = len(index) + len(probes)
                     keys += index + probes
                     lines += [name] * count
@@ -130,16 +141,18 @@ def index_entries(docs: DataFrame, limit: int, least: int) -> DataFrame:
     return materialize(entries.mapInArrow(several, schema).distinct(), "entries")
 
 
-def leader_pairs(entries: DataFrame, limit: int) -> DataFrame:
+def leader_pairs(entries: DataFrame, limit: int, least: int) -> DataFrame:
     """A star for each index list: its first indexed line with every other line."""
     indexed = entries.where("place % 2 = 1").groupBy("key").agg(F.min(F.struct("line", "parity", "place")).alias("leader"))
     differing = F.bit_count(F.col("parity").bitwiseXOR(F.col("leader.parity")))
-    near = (differing <= 4 * limit) & (F.abs(F.shiftright("place", 1) - F.shiftright("leader.place", 1)) <= limit)
+    length, other = F.shiftright("place", 1), F.shiftright("leader.place", 1)
+    most = F.when(F.least(length, other) >= max(least, limit + 1), limit).otherwise(min(limit, 1))
+    near = (differing <= 4 * most) & (F.abs(length - other) <= most)
     pairs = entries.join(indexed, "key").where((F.col("line") != F.col("leader.line")) & near)
     return pairs.select(F.col("leader.line").alias("a"), F.col("line").alias("b")).distinct()
 
 
-def list_pairs(entries: DataFrame, components: DataFrame, limit: int) -> DataFrame:
+def list_pairs(entries: DataFrame, components: DataFrame, limit: int, least: int) -> DataFrame:
     """Pairs of an indexed and a probing line of one list, from different components, close in length and parity."""
     labelled = entries.join(components.withColumnRenamed("node", "line"), "line", "left").select(
         "key", "place", "line", "parity", F.coalesce("component", "line").alias("component")
@@ -150,11 +163,12 @@ def list_pairs(entries: DataFrame, components: DataFrame, limit: int) -> DataFra
         probes = np.flatnonzero(~place & 1)
         for f in range(0, len(index), BLOCK):
             x = index[f : f + BLOCK]
+            most = np.where(place[x] >> 1 >= max(least, limit + 1), limit, min(limit, 1))[:, None]
             for g in range(0, len(probes), BLOCK):
                 y = probes[g : g + BLOCK]
                 gap = (place[y][None] >> 1) - (place[x][:, None] >> 1)
-                close = np.bitwise_count((sign[x][:, None] ^ sign[y][None]).view(np.uint64)) <= 4 * limit
-                i, j = np.nonzero((gap >= 0) & (gap <= limit) & close & (component[x][:, None] != component[y][None]))
+                close = np.bitwise_count((sign[x][:, None] ^ sign[y][None]).view(np.uint64)) <= 4 * most
+                i, j = np.nonzero((gap >= 0) & (gap <= most) & close & (component[x][:, None] != component[y][None]))
                 if len(i):
                     yield line[x[i]], line[y[j]]
 
@@ -170,8 +184,8 @@ def list_pairs(entries: DataFrame, components: DataFrame, limit: int) -> DataFra
     return labelled.repartition("key").sortWithinPartitions("key", "place").mapInArrow(lists, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
-    """The pairs of lines whose edit distance is within the limit. One document is read for each line asked for."""
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, limit: int, least: int) -> DataFrame:
+    """The pairs of lines whose edit distance is within the limit for the shorter line. One document is read for each line asked for."""
     wanted = materialize(pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct(), "wanted")
     holders = rows.select("id", F.explode("lines").alias("line")).join(wanted, "line", "left_semi").groupBy("line").agg(F.max("id").alias("holder"))
     holders = materialize(holders.select("holder").distinct(), "holders")
@@ -184,7 +198,8 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, limit: int) ->
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = [within(a, b, limit) for a, b in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())]
+            pairs = zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())
+            same = [within(a, b, allowed(min(len(a), len(b)), limit, least)) for a, b in pairs]
             yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
     known = texts.mapInArrow(read, "line long, text string").join(wanted, "line", "left_semi").dropDuplicates(["line"])
@@ -196,8 +211,8 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, limit: int) ->
 
 def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, least: int = LEAST) -> DataFrame:
     """(uid, id, n_lines, kept_lines, n_removed) per document. Lines of `least` code points or more are of one class when
-    edits of at most `limit` code points lead from one to the other, over any number of lines between; shorter lines
-    when they are equal. Of each class the line of the smallest id (of rows with equal ids the first, there the first
+    edits of at most `limit` code points lead from one to the other, over any number of lines between; when the shorter
+    of two lines has fewer, but SHORT or more, one edit; lines shorter than that when they are equal. Of each class the line of the smallest id (of rows with equal ids the first, there the first
     line) is kept; kept_lines has the numbers of the kept lines, from 0.
 
     Lines without a word do not count. Null and empty texts have no lines; rows with null ids come last; repeated rows
@@ -205,11 +220,11 @@ def line_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", limit
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     rows = line_numbers(docs)
     entries = index_entries(docs, limit, least)
-    links = materialize(verified(materialize(leader_pairs(entries, limit), "pairs"), docs, rows, limit), "links")
+    links = materialize(verified(materialize(leader_pairs(entries, limit, least), "pairs"), docs, rows, limit, least), "links")
     first = materialize(connected_components(links), "components")
-    crossing = materialize(list_pairs(entries, first, limit), "pairs")
+    crossing = materialize(list_pairs(entries, first, limit, least), "pairs")
     known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    classes = connected_components(known.unionByName(verified(crossing, docs, rows, limit)))
+    classes = connected_components(known.unionByName(verified(crossing, docs, rows, limit, least)))
     places = rows.select("uid", "id", F.explode(F.arrays_zip("numbers", "lines")).alias("at"))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "uid", F.col("at.numbers").alias("number"))
     lines = places.groupBy(F.col("at.lines").alias("node")).agg(F.min(place).alias("place"))

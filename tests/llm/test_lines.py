@@ -101,3 +101,29 @@ def test_ties_and_nulls(spark, table):
     got = line_classes(table(rows)).collect()
     assert sorted((r.id or -1, r.n_lines, r.n_removed) for r in got) == [(-1, 1, 1), (2, 4, 1), (4, 1, 1), (4, 1, 1)]
     assert line_classes(table([])).count() == 0
+
+
+def test_short_lines(spark, table):
+    """One edit from 12 code points, two from 40, by the length of the shorter line; below 12 equal lines only."""
+    rng = random.Random(6)
+    make = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n - 2)).join("xy")
+    lines = ["Der eingeä erer.", "Der, eingeä erer.", "Thwhesnd esator whshing and hewh.", "Thwhesnd, esator whshing and hewh."]
+    for n in (10, 11, 12, 13, 20, 38, 39, 40, 41):
+        line = make(n)
+        lines += [line, line[:4] + "Z" + line[5:], line[:7] + "ZZ" + line[7:], line[:-2] + line[-1]]
+    root = {line: line for line in lines}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            n = min(len(a), len(b))
+            if distance(a, b) <= (2 if n >= 40 else 1 if n >= 12 else 0):
+                root[find(a)] = find(b)
+    seen = set()
+    first = [i for i, line in enumerate(lines) if not (find(line) in seen or seen.add(find(line)))]
+    got = line_classes(table(list(enumerate(lines)))).where("n_removed = 0").collect()
+    assert sorted(r.id for r in got) == first and {0, 2} <= set(first) and not {1, 3} & set(first)
