@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import StructType
 
 from letterlens.llm.words import WordHashes, slices
 from letterlens.scale import materialize, scratch_path
@@ -274,9 +274,10 @@ def _rows_of(number: np.ndarray, row: np.ndarray, count: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(number, pa.int32()))
 
 
-def exchanged(rows: DataFrame, views: dict[str, View]) -> DataFrame:
-    """(words, metadata, text_*, page_*) of the rows that a view is sure of: text_* are labels by the page view, for the text
-    view, and the other way round; -1 where the view is not sure or a label is given."""
+def exchanged(views: dict[str, View]):
+    """From batches of stored views to (words, metadata, text_*, page_*) of the rows that a view is sure of: text_* are labels
+    by the page view, for the text view, and the other way round; -1 where the view is not sure or a label is given.
+    It runs in the worker of the step that follows."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -299,13 +300,12 @@ def exchanged(rows: DataFrame, views: dict[str, View]) -> DataFrame:
             out = pa.record_batch([batch.column("words"), batch.column("metadata"), *map(pa.array, labels)], names)
             yield out.filter(pa.array(np.max(labels, axis=0) >= 0))
 
-    columns = ", ".join(f"{v}_{t} int" for t in TARGETS for v in ("text", "page"))
-    return rows.mapInArrow(judge, f"words array<bigint>, metadata array<double>, {columns}")
+    return judge
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """Stored: (word, seen_*, bad_*), the number of rows with a text_* label and of those labelled 1 that have the word. The
-    row without a word has the number of rows."""
+def word_counts(own: DataFrame, free: DataFrame | None = None, judge=None) -> DataFrame:
+    """Stored: (word, seen_*, bad_*), the number of rows with a text_* label, in own and in what judge makes of free, and of those
+    labelled 1 that have the word. The row without a word has the number of rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -321,7 +321,10 @@ def word_counts(rows: DataFrame) -> DataFrame:
             yield pa.record_batch([column, *map(pa.array, counts)], ["word", *names]).filter(seen)
 
     names = [f"{kind}_{t}" for t in TARGETS for kind in ("seen", "bad")]
-    counted = rows.mapInArrow(count, "word bigint, " + ", ".join(f"{name} bigint" for name in names))
+    schema = "word bigint, " + ", ".join(f"{name} bigint" for name in names)
+    counted = own.mapInArrow(count, schema)
+    if free is not None:
+        counted = counted.unionByName(free.mapInArrow(lambda batches: count(judge(batches)), schema))
     return materialize(counted.groupBy("word").agg(*(F.sum(name).alias(name) for name in names)), "words")
 
 
@@ -354,11 +357,11 @@ def labelled_numbers(labelled: DataFrame, lists: dict[str, np.ndarray]) -> dict[
     return {t: [np.array(x, np.int64) for x in found[t].to_pylist()] for t in lists}
 
 
-def numbered(exchange: DataFrame, lists: dict[str, np.ndarray]) -> DataFrame:
-    """Stored: the exchange with numbers in the targets' word lists in place of words."""
+def numbered(free: DataFrame, judge, lists: dict[str, np.ndarray]) -> DataFrame:
+    """Stored: the exchange, what judge makes of free, with numbers in the targets' word lists in place of words."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in judge(batches):
             words, row = _lists(batch.column("words"))
             found = []
             for target, names in lists.items():
@@ -366,10 +369,9 @@ def numbered(exchange: DataFrame, lists: dict[str, np.ndarray]) -> DataFrame:
                 found.append(_rows_of(*_numbers(words[known], row[known], names), batch.num_rows))
             yield pa.record_batch([*found, *batch.columns[1:]], [*lists, *batch.schema.names[1:]])
 
-    schema = StructType()
-    for target in lists:
-        schema = schema.add(target, ArrayType(IntegerType()))
-    return materialize(exchange.mapInArrow(number, StructType([*schema, *exchange.schema[1:]])), "exchange")
+    labels = [f"{v}_{t} int" for t in TARGETS for v in ("text", "page")]
+    schema = ", ".join([*(f"{t} array<int>" for t in lists), "metadata array<double>", *labels])
+    return materialize(free.mapInArrow(number, schema), "exchange")
 
 
 def gradient_sums(exchange: DataFrame, views: dict[str, View], counts: bool = False) -> dict[str, tuple[np.ndarray, ...]]:
@@ -438,10 +440,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         learner.text_weights = learner.own_rows.fit(learner.labels[learner.learned], len(first[t]))
     free = rows.where("low < 0 or toxic < 0")
     for _ in range(ROUNDS):
-        exchange = exchanged(free, {t: learner.calibrated() for t, learner in learned.items()})
-        counts = word_counts(exchange.select("words", *(f"text_{t}" for t in TARGETS)).unionByName(own_words))
+        judge = exchanged({t: learner.calibrated() for t, learner in learned.items()})
+        counts = word_counts(own_words, free, judge)
         lists = {t: np.union1d(first[t], chosen_words(counts, t)) for t in learned}
-        stored = numbered(exchange, lists)
+        stored = numbered(free, judge, lists)
         found = labelled_numbers(labelled, lists)
         for t, learner in learned.items():
             # Words of an earlier round that are not chosen again leave the list.
