@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from letterlens.llm import cotrain, curriculum, decontaminate, extract, jaccard, line_dedup, ring, rules, secrets, token_planes
+from letterlens.llm import bpe_automaton, cotrain, curriculum, decontaminate, extract, jaccard, line_dedup, ring, rules
+from letterlens.llm import secrets, token_planes
 from letterlens.scale import scratch_path
 
 
@@ -94,11 +95,21 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_tokenization_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of all documents by the automaton, and the texts that their arcs spell."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    found = bpe_automaton.encode(documents(spark, folder).select("doc_id", "text"), path, decode_too=True)
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_page_text, op2_line_dedup, op3_token_planes, op4_rule_ledger, op5_ring_shards, op6_curriculum, op7_decontaminate, op8_cotraining,
-        op9_secret_ownership, op10_jaccard_join,
+        op9_secret_ownership, op10_jaccard_join, op12_tokenization_automaton,
     )
 }
 SQL: dict[str, str] = {}
