@@ -19,7 +19,7 @@ from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from letterlens.llm.words import slices
 
@@ -270,4 +270,4 @@ def decode(tokens: DataFrame, tokenizer: str, ids: str = "ids", name: str = "dec
             texts = pa.array(map(tool.decode, batch.column(ids).to_pylist()), pa.string())
             yield pa.record_batch([*batch.columns, texts], [*names, name])
 
-    return kept.mapInArrow(decoded, kept.schema.add(name, "string"))
+    return kept.mapInArrow(decoded, StructType([*kept.schema, StructField(name, StringType())]))
