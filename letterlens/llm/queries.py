@@ -3,8 +3,8 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from letterlens.llm import bpe_automaton, cotrain, curriculum, decontaminate, extract, jaccard, line_dedup, ring, rules
-from letterlens.llm import secrets, token_planes
+from letterlens.llm import bpe_automaton, cotrain, curriculum, decontaminate, extract, filter_audit, jaccard, line_dedup, ring, rules
+from letterlens.llm import secrets, sql, token_planes
 from letterlens.scale import scratch_path
 
 
@@ -105,11 +105,17 @@ def op12_tokenization_automaton(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each step of each order of five filters does to the documents of each language."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return filter_audit.audit(filter_audit.failure_cells(documents(spark, folder), labels))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_page_text, op2_line_dedup, op3_token_planes, op4_rule_ledger, op5_ring_shards, op6_curriculum, op7_decontaminate, op8_cotraining,
-        op9_secret_ownership, op10_jaccard_join, op12_tokenization_automaton,
+        op9_secret_ownership, op10_jaccard_join, op12_tokenization_automaton, op13_filter_audit,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op13_filter_audit": sql.FILTER_AUDIT}
