@@ -3,8 +3,8 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from letterlens.llm import bpe_automaton, cotrain, curriculum, decontaminate, extract, filter_audit, jaccard, line_dedup, ring, rules
-from letterlens.llm import secrets, sql, token_planes
+from letterlens.llm import bpe_automaton, cotrain, curriculum, decontaminate, extract, filter_audit, jaccard, line_dedup, merkle
+from letterlens.llm import ring, rules, secrets, sql, token_planes
 from letterlens.scale import scratch_path
 
 
@@ -95,6 +95,13 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Manifest of all documents, with a tampered version (capitals made small) for every fifth checksum of an id."""
+    small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fifth = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(documents(spark, folder), {"text": small}, fifth).withColumnRenamed("key", "doc_id")
+
+
 def op12_tokenization_automaton(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of all documents by the automaton, and the texts that their arcs spell."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -115,7 +122,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_page_text, op2_line_dedup, op3_token_planes, op4_rule_ledger, op5_ring_shards, op6_curriculum, op7_decontaminate, op8_cotraining,
-        op9_secret_ownership, op10_jaccard_join, op12_tokenization_automaton, op13_filter_audit,
+        op9_secret_ownership, op10_jaccard_join, op11_merkle_manifest, op12_tokenization_automaton, op13_filter_audit,
     )
 }
-SQL: dict[str, str] = {"op13_filter_audit": sql.FILTER_AUDIT}
+SQL: dict[str, str] = {"op11_merkle_manifest": sql.MERKLE_MANIFEST, "op13_filter_audit": sql.FILTER_AUDIT}

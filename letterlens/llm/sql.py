@@ -1,5 +1,59 @@
 """SQL for comparison, for the queries that SQL can express."""
 
+_FIELDS = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", "{text}")
+
+
+def _leaf(text: str) -> str:
+    values = [field.format(text=text) for field in _FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+def _levels(name: str, count: int) -> str:
+    """Levels of all trees of a table name0 (tree, place, node), and for its members name_at0 (id, tree, place, folded, proof)."""
+    return ", ".join(
+        f"""
+{name}_runs{i} AS MATERIALIZED (
+  SELECT tree, place // 16 AS place, any_value(n) AS n, list(node ORDER BY place) AS nodes
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}{i - 1}) GROUP BY tree, place // 16
+), {name}{i} AS MATERIALIZED (
+  SELECT tree, place, CASE WHEN n = 1 THEN nodes[1] ELSE sha256(array_to_string(nodes, '')) END AS node FROM {name}_runs{i}
+), {name}_sides{i} AS MATERIALIZED (
+  SELECT m.id, m.tree, r.place, m.folded, m.proof, r.n, array_to_string(r.nodes[1:m.place % 16], '') AS l,
+    array_to_string(r.nodes[m.place % 16 + 2:], '') AS r
+  FROM {name}_at{i - 1} m JOIN {name}_runs{i} r ON m.tree = r.tree AND m.place // 16 = r.place
+), {name}_at{i} AS MATERIALIZED (
+  SELECT id, tree, place, CASE WHEN n = 1 THEN folded ELSE sha256(l || folded || r) END AS folded, proof || l || r AS proof FROM {name}_sides{i}
+)"""
+        for i in range(1, count + 1)
+    )
+
+
+# Five levels hold a million rows of a source, three hold 4,096 sources.
+MERKLE_MANIFEST = f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS table_
+), d AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '') AS tree, {_leaf("text")} AS leaf,
+    {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS small,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+      lambda c, b: xor(c >> 8, table_[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0 AS hit
+  FROM documents, crc
+), placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, coalesce(hit, false) AS tampered FROM d
+), s0 AS MATERIALIZED (SELECT tree, place, leaf AS node FROM placed),
+s_at0 AS MATERIALIZED (SELECT id, tree, place, CASE WHEN tampered THEN small ELSE leaf END AS folded, '' AS proof FROM placed),
+{_levels("s", 5)},
+t0 AS MATERIALIZED (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS place, node, tree AS source FROM s5),
+t_at0 AS MATERIALIZED (SELECT m.id, '' AS tree, t.place, m.folded, m.proof FROM s_at5 m JOIN t0 t ON m.tree = t.source),
+{_levels("t", 3)}
+SELECT p.doc_id, p.leaf, t0.node AS subroot, t3.node AS root, sha256(m.proof) AS proof_sha256, m.folded AS folded_root,
+  m.folded = t3.node AS verified, p.tampered, CAST(CASE WHEN p.tampered AND p.small <> p.leaf THEN h.levels ELSE 0 END AS INTEGER) AS n_copied
+FROM placed p JOIN t_at3 m ON p.id = m.id JOIN t0 ON t0.source = p.tree JOIN t3 ON true
+JOIN (SELECT a.tree, CAST(ceil(round(log(a.n) / log(16), 9)) + ceil(round(log(b.n) / log(16), 9)) AS INTEGER) AS levels
+  FROM (SELECT tree, count(*) AS n FROM s0 GROUP BY tree) a, (SELECT count(*) AS n FROM t0) b) h ON h.tree = p.tree
+"""
+
 FILTER_AUDIT = r"""
 WITH known AS (
   SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
