@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from letterlens.functions.names import attachment_file_name
 from letterlens.functions.regex import compile_check, java_pattern
 from letterlens.functions.text import fold_european
+from letterlens.sources.mime import with_part_names, with_payloads
 
 
 def matching_parts(
@@ -15,30 +16,57 @@ def matching_parts(
     Names are folded to lower case before the match, so a case-sensitive pattern with capitals
     finds nothing unless fold=False.
     """
+    named = _is_named(pattern, case_sensitive, fold)
+    found = F.filter(F.col(parts), lambda p: named(p) & (p["size"] > 0))
+    return F.transform(found, lambda p, i: _attachment(p, i, p["size"], p["payload"]))
+
+
+def _is_named(pattern: str, case_sensitive: bool, fold: bool):
     compile_check([pattern])
 
-    def wanted(part: Column) -> Column:
+    def named(part: Column) -> Column:
         name = fold_european(part["filename"]) if fold else part["filename"]
         return (
             (part["main_type"] != "multipart")
             & (F.coalesce(part["filename"], F.lit("")) != "")
             & name.rlike(java_pattern(pattern, case_sensitive))
-            & (part["size"] > 0)
         )
 
-    return F.transform(
-        F.filter(F.col(parts), wanted),
-        lambda p, i: F.struct(
-            (i + 1).alias("ordinal"),
-            fold_european(p["filename"]).alias("folded_name"),
-            p["filename"].alias("filename"),
-            p["content_type"].alias("content_type"),
-            p["size"].alias("size"),
-            p["payload"].alias("payload"),
-        ),
+    return named
+
+
+def _attachment(part: Column, i: Column, size: Column, payload: Column) -> Column:
+    return F.struct(
+        (i + 1).alias("ordinal"),
+        fold_european(part["filename"]).alias("folded_name"),
+        part["filename"].alias("filename"),
+        part["content_type"].alias("content_type"),
+        size.alias("size"),
+        payload.alias("payload"),
     )
 
 
+def late_attachments(
+    messages: DataFrame, pattern: str, case_sensitive: bool = False, fold: bool = True, with_payload: bool = False,
+    where: Column | None = None,
+) -> DataFrame:
+    """messages with attachments, stage and reason. Names are read and matched first; only the parts whose name matches are
+    decoded, and only their bytes leave the parser, if asked for. Parts without content are no attachments.
+
+    A fault in a name ends the list of names, one in a payload the list of payloads; what was found before it stays, and
+    stage ("names" or "payload") and reason tell. With a condition, other messages are not parsed and have none."""
+    kept = messages.columns
+    named = with_part_names(messages, where)
+    named = named.withColumn("named", F.filter("parts", _is_named(pattern, case_sensitive, fold))).drop("parts", "is_multipart")
+    loaded = with_payloads(named, F.transform("named", lambda p: p["ord"]), with_payload)
+    # The payload pass keeps the order of the names, and stops early at a fault.
+    both = F.filter(F.arrays_zip("named", "loaded"), lambda b: b["loaded"]["size"] > 0)
+    items = F.transform(both, lambda b, i: _attachment(b["named"], i, b["loaded"]["size"], b["loaded"]["payload"]))
+    error = F.coalesce("parse_error", "load_error")
+    stage = F.when(F.col("parse_error").isNotNull(), "names").when(F.col("load_error").isNotNull(), "payload")
+    return loaded.select(*kept, F.coalesce(items, F.array()).alias("attachments"), stage.alias("stage"), error.alias("reason"))
+
+
 def with_attachments(messages: DataFrame, pattern: str, **options) -> DataFrame:
     """Messages with at least one matching attachment; parts are replaced by attachments."""
     kept = [c for c in messages.columns if c not in ("parts", "is_multipart", "parse_error")]

@@ -1,34 +1,53 @@
 """Run counters and totals."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
+from letterlens.scale import materialize
 
-def search_counters(messages: DataFrame, matches: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """processed, matched and failed; per archive and in total when by=["archive"].
 
-    Both inputs are counted on their own and the counts added, so that rejected messages are never
-    parsed for the sake of being counted.
-    """
-    by = by or []
-    failed = F.count_if(F.col("header_error").isNotNull())
-    seen = messages.groupBy(*by).agg(F.count("*").alias("processed"), failed.alias("failed"))
-    hit = matches.groupBy(*by).agg(F.count("*").alias("matched"))
-    both = seen.unionByName(hit, allowMissingColumns=True)
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("processed", "matched", "failed")]
-    return both.rollup(*by).agg(*sums) if by else both.agg(*sums)
+SEARCH_COUNTERS = ("processed", "matched", "failed")
 
 
-def attachment_counters(messages: DataFrame, matched: DataFrame) -> DataFrame:
-    """Per archive and, with a null archive, in total."""
-    seen = messages.groupBy("archive").agg(
-        F.count("*").alias("processed"), F.count_if(F.col("header_error").isNotNull()).alias("failed")
-    )
-    hit = matched.groupBy("archive").agg(
-        F.count("*").alias("matched"), F.sum(F.size("attachments")).alias("attachments")
-    )
-    both = seen.unionByName(hit, allowMissingColumns=True)
-    names = ("processed", "matched", "attachments", "failed")
-    return both.rollup("archive").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+def search_metrics() -> dict[str, Column]:
+    """What a search counts over its outcomes. A message may be matched and failed: its body faulted, and what could be
+    read of it holds a keyword."""
+    counts = (F.count("*"), F.count_if(F.col("matched")), F.count_if(F.col("stage").isNotNull()))
+    return dict(zip(SEARCH_COUNTERS, counts))
+
+
+def attachment_metrics() -> dict[str, Column]:
+    return {
+        "processed": F.count("*"),
+        "matched": F.count_if(F.size("attachments") > 0),
+        "attachments": F.coalesce(F.sum(F.size("attachments")), F.lit(0)),
+        "failed": F.count_if(F.col("stage").isNotNull()),
+    }
+
+
+def search_counters(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """processed, matched and failed of a table of outcomes; per archive and in total when by=["archive"]."""
+    return _counters(judged, search_metrics(), by or [])
+
+
+def attachment_counters(judged: DataFrame) -> DataFrame:
+    """processed, matched, attachments and failed, per archive and, with a null archive, in total."""
+    return _counters(judged, attachment_metrics(), ["archive"])
+
+
+def _counters(judged: DataFrame, metrics: dict[str, Column], by: list[str]) -> DataFrame:
+    """One aggregate per group over one pass, then the total of the groups."""
+    counted = judged.groupBy(*by).agg(*(column.alias(name) for name, column in metrics.items()))
+    if not by:
+        return counted
+    return counted.rollup(*by).agg(*(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in metrics))
+
+
+def observed(judged: DataFrame, metrics: dict[str, Column], kept: Column, label: str) -> tuple[DataFrame, dict[str, int]]:
+    """(stored rows that are kept, metrics over all rows). One job stores and counts: no message is read twice. The job has
+    no shuffle, so every row is counted by the one task that succeeds with it."""
+    watch = Observation()
+    counted = judged.observe(watch, *(column.alias(name) for name, column in metrics.items()))
+    return materialize(counted.filter(kept), label), watch.get
 
 
 def with_speed(counters: DataFrame, elapsed_seconds: float) -> DataFrame:

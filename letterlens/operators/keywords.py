@@ -40,6 +40,16 @@ def keyword_matches(df: DataFrame, text: str, patterns: list[str]) -> DataFrame:
     return found.withColumn("hits", first_hits(keyword_hits(F.col(text), patterns)))
 
 
+def flagged_matches(df: DataFrame, text: str, patterns: list[str], where: Column) -> DataFrame:
+    """All rows, with matched and hits (null where not matched) in place of the text. Only rows that the condition holds
+    for are searched, and only those that match have offsets worked out."""
+    compile_check(patterns)
+    kept = [c for c in df.columns if c not in (text, "matched", "hits")]
+    flag = F.coalesce(F.when(where, matches_any(F.col(text), patterns)), F.lit(False))
+    judged = df.withColumn("matched", flag)
+    return judged.select(*kept, "matched", F.when(F.col("matched"), first_hits(keyword_hits(F.col(text), patterns))).alias("hits"))
+
+
 def all_hits(df: DataFrame, keys: list[str], text: str, patterns: list[str]) -> DataFrame:
     """Every hit in long form: keys, pattern_id, keyword, pos."""
     compile_check(patterns)

@@ -36,10 +36,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+BROADCAST_ROWS = 1_000_000
+
+
 def join_counted(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join a large frame with a stored one that is normally small. Spark knows the size of the stored files
-    and chooses the strategy by its own limit."""
-    return big.join(small, on, how)
+    """Join a large frame with a stored table of narrow rows. The table is counted: up to BROADCAST_ROWS rows every task
+    gets a copy, so that the large frame stays where it is and in its order; beyond that Spark shuffles both."""
+    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
 
 
 def ordered_rank(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:

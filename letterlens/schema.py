@@ -52,6 +52,25 @@ BODY = T.StructType(
     ]
 )
 
+# What the payload pass yields per message: the parts that were asked for.
+LOADED = T.StructType(
+    [
+        T.StructField(
+            "loaded",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("ord", T.IntegerType()),
+                        T.StructField("size", T.LongType()),
+                        T.StructField("payload", T.BinaryType()),
+                    ]
+                )
+            ),
+        ),
+        T.StructField("load_error", T.StringType()),
+    ]
+)
+
 # Attempts of the classifier, recorded so that a run can be replayed.
 RESPONSES = T.StructType(
     [

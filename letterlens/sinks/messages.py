@@ -28,11 +28,16 @@ def split_failures(rows: DataFrame, error: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter(F.col(error).isNull()), rows.filter(F.col(error).isNotNull())
 
 
-def write_failures(failed: DataFrame, keys: list[str], error: str, path: str) -> None:
-    """(file_name, reason, raw) of messages that could not be read; nothing if there are none."""
-    if not failed.isEmpty():
-        named = failed.select(*keys, F.col(error).alias("reason"), "raw").join(failure_names(failed, keys), keys)
-        named.select("file_name", "reason", "raw").write.mode("append").parquet(path)
+def quarantine_rows(judged: DataFrame, keys: list[str]) -> DataFrame:
+    """(file_name, keys, stage, reason, raw) of the messages that bear a stage and a reason, numbered in key order."""
+    failed = judged.filter(F.col("stage").isNotNull()).select(*keys, "stage", "reason", "raw")
+    return failed.join(failure_names(failed, keys), keys).select("file_name", *keys, "stage", "reason", "raw")
+
+
+def write_quarantine(judged: DataFrame, keys: list[str], path: str, mode: str = "append") -> None:
+    """Messages that a stage could not read; nothing if there are none. judged: a stored table."""
+    if not judged.filter(F.col("stage").isNotNull()).isEmpty():
+        quarantine_rows(judged, keys).write.mode(mode).parquet(path)
 
 
 def archive_record(raw: Column, envelope: Column) -> Column:

@@ -18,14 +18,15 @@ def read_archives(
 
     A folder contributes its *.mbox files and those files without a suffix that open with "From ";
     every_file=True takes all of its files. Key: (archive, msg_index). With indexed=False the key
-    is (archive, block_start, block_pos), which has the same order and needs no landing table.
+    is (archive, block_start, block_pos), which has the same order and saves the pass that counts.
+    No message is stored: numbers come from counts per file block.
     """
     records = scan_records(spark.read, paths)
     if every_file:
         messages = with_placed_headers(records)
     else:
         messages = _of_archives(records, [paths] if isinstance(paths, str) else list(paths))
-    return index_messages(materialize(messages, "messages")) if indexed else messages
+    return index_messages(messages, block_offsets(records)) if indexed else messages
 
 
 def matching_files(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
@@ -85,25 +86,33 @@ def _of_archives(records: DataFrame, paths: list[str]) -> DataFrame:
     )
 
 
-def index_messages(messages: DataFrame) -> DataFrame:
-    """Replace (block_start, block_pos) by msg_index, the 0-based place in the archive.
-
-    Counts per file block are turned into offsets, so no archive is sorted or numbered in one
-    task. The frame must be a stored one: counts and rows have to come from the same scan.
-    """
-    counts = messages.groupBy("archive", "block_start").agg(F.count("*").alias("in_block"))
-    earlier = Window.partitionBy("archive").orderBy("block_start")
-    offsets = materialize(
+def block_offsets(records: DataFrame) -> DataFrame:
+    """Stored: (archive, block_start, before, in_archive), one row per file block. Records are counted per block and the
+    counts added up, so no archive is numbered in one task; text before the first envelope line is no message."""
+    counts = (
+        records.select("archive", "block_start", "opens_file", F.monotonically_increasing_id().alias("place"))
+        .groupBy("archive", "block_start")
+        .agg(F.count("*").alias("n"), F.min_by("opens_file", "place").alias("opens"))
+        .withColumn("n", F.col("n") - ((F.col("block_start") == 0) & ~F.col("opens")).cast("long"))
+    )
+    archive = Window.partitionBy("archive")
+    return materialize(
         counts.select(
-            "archive",
-            "block_start",
-            (F.sum("in_block").over(earlier) - F.col("in_block")).alias("before"),
-            F.sum("in_block").over(Window.partitionBy("archive")).alias("in_archive"),
+            "archive", "block_start", (F.sum("n").over(archive.orderBy("block_start")) - F.col("n")).alias("before"),
+            F.sum("n").over(archive).alias("in_archive"),
         ),
         "offsets",
     )
-    placed = join_counted(messages, offsets, ["archive", "block_start"])
-    index = F.col("before") + F.col("block_pos")
+
+
+def index_messages(messages: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Replace (block_start, block_pos) by msg_index, the 0-based place in the archive.
+
+    What lies before a block does not depend on where the block ends. A block that begins where none was counted, because files or
+    split settings changed since, ends the job."""
+    placed = join_counted(messages, offsets, ["archive", "block_start"], "left")
+    unknown = F.raise_error(F.concat(F.lit("archive changed since it was counted: "), "archive")).cast("long")
+    index = F.coalesce(F.col("before"), unknown) + F.col("block_pos")
     # The empty line that closes an archive belongs to no message.
     closing = (index == F.col("in_archive") - 1) & (
         (F.substr("raw", F.lit(-2)) == F.lit(b"\n\n")) | (F.col("raw") == F.lit(b"\n"))

@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from letterlens.fixed_values import CHARSET_ORDER
 from letterlens.functions.html import visible_text_of
-from letterlens.schema import BODY, HEADERS
+from letterlens.schema import BODY, HEADERS, LOADED
 
 
 def decoded(value) -> str:
@@ -145,7 +145,45 @@ def body_row(raw: bytes, with_text: bool, with_payload: bool, charset_order: tup
     return {"is_multipart": multipart, "parts": parts, "parse_error": error}
 
 
+def name_row(raw: bytes) -> dict:
+    """Kinds and file names of the parts; no payload is decoded."""
+    message = message_from_bytes(raw)
+    parts, error = [], None
+    try:
+        for ordinal, part in enumerate(message.walk()):
+            if part.get_content_maintype() != "multipart":
+                parts.append(
+                    {
+                        "ord": ordinal, "content_type": _text(part.get_content_type()),
+                        "main_type": _text(part.get_content_maintype()),
+                        "disposition": _text(part.get_content_disposition()), "filename": _clean(part_name(part)),
+                    }
+                )
+    except Exception as fault:  # ends the list
+        error = f"{type(fault).__name__}: {fault}"
+    return {"is_multipart": message.is_multipart(), "parts": parts, "parse_error": error}
+
+
+def payload_row(raw: bytes, wanted: list[int], with_payload: bool) -> dict:
+    """Sizes, and the bytes if asked for, of the wanted parts. A fault ends the list."""
+    loaded, error, left = [], None, set(wanted)
+    for ordinal, part in enumerate(message_from_bytes(raw).walk()):
+        if ordinal not in left:
+            continue
+        try:
+            payload = part.get_payload(decode=True)
+        except Exception as fault:
+            error = f"{type(fault).__name__}: {fault}"
+            break
+        loaded.append({"ord": ordinal, "size": len(payload or b""), "payload": payload if with_payload else None})
+        left.discard(ordinal)
+        if not left:
+            break
+    return {"loaded": loaded, "load_error": error}
+
+
 HEADERS_ARROW = to_arrow_type(HEADERS)
+LOADED_ARROW = to_arrow_type(LOADED)
 BODY_ARROW = to_arrow_type(BODY)
 PLACED = T.StructType([T.StructField("block_pos", T.LongType()), *HEADERS.fields])
 
@@ -188,11 +226,32 @@ def _placed_headers():
 def _body(with_text: bool, with_payload: bool, charset_order: tuple[str, ...]):
     @F.arrow_udf(BODY)
     def body(raw: pa.Array) -> pa.Array:
-        return pa.array([body_row(r.as_py() or b"", with_text, with_payload, charset_order) for r in raw], BODY_ARROW)
+        rows = (r.as_py() for r in raw)
+        return pa.array([None if r is None else body_row(r, with_text, with_payload, charset_order) for r in rows], BODY_ARROW)
 
     return body.asNondeterministic()
 
 
+@cache
+def _names():
+    @F.arrow_udf(BODY)
+    def names(raw: pa.Array) -> pa.Array:
+        rows = (r.as_py() for r in raw)
+        return pa.array([None if r is None else name_row(r) for r in rows], BODY_ARROW)
+
+    return names.asNondeterministic()
+
+
+@cache
+def _payloads(with_payload: bool):
+    @F.arrow_udf(LOADED)
+    def payloads(raw: pa.Array, wanted: pa.Array) -> pa.Array:
+        rows = zip((r.as_py() for r in raw), wanted.to_pylist())
+        return pa.array([None if r is None or not w else payload_row(r, w, with_payload) for r, w in rows], LOADED_ARROW)
+
+    return payloads.asNondeterministic()
+
+
 def header_block(raw: Column) -> Column:
     """The bytes up to the first empty line."""
     text = raw.cast("string")
@@ -214,14 +273,31 @@ def with_placed_headers(records: DataFrame) -> DataFrame:
 
 def with_parts(
     messages: DataFrame, with_text: bool = True, with_payload: bool = False,
-    charset_order: tuple[str, ...] = CHARSET_ORDER,
+    charset_order: tuple[str, ...] = CHARSET_ORDER, where: Column | None = None,
 ) -> DataFrame:
-    """Add is_multipart, parts and parse_error. Payload bytes are left out unless asked for; the
-    search for attachments does without text."""
-    parsed = messages.withColumn("_b", _body(with_text, with_payload, charset_order)("raw"))
+    """Add is_multipart, parts and parse_error. Payload bytes are left out unless asked for. With a condition, the bodies
+    of other rows are not parsed and their columns are null."""
+    parsed = messages.withColumn("_b", _body(with_text, with_payload, charset_order)(_bytes(where)))
     return parsed.select(*messages.columns, "_b.*")
 
 
+def with_part_names(messages: DataFrame, where: Column | None = None) -> DataFrame:
+    """As with_parts, for kinds and names only: nothing is decoded, sizes are null."""
+    return messages.withColumn("_b", _names()(_bytes(where))).select(*messages.columns, "_b.*")
+
+
+def with_payloads(messages: DataFrame, wanted: Column, with_payload: bool) -> DataFrame:
+    """Add loaded (ord, size, payload) and load_error for the parts whose ordinals `wanted` lists. Messages of which no
+    part is wanted are not parsed, other parts are not decoded."""
+    raw = F.when(F.size(wanted) > 0, F.col("raw"))
+    return messages.withColumn("_p", _payloads(with_payload)(raw, wanted)).select(*messages.columns, "_p.*")
+
+
+def _bytes(where: Column | None) -> Column:
+    raw = F.coalesce("raw", F.lit(b""))
+    return raw if where is None else F.when(where, raw)
+
+
 def body_text(html_mode: str = "visible") -> Column:
     """All readable parts in order, joined by a space; HTML as visible text or with tags cut."""
     from letterlens.functions.text import strip_tags

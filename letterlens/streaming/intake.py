@@ -7,8 +7,9 @@ from letterlens.functions.names import message_file_name
 from letterlens.operators.keywords import keyword_matches, searchable
 from letterlens.operators.participants import of_target
 from letterlens.operators.naming import unique_names
-from letterlens.plans.extraction import Search
+from letterlens.plans.extraction import Search, outcomes
 from letterlens.scale import materialize
+from letterlens.sinks.messages import quarantine_rows
 from letterlens.sources.archives import matching_files, scan_records
 from letterlens.sources.mime import with_parts, with_placed_headers
 
@@ -30,6 +31,13 @@ def stream_matches(messages: DataFrame, search: Search) -> DataFrame:
     return keyword_matches(texts, "folded", search.patterns).drop("folded").withColumn("base_name", base)
 
 
+def stream_outcomes(messages: DataFrame, search: Search) -> DataFrame:
+    """As stream_matches, with the messages that could not be read in whole as well: matched, stage and reason tell."""
+    if search.limit:
+        raise ValueError("a stream has no first messages; leave Search.limit unset")
+    return outcomes(messages, search).filter(F.col("matched") | F.col("stage").isNotNull())
+
+
 def start_intake(matches: DataFrame, table: str, checkpoint: str, continuous: bool = False) -> StreamingQuery:
     """Append matches to a Parquet table. By default takes what has arrived and stops."""
     writer = matches.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
@@ -37,12 +45,17 @@ def start_intake(matches: DataFrame, table: str, checkpoint: str, continuous: bo
     return writer.outputMode("append").trigger(**trigger).start()
 
 
-def start_named_intake(matches: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Append matches with names that collide neither within a batch nor with earlier batches. A batch
-    that is run again after a failure replaces its own folder."""
+def start_named_intake(matches: DataFrame, table: str, checkpoint: str, failed: str | None = None) -> StreamingQuery:
+    """Append matches with names that collide neither within a batch nor with earlier batches. With a folder for failures,
+    takes outcomes: matches go to the table, messages that could not be read in whole to the folder, with stage and reason. Both
+    belong to one batch number, and a batch that is run again after a failure replaces its own parts of both."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
         stored = materialize(batch, "batch")
+        if failed:
+            rows = quarantine_rows(stored, KEYS)
+            rows.write.mode("overwrite").parquet(f"{failed}/batch={batch_id}")
+            stored = stored.filter("matched").drop("matched", "stage", "reason")
         names = unique_names(stored, KEYS, "base_name", _names_before(batch.sparkSession, table, batch_id))
         named = names.select(*KEYS, F.col("file_name").alias("filename"), "collision")
         stored.join(named, KEYS).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")

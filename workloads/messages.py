@@ -7,13 +7,12 @@ from letterlens.functions.text import fold_czech, strip_tags
 from letterlens.operators.attachments import (
     attachment_rows, attachment_summary, named_attachments, of_sizes, of_types,
 )
-from letterlens.operators.counters import attachment_counters, search_counters
 from letterlens.operators.keywords import all_hits
 from letterlens.operators.naming import failure_names, unique_names
 from letterlens.operators.participants import address_roles, of_any_target, of_target
 from letterlens.operators.selection import also_in, of_dates
-from letterlens.plans.attachment_export import find_attachments
-from letterlens.plans.extraction import Search, find_matches
+from letterlens.plans.attachment_export import count_attachments, find_attachments
+from letterlens.plans.extraction import Search, count_matches, find_matches
 from letterlens.plans.repack import repack
 from letterlens.scale import scratch_path
 from letterlens.sinks.logs import attachment_log
@@ -152,7 +151,7 @@ def date_range(spark, folder):
 
 def run_counters(spark, folder):
     mail = parsed_conversations(spark, folder)
-    return search_counters(mail, find_matches(mail, Search(PATTERNS)))
+    return count_matches(mail, Search(PATTERNS))
 
 
 def stream_intake(spark, folder):
@@ -189,7 +188,7 @@ def attachment_rollup(spark, folder):
 
 
 def attachment_totals(spark, folder):
-    return attachment_counters(parsed_pages(spark, folder), page_attachments(spark, folder))
+    return count_attachments(parsed_pages(spark, folder), PAGE_NAMES)
 
 
 def size_filter(spark, folder):
