@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from letterlens.llm.words import WordHashes, slices
+from letterlens.llm.words import slices
 from letterlens.scale import materialize, scratch_path
 
 # Bound of the labelled rows, chosen by hash of the id. Unlabelled rows have none.
@@ -91,17 +91,17 @@ def _sigmoid(x):
 
 
 class Words:
-    """Sparse rows of word numbers."""
+    """Sparse rows of word numbers, as two flat arrays."""
 
-    def __init__(self, rows: list[np.ndarray]):
-        self.length = len(rows)
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.word = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
+    def __init__(self, word: np.ndarray, row: np.ndarray, length: int):
+        self.word, self.row, self.length = word, row, length
 
     def take(self, chosen: np.ndarray) -> "Words":
-        """The rows chosen (a number of times each)."""
-        order = np.split(self.word, np.searchsorted(self.row, np.arange(1, self.length)))
-        return Words([order[i] for i in chosen])
+        """The rows chosen, each once, in ascending order."""
+        place = np.full(self.length, -1, np.int64)
+        place[chosen] = np.arange(len(chosen))
+        at = place[self.row]
+        return Words(self.word[at >= 0], at[at >= 0], len(chosen))
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.word], self.length) + weights[-1]
@@ -120,22 +120,26 @@ class Words:
 
 @dataclass
 class Model:
-    """One target: weights by word hash, metadata weights and the combination of both scores."""
+    """One target: weights by word hash (ascending, the constant last), metadata weights and the combination of both scores."""
 
-    words: dict[int, float]
-    constant: float
+    names: np.ndarray
+    weights: np.ndarray
     center: np.ndarray
     spread: np.ndarray
     metadata: np.ndarray
     combined: np.ndarray
 
-    def score(self, words: list[int], metadata: list[float]) -> tuple[float, float, float]:
-        """Calibrated chance by text, by metadata score, and by both."""
-        get = self.words.get
-        text = math.fsum(get(word, 0.0) for word in words) + self.constant
-        page = float(standard(np.asarray(metadata), self.center, self.spread) @ self.metadata[:-1] + self.metadata[-1])
-        both = float(self.combined @ np.clip([text, page, 1.0], -20, 20))
-        return float(_sigmoid(text)), float(_sigmoid(page)), float(_sigmoid(both))
+    @property
+    def words(self) -> dict[int, float]:
+        return dict(zip(self.names.view(np.uint64).tolist(), self.weights.tolist()))
+
+    def chances(self, words: np.ndarray, row: np.ndarray, metadata: np.ndarray) -> list[np.ndarray]:
+        """Calibrated chance by text, by metadata, and by both, of every row; words come with the row that has them."""
+        number, at = _numbers(words, row, self.names)
+        text = np.bincount(at, self.weights[number], len(metadata)) + self.weights[-1]
+        page = standard(metadata, self.center, self.spread) @ self.metadata[:-1] + self.metadata[-1]
+        both = np.clip(np.c_[text, page, np.ones(len(metadata))], -20, 20) @ self.combined
+        return [_sigmoid(text), _sigmoid(page), _sigmoid(both)]
 
 
 TARGETS = ("low", "toxic")
@@ -174,12 +178,12 @@ class Learner:
         own[self.learned] = self.labels[self.learned]
         return own
 
-    def take_words(self, names: np.ndarray, rows: list[np.ndarray]) -> None:
+    def take_words(self, names: np.ndarray, rows: Words) -> None:
         """Go over to another word list; rows are the numbers in it of the labelled rows' words."""
         weights = np.zeros(len(names) + 1)
         weights[-1] = self.text_weights[-1]
         weights[np.searchsorted(names, self.names)] = self.text_weights[:-1]
-        self.names, self.text_weights, self.rows = names, weights, Words(rows)
+        self.names, self.text_weights, self.rows = names, weights, rows
         self.own_rows = self.rows.take(self.learned)
 
     def calibrated(self) -> View:
@@ -213,8 +217,22 @@ class Learner:
     def model(self) -> Model:
         both = np.c_[self.rows.scores(self.text_weights), self.page @ self.page_weights]
         combined = logistic(np.clip(both[self.held], -20, 20), self.labels[self.held], 1e-2)
-        weights = dict(zip(self.names.view(np.uint64).tolist(), self.text_weights.tolist()))
-        return Model(weights, float(self.text_weights[-1]), self.center, self.spread, self.page_weights, combined)
+        return Model(self.names, self.text_weights, self.center, self.spread, self.page_weights, combined)
+
+
+NO_WORDS = np.empty(0, np.int64)
+
+
+def batch_views(batch: pa.RecordBatch, text: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """Both views of every row: ascending hashes of its words, and its metadata."""
+    texts = batch.column(text).cast(pa.binary()).to_pylist()
+    lang, source = (batch.column(c).to_pylist() if c in batch.schema.names else [None] * len(texts) for c in ("lang", "source"))
+    found, dense = [], np.empty((len(texts), 10 + 2 * HASHED))
+    for i, value in enumerate(texts):
+        words = text_view(value)
+        found.append(np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)))
+        dense[i] = metadata_view(value, lang[i], source[i])
+    return found, dense
 
 
 def stored_views(docs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
@@ -231,15 +249,12 @@ def stored_views(docs: DataFrame, labels: DataFrame, key: str, text: str) -> Dat
     )
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in slices(batches):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            found = [np.array(sorted(map(cache.__getitem__, text_view(text))), np.uint64).view(np.int64) for text in texts]
-            dense = [metadata_view(*row) for row in zip(texts, batch.column("lang").to_pylist(), batch.column("source").to_pylist())]
-            yield pa.record_batch(
-                [*(batch.column(c) for c in same), pa.array(found, pa.list_(pa.int64())), pa.array(dense, pa.list_(pa.float64()))],
-                [*same, "words", "metadata"],
-            )
+            found, dense = batch_views(batch, "text")
+            ends = np.r_[0, np.cumsum([len(x) for x in found])]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, NO_WORDS])))
+            wide = pa.ListArray.from_arrays(pa.array(np.arange(len(dense) + 1) * dense.shape[1], pa.int32()), pa.array(dense.ravel()))
+            yield pa.record_batch([*(batch.column(c) for c in same), lists, wide], [*same, "words", "metadata"])
 
     same = ["key", "sampled", *TARGETS]
     schema = f"key {rows.schema['key'].dataType.simpleString()}, sampled boolean, low int, toxic int, words array<bigint>, metadata array<double>"
@@ -274,6 +289,20 @@ def _rows_of(number: np.ndarray, row: np.ndarray, count: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(number, pa.int32()))
 
 
+def _packed(values: np.ndarray, lengths: np.ndarray) -> pa.BinaryArray:
+    """Rows of numbers as bytes: Spark hands a row on as one value instead of one by one."""
+    ends = np.r_[0, np.cumsum(lengths * values.itemsize)].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.BinaryArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows, and the row of each."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    values = np.frombuffer(column.buffers()[2] or b"", kind, (ends[-1] - ends[0]) // size, ends[0])
+    return values, np.repeat(np.arange(len(column)), np.diff(ends) // size)
+
+
 def exchanged(views: dict[str, View]):
     """From batches of stored views to (words, metadata, text_*, page_*) of the rows that a view is sure of: text_* are labels
     by the page view, for the text view, and the other way round; -1 where the view is not sure or a label is given.
@@ -343,7 +372,7 @@ def chosen_words(counts: DataFrame, target: str) -> np.ndarray:
     return np.sort(np.array([r.word for r in best.collect()], np.int64))
 
 
-def labelled_numbers(labelled: DataFrame, lists: dict[str, np.ndarray]) -> dict[str, list[np.ndarray]]:
+def labelled_numbers(labelled: DataFrame, lists: dict[str, np.ndarray]) -> dict[str, Words]:
     """Per target: the numbers, in its word list, of the words of each labelled row, rows in order of their keys."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +383,7 @@ def labelled_numbers(labelled: DataFrame, lists: dict[str, np.ndarray]) -> dict[
     kind = labelled.schema["key"].dataType.simpleString()
     schema = f"key {kind}, " + ", ".join(f"{t} array<int>" for t in lists)
     found = labelled.select("key", "words").mapInArrow(number, schema).toArrow().sort_by("key")
-    return {t: [np.array(x, np.int64) for x in found[t].to_pylist()] for t in lists}
+    return {t: Words(*_lists(found[t].combine_chunks()), found.num_rows) for t in lists}
 
 
 def numbered(free: DataFrame, judge, lists: dict[str, np.ndarray]) -> DataFrame:
@@ -366,12 +395,17 @@ def numbered(free: DataFrame, judge, lists: dict[str, np.ndarray]) -> DataFrame:
             found = []
             for target, names in lists.items():
                 known = batch.column(f"text_{target}").to_numpy()[row] >= 0
-                found.append(_rows_of(*_numbers(words[known], row[known], names), batch.num_rows))
-            yield pa.record_batch([*found, *batch.columns[1:]], [*lists, *batch.schema.names[1:]])
+                numbers, at = _numbers(words[known], row[known], names)
+                found.append(_packed(numbers.astype(np.int32), np.bincount(at, minlength=batch.num_rows)))
+            dense = _dense(batch.column("metadata"))
+            found.append(_packed(dense.ravel(), np.full(len(dense), dense.shape[1])))
+            yield pa.record_batch([*found, *batch.columns[2:]], [*lists, *batch.schema.names[1:]])
 
     labels = [f"{v}_{t} int" for t in TARGETS for v in ("text", "page")]
-    schema = ", ".join([*(f"{t} array<int>" for t in lists), "metadata array<double>", *labels])
-    return materialize(free.mapInArrow(number, schema), "exchange")
+    rows = free.mapInArrow(number, ", ".join([*(f"{t} binary" for t in lists), "metadata binary", *labels]))
+    path = scratch_path(free.sparkSession, "exchange")
+    rows.write.option("compression", "zstd").parquet(path)
+    return free.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def gradient_sums(exchange: DataFrame, views: dict[str, View], counts: bool = False) -> dict[str, tuple[np.ndarray, ...]]:
@@ -385,9 +419,9 @@ def gradient_sums(exchange: DataFrame, views: dict[str, View], counts: bool = Fa
         sums = np.zeros(total)
         for batch in slices(batches):
             n, at = batch.num_rows, 0
-            metadata = _dense(batch.column("metadata"))
+            metadata = _unpacked(batch.column("metadata"), np.float64)[0].reshape(n, -1)
             for target, view in views.items():
-                (number, row), label = _lists(batch.column(target)), batch.column(f"text_{target}").to_numpy()
+                (number, row), label = _unpacked(batch.column(target), np.int32), batch.column(f"text_{target}").to_numpy()
                 if counts:
                     error = np.ones(n)
                 else:  # whole numbers: their sum is the same in any order
@@ -418,17 +452,21 @@ def gradient_sums(exchange: DataFrame, views: dict[str, View], counts: bool = Fa
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, Model | None]:
     """Models of low quality and of toxicity from labels (key, quality, toxic)."""
-    rows = stored_views(docs, labels, key, text)
+    return fit_views(stored_views(docs, labels, key, text))
+
+
+def fit_views(rows: DataFrame) -> dict[str, Model | None]:
+    """As fit, from stored views."""
     # At most one row of a labelled key: repeated rows would count twice.
     labelled = materialize(rows.where("sampled").dropDuplicates(["key"]), "labelled")
     known = labelled.select("key", "metadata", *TARGETS).toArrow().sort_by("key")
-    metadata = np.array(known["metadata"].to_pylist(), float)
+    metadata = _dense(known["metadata"].combine_chunks())
     learners = {t: Learner(metadata, known[t].to_numpy()) for t in TARGETS}
     learned = {t: learner for t, learner in learners.items() if learner.usable}
     models: dict[str, Model | None] = dict.fromkeys(TARGETS)
     if not learned:
         return models
-    own = docs.sparkSession.createDataFrame(
+    own = rows.sparkSession.createDataFrame(
         pa.table({"key": known["key"], **{f"text_{t}": pa.array(learners[t].own(), pa.int32()) for t in TARGETS}})
     )
     own_words = materialize(labelled.select("key", "words").join(F.broadcast(own), "key").select("words", *(f"text_{t}" for t in TARGETS)), "own")
@@ -472,24 +510,39 @@ def score(docs: DataFrame, models: dict, text: str = "text", only_kept: bool = F
     docs = docs if only_kept else docs.drop(*NEW, "kept")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in slices(batches):
-            texts = batch.column(text).cast(pa.binary()).to_pylist()
-            lang, source = (batch.column(c).to_pylist() if c in batch.schema.names else [None] * len(texts) for c in ("lang", "source"))
-            rows = []
-            for value, *rest in zip(texts, lang, source):
-                words, metadata = list(map(cache.__getitem__, text_view(value))), metadata_view(value, *rest)
-                rows.append([p for m in (models["low"], models["toxic"]) for p in (m.score(words, metadata) if m else (0.0,) * 3)])
-            chances = np.array(rows).reshape(-1, len(NEW)).round(6)
-            kept = pa.array((chances[:, 2] < low) & (chances[:, 5] < toxic))
+            found, metadata = batch_views(batch, text)
+            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            chances = all_chances(models, np.concatenate([*found, NO_WORDS]), row, metadata)
+            kept = pa.array((chances[2] < low) & (chances[5] < toxic))
             if only_kept:
                 yield batch.filter(kept)
             else:
-                yield pa.record_batch(
-                    [*batch.columns, *map(pa.array, np.ascontiguousarray(chances.T)), kept], [*batch.schema.names, *NEW, "kept"]
-                )
+                yield pa.record_batch([*batch.columns, *map(pa.array, chances), kept], [*batch.schema.names, *NEW, "kept"])
 
     schema = StructType([*docs.schema])
     for name in () if only_kept else NEW:
         schema = schema.add(name, "double")
     return docs.mapInArrow(judge, schema if only_kept else schema.add("kept", "boolean"))
+
+
+def all_chances(models: dict, words: np.ndarray, row: np.ndarray, metadata: np.ndarray) -> list[np.ndarray]:
+    """The columns of NEW."""
+    none = [np.zeros(len(metadata))] * 3
+    found = [models[t].chances(words, row, metadata) if models[t] else none for t in TARGETS]
+    return [column.round(6) for columns in found for column in columns]
+
+
+def score_views(rows: DataFrame, models: dict, low: float = 0.7, toxic: float = 0.5) -> DataFrame:
+    """(key, chances, kept) of every row of stored views, without going back to the texts."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            chances = all_chances(models, *_lists(batch.column("words")), _dense(batch.column("metadata")))
+            kept = pa.array((chances[2] < low) & (chances[5] < toxic))
+            yield pa.record_batch([batch.column("key"), *map(pa.array, chances), kept], ["key", *NEW, "kept"])
+
+    schema = StructType([rows.schema["key"]])
+    for name in NEW:
+        schema = schema.add(name, "double")
+    return rows.select("key", "words", "metadata").mapInArrow(judge, schema.add("kept", "boolean"))

@@ -72,9 +72,8 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_cotraining(spark: SparkSession, folder: str) -> DataFrame:
     """Chances of low quality and of toxicity for every document, by each view and by both."""
-    docs = documents(spark, folder)
-    models = cotrain.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    return cotrain.score(docs.select("doc_id", "text", "lang", "source"), models).drop("text", "lang", "source")
+    views = cotrain.stored_views(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"), "doc_id", "text")
+    return cotrain.score_views(views, cotrain.fit_views(views)).withColumnRenamed("key", "doc_id")
 
 
 def op9_secret_ownership(spark: SparkSession, folder: str) -> DataFrame:

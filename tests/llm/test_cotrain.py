@@ -64,3 +64,26 @@ def test_unlabelled_documents_add_words(spark):
     assert views.where("not sampled").count() == 5_000
     model = cotrain.fit(docs, labels)["toxic"]
     assert model.words[cotrain.xxhash.xxh3_64_intdigest(b"fresh")] > 0.1
+
+
+def test_views_and_texts_score_alike(spark, table):
+    rows, labels = small(spark, table)
+    docs = table(rows + [(500, None, None), (501, "", "s")])
+    views = cotrain.stored_views(docs, labels, "doc_id", "text")
+    models = cotrain.fit_views(views)
+    by_text = cotrain.score(docs, models).select("doc_id", *cotrain.NEW, "kept")
+    assert sorted(map(tuple, by_text.collect())) == sorted(map(tuple, cotrain.score_views(views, models).collect()))
+
+
+def test_word_counts(spark, table):
+    rows, labels = small(spark, table)
+    own = cotrain.stored_views(table(rows), labels, "doc_id", "text").where("sampled").selectExpr("words", "low AS text_low", "toxic AS text_toxic")
+    brute = {}
+    for r in own.collect():
+        for word in [*r.words, None]:
+            counts = brute.setdefault(word, [0] * 4)
+            for i, label in enumerate((r.text_low, r.text_toxic)):
+                counts[2 * i] += label >= 0
+                counts[2 * i + 1] += label == 1
+    got = {r.word: list(r)[1:] for r in cotrain.word_counts(own).collect()}
+    assert got == {word: counts for word, counts in brute.items() if word is None or any(counts)}
