@@ -5,6 +5,7 @@ from pyspark.sql import Column, functions as F
 from letterlens.functions.arrays import first_per_key, let, running_starts
 from letterlens.functions.regex import FLAGS_EXACT_CASE, FLAGS_IGNORE_CASE, any_of, to_java
 
+LISTED_HIT_TYPE = "array<struct<pattern_id:bigint,keyword:string,pos:bigint>>"
 HIT_TYPE = "array<struct<pattern_id:int,keyword:string,pos:bigint>>"
 
 # Java regexes see UTF-16: a match must not start between the halves of one code point.
@@ -48,15 +49,24 @@ def keyword_hits(text: Column, patterns: list[str], case_sensitive: bool = False
     return let(text, search)
 
 
+def hits_of_rows(text: Column, patterns: Column) -> Column:
+    """Hits of the patterns that a row lists, as structs of pattern_id and the two Java spellings."""
+    beyond = text.rlike(BEYOND_16_BITS)
+    found = F.transform(
+        patterns, lambda p: _pattern_hits(text, p["pattern_id"], F.when(beyond, p["guarded"]).otherwise(p["plain"]), LISTED_HIT_TYPE)
+    )
+    return F.flatten(found)
+
+
 def _literals(values: list[str]) -> Column:
     return F.split(F.lit("\0".join(values)), "\0", -1)
 
 
-def _pattern_hits(text: Column, pattern_id: Column, regex: Column) -> Column:
+def _pattern_hits(text: Column, pattern_id: Column, regex: Column, kind: str = HIT_TYPE) -> Column:
     marked = F.regexp_replace(text, regex, F.lit(f"{OPEN}$0{CLOSE}"))
-    by_marks = let(F.split(marked, OPEN, -1), lambda pieces: _marked_hits(pattern_id, pieces))
+    by_marks = let(F.split(marked, OPEN, -1), lambda pieces: _marked_hits(pattern_id, pieces, kind))
     by_gaps = let(
-        F.regexp_extract_all(text, regex, 0), lambda found: _spaced_hits(text, pattern_id, regex, found)
+        F.regexp_extract_all(text, regex, 0), lambda found: _spaced_hits(text, pattern_id, regex, found, kind)
     )
     return F.when(text.contains(OPEN) | text.contains(CLOSE), by_gaps).otherwise(by_marks)
 
@@ -65,7 +75,7 @@ def _hit(pattern_id: Column, keyword: Column, pos: Column) -> Column:
     return F.struct(pattern_id.alias("pattern_id"), keyword.alias("keyword"), pos.alias("pos"))
 
 
-def _marked_hits(pattern_id: Column, pieces: Column) -> Column:
+def _marked_hits(pattern_id: Column, pieces: Column, kind: str) -> Column:
     """Every piece but the first is a match, the closing mark and the text up to the next match, so
     the running total of the piece lengths gives the 0-based code-point offsets."""
     lengths = F.transform(pieces, lambda p, i: (F.length(p) - F.when(i > 0, 1).otherwise(0)).cast("bigint"))
@@ -75,11 +85,11 @@ def _marked_hits(pattern_id: Column, pieces: Column) -> Column:
             F.slice(pieces, F.lit(2), F.size(pieces) - 1),
             lambda p, i: _hit(pattern_id, F.substring_index(p, CLOSE, 1), starts[i + 1]),
         ),
-    ).cast(HIT_TYPE)
-    return F.when(F.size(pieces) > 1, hits).otherwise(F.array().cast(HIT_TYPE))
+    ).cast(kind)
+    return F.when(F.size(pieces) > 1, hits).otherwise(F.array().cast(kind))
 
 
-def _spaced_hits(text: Column, pattern_id: Column, regex: Column, found: Column) -> Column:
+def _spaced_hits(text: Column, pattern_id: Column, regex: Column, found: Column, kind: str) -> Column:
     """The same from the match texts and the gaps between them, without marks."""
 
     def hits(gaps: Column) -> Column:
@@ -91,14 +101,14 @@ def _spaced_hits(text: Column, pattern_id: Column, regex: Column, found: Column)
         return let(
             running_starts(steps),
             lambda starts: F.transform(found, lambda hit, i: _hit(pattern_id, hit, starts[i] + F.length(gaps[i]))),
-        ).cast(HIT_TYPE)
+        ).cast(kind)
 
     # An empty match at the very start yields no gap before it.
     gaps = let(
         F.split(text, regex, -1),
         lambda g: F.when(F.size(g) > F.size(found), g).otherwise(F.concat(F.array(F.lit("")), g)),
     )
-    return F.when(F.size(found) == 0, F.array().cast(HIT_TYPE)).otherwise(let(gaps, hits))
+    return F.when(F.size(found) == 0, F.array().cast(kind)).otherwise(let(gaps, hits))
 
 
 def first_hits(hits: Column) -> Column:
