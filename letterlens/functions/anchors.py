@@ -5,14 +5,16 @@ import re
 import numpy as np
 
 GRAM = 5
-# Letters that ignore-case matching takes for an ASCII letter.
-LOOKALIKES = str.maketrans({"ı": "i", "İ": "i", "ſ": "s", "K": "k"})
-_CAPITALS = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# Letters that ignore-case matching takes for an ASCII letter, and that letter.
+LOOKALIKES = "\u0131\u0130\u017f\u212a"
+LOOKALIKES_ASCII = "iisk"
+_PLAIN = str.maketrans(CAPITALS + LOOKALIKES, CAPITALS.lower() + LOOKALIKES_ASCII)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def plain(text: str) -> str:
-    return text.translate(LOOKALIKES).translate(_CAPITALS)
+    return text.translate(_PLAIN)
 
 
 def required_literal(pattern: str) -> str | None:

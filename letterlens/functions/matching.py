@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
+from letterlens.functions.anchors import CAPITALS, LOOKALIKES, LOOKALIKES_ASCII
 from letterlens.functions.arrays import first_per_key, let, running_starts
 from letterlens.functions.regex import FLAGS_EXACT_CASE, FLAGS_IGNORE_CASE, any_of, to_java
 
@@ -50,12 +51,15 @@ def keyword_hits(text: Column, patterns: list[str], case_sensitive: bool = False
 
 
 def hits_of_rows(text: Column, patterns: Column) -> Column:
-    """Hits of the patterns that a row lists, as structs of pattern_id and the two Java spellings."""
-    beyond = text.rlike(BEYOND_16_BITS)
-    found = F.transform(
-        patterns, lambda p: _pattern_hits(text, p["pattern_id"], F.when(beyond, p["guarded"]).otherwise(p["plain"]), LISTED_HIT_TYPE)
-    )
-    return F.flatten(found)
+    """Hits of the patterns that a row lists, as structs of pattern_id, a literal that every match holds, and the two Java
+    spellings. Patterns whose literal the text lacks are left out before any regex runs."""
+
+    def search(small: Column) -> Column:
+        regex = lambda p: F.when(text.rlike(BEYOND_16_BITS), p["guarded"]).otherwise(p["plain"])
+        held = F.filter(patterns, lambda p: F.contains(small, p["literal"]))
+        return F.flatten(F.transform(held, lambda p: _pattern_hits(text, p["pattern_id"], regex(p), LISTED_HIT_TYPE)))
+
+    return let(F.translate(text, CAPITALS + LOOKALIKES, CAPITALS.lower() + LOOKALIKES_ASCII), search)
 
 
 def _literals(values: list[str]) -> Column:

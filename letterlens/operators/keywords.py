@@ -100,26 +100,27 @@ def _passes(df: DataFrame, keys: list[str], text: str, patterns: DataFrame) -> l
 
 
 def _anchored(patterns: DataFrame) -> DataFrame:
-    """Stored: (uid, pattern_id, pattern, gram, plain, guarded). gram is, of the runs that every match holds, the one that fewest
-    patterns have; plain and guarded are the Java spellings. An invalid pattern ends the job by name."""
+    """Stored: (uid, pattern_id, pattern, literal, gram, plain, guarded). literal is what every match holds, gram the piece of it
+    that fewest patterns have; plain and guarded are the Java spellings. An invalid pattern ends the job by name."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("pattern").to_pylist()
             compile_check(texts)
             java = [to_java(p) for p in texts]
-            found = [grams(required_literal(p) or "") for p in texts]
+            literals = [required_literal(p) for p in texts]
+            found = [grams(literal or "") for literal in literals]
             yield pa.record_batch(
                 [
-                    batch.column("pattern_id"), batch.column("pattern"), pa.array(found, pa.list_(pa.int64())),
+                    batch.column("pattern_id"), batch.column("pattern"), pa.array(literals, pa.string()), pa.array(found, pa.list_(pa.int64())),
                     pa.array([FLAGS_IGNORE_CASE + p for p in java], pa.string()),
                     pa.array([f"{FLAGS_IGNORE_CASE}{NOT_INSIDE_A_PAIR}(?:{p})" for p in java], pa.string()),
                 ],
-                ["pattern_id", "pattern", "grams", "plain", "guarded"],
+                ["pattern_id", "pattern", "literal", "grams", "plain", "guarded"],
             )
 
     rows = patterns.select(F.col("pattern_id").cast("bigint").alias("pattern_id"), "pattern").filter(F.col("pattern").isNotNull())
-    read_rows = rows.mapInArrow(read, "pattern_id bigint, pattern string, grams array<bigint>, plain string, guarded string")
+    read_rows = rows.mapInArrow(read, "pattern_id bigint, pattern string, literal string, grams array<bigint>, plain string, guarded string")
     read_rows = materialize(read_rows.withColumn("uid", F.monotonically_increasing_id()), "patterns")
     each = read_rows.select("uid", F.explode("grams").alias("gram"))
     counts = each.groupBy("gram").agg(F.count("*").alias("n"))
@@ -148,7 +149,7 @@ def _indexed_hits(df: DataFrame, keys: list[str], text: str, anchored: DataFrame
     # A gram that a third of all texts hold meets few patterns, as each pattern stands at its rarest; Spark splits what is left.
     pairs = texts.select("name", "text").mapInArrow(held, "name bigint, gram bigint").distinct().join(anchored, "gram")
     lists = pairs.groupBy("name", F.pmod("uid", F.lit(LISTS)).alias("list"), (F.col("uid") / F.lit(LISTS * PATTERNS_PER_PASS)).cast("bigint").alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("uid", "pattern_id", "plain", "guarded"))).alias("patterns")
+        F.sort_array(F.collect_list(F.struct("uid", "pattern_id", "literal", "plain", "guarded"))).alias("patterns")
     )
     found = texts.join(lists.select("name", "patterns"), "name").withColumn("hits", hits_of_rows(F.col("text"), F.col("patterns")))
     return hit_rows(found.select(*keys, "hits"), keys)
