@@ -2,21 +2,21 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from letterlens.operators.counters import status_counts
-from letterlens.sinks.messages import write_archive
+from letterlens.sinks.messages import append_archive
 from letterlens.sources.messages import read_message_tree
 
 
 def repack(spark: SparkSession, source: str, archive: str, name_pattern: str | None = None) -> DataFrame:
-    """Append all .eml files below source, in path order; return processed, failed and skipped."""
+    """Append all .eml files below source, in path order, as one run of the archive; return processed, failed and skipped.
+
+    processed comes from the manifest of the run, failed is what was listed and did not arrive there."""
     messages, skipped = read_message_tree(spark, source)
     if name_pattern:
         messages = messages.filter(F.col("file_name").rlike(name_pattern))
-    write_archive(messages, archive, ["archive"])
-    statuses = messages.select(F.lit("processed").alias("status")).unionByName(
-        skipped.select(F.lit("skipped").alias("status"))
-    )
-    return status_counts(statuses)
+    # The listing reads names only; file contents are read once, by the writing job.
+    listed, passed = messages.select("archive").count(), skipped.count()
+    done = append_archive(messages, archive, ["archive"]).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return spark.createDataFrame([(done, listed - done, passed)], "processed long, failed long, skipped long")
 
 
 def name_prefix(prefixes: list[str]) -> str:

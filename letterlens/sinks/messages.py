@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from letterlens.operators.naming import failure_names
+from letterlens.sources.archives import matching_files, scan_records
 
 
 def write_messages(messages: DataFrame, names: DataFrame, keys: list[str], path: str) -> None:
@@ -60,6 +61,26 @@ def write_archive(messages: DataFrame, path: str, order: list[str], mode: str =
     in_order.select(record.alias("value")).write.mode(mode).text(path)
 
 
+def append_archive(messages: DataFrame, path: str, order: list[str]) -> DataFrame:
+    """Append messages in key order as one numbered run, and return its manifest: run, part, rows, digest.
+
+    Runs stand in folders whose names sort by number, so two appends keep their order. The manifest is written last: readers
+    take listed runs only, so one that broke off leaves nothing visible, and its number is not used again."""
+    spark = messages.sparkSession
+    found = [address.rsplit("=", 1)[1] for address, _ in matching_files(spark, f"{path}/run=*")]
+    run = f"run={max(map(int, found), default=0) + 1:06d}"
+    write_archive(messages, f"{path}/{run}", order, "errorifexists")
+    records = scan_records(spark.read, f"{path}/{run}").select(
+        F.element_at(F.split("archive", "/"), -1).alias("part"), F.xxhash64("raw").alias("name")
+    )
+    manifest = records.groupBy("part").agg(F.count("*").alias("rows"), F.bit_xor("name").alias("digest"))
+    manifest.select(F.lit(run).alias("run"), "part", "rows", "digest").coalesce(1).write.parquet(f"{path}/_manifest/{run}")
+    return spark.read.schema(MANIFEST).parquet(f"{path}/_manifest/{run}")
+
+
+MANIFEST = "run string, part string, rows long, digest long"
+
+
 def export_files(rows: DataFrame, content: str, folder_uri: str) -> int:
     """Write one file per row (file_name, content) below a folder that all executors reach, in any
     file system Arrow knows. Returns the number of files."""

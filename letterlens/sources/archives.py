@@ -21,11 +21,12 @@ def read_archives(
     is (archive, block_start, block_pos), which has the same order and saves the pass that counts.
     No message is stored: numbers come from counts per file block.
     """
+    paths = visible(spark, paths)
     records = scan_records(spark.read, paths)
     if every_file:
         messages = with_placed_headers(records)
     else:
-        messages = _of_archives(records, [paths] if isinstance(paths, str) else list(paths))
+        messages = _of_archives(records, paths)
     return index_messages(messages, block_offsets(records)) if indexed else messages
 
 
@@ -38,6 +39,16 @@ def matching_files(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
     return [(re.sub("^file:/+", "file:/", f.getPath().toUri().toString()), f.isDirectory()) for f in found or ()]
 
 
+def visible(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """The paths, with those that numbered appends have filled replaced by the runs that their manifest lists."""
+    found = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        done = [address for address, _ in matching_files(spark, f"{path.rstrip('/')}/_manifest/run=*/_SUCCESS")]
+        runs = [f"{path.rstrip('/')}/{address.split('/')[-2]}" for address in sorted(done)]
+        found += runs or [path]
+    return found
+
+
 def scan_records(reader, paths: str | list[str]) -> DataFrame:
     """One row per record, from a batch or a stream reader. Large files are split over tasks."""
     lines = reader.option("lineSep", SEPARATOR).text(paths)
@@ -61,7 +72,7 @@ def _of_archives(records: DataFrame, paths: list[str]) -> DataFrame:
     """Messages of the files that count as archives. Files without a suffix are judged by their
     opening bytes; that join comes last, as the header pass needs the records in scan order."""
     name = F.element_at(F.split("archive", "/"), -1)
-    by_name = name.endswith(".mbox") | F.col("archive").rlike(r"\.mbox/part-[^/]+$")
+    by_name = name.endswith(".mbox") | F.col("archive").rlike(r"\.mbox/(run=\d+/)?part-[^/]+$")
     named = []
     for path in paths:
         found = matching_files(records.sparkSession, path)

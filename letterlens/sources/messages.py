@@ -18,8 +18,9 @@ def read_message_files(
 
 
 def read_message_tree(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """For re-packing: all .eml files below a folder in any letter case, and the skipped rest."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    """For re-packing: all .eml files below a folder in any letter case, and the skipped rest. Files whose content cannot be
+    read are listed and bring no message."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(path)
     is_message = F.lower("path").endswith(".eml")
     return _messages(files.filter(is_message)), files.filter(~is_message).select("path")
 

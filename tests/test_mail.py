@@ -285,3 +285,23 @@ def test_unreadable_messages_are_kept(spark, tmp_path):
     run_attachments(broken, r".*", str(tmp_path / "out"))
     failed = spark.read.parquet(str(tmp_path / "out" / "failed")).collect()
     assert [(r.file_name, r.reason, bytes(r.raw)[:10]) for r in failed] == [("failed_email_0001.eml", "bad header", b"Subject: b")]
+
+
+def test_appends_keep_their_order(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "all.mbox")
+    source.mkdir()
+    for name in ("b1", "a1", "z2", "c2"):
+        (source / f"{name}.eml").write_bytes(b"Subject: %s\n\nx\n" % name.encode())
+    for number in "21":
+        assert tuple(repack(spark, str(source), out, rf"{number}\.eml$").first()) == (2, 0, 0)
+    broken = tmp_path / "all.mbox" / "run=000003"
+    broken.mkdir()
+    (broken / "part-00000.txt").write_bytes(b"From x\nSubject: broken off\n\n")
+    subjects = [r.subject for r in read_archives(spark, out).orderBy("archive", "msg_index").collect()]
+    assert subjects == ["c2", "z2", "a1", "b1"]
+    repack(spark, str(source), out, "none")
+    assert read_archives(spark, out).count() == 4
+    repack(spark, str(source), out, "a1")
+    assert [r.subject for r in read_archives(spark, out).orderBy("archive", "msg_index").collect()] == [*subjects, "a1"]
+    manifest = spark.read.parquet(f"{out}/_manifest/run=000001")
+    assert manifest.agg(F.sum("rows")).first()[0] == 2

@@ -60,7 +60,7 @@ def mail_round_trip(spark, folder):
     return _round_trip(read_archives(spark, conversation_archive(spark, folder), every_file=True))
 
 
-def _exported(spark: SparkSession, folder: str) -> str:
+def exported_files(spark: SparkSession, folder: str) -> str:
     """Every turn as one .eml file in the shared folder."""
     path = scratch_path(spark, "files")
     uri = path if "://" in path else f"file://{path}"
@@ -70,13 +70,13 @@ def _exported(spark: SparkSession, folder: str) -> str:
 
 
 def message_files(spark, folder):
-    return _round_trip(read_message_files(spark, _exported(spark, folder)))
+    return _round_trip(read_message_files(spark, exported_files(spark, folder)))
 
 
 def repacked(spark, folder):
     """Single-message files packed into archive files and read back."""
     target = scratch_path(spark, "repacked")
-    repack(spark, _exported(spark, folder), target)
+    repack(spark, exported_files(spark, folder), target)
     return _round_trip(read_archives(spark, target, every_file=True))
 
 

@@ -4,13 +4,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from letterlens.plans.attachment_export import run_attachments
 from letterlens.plans.extraction import Search, run_extraction
+from letterlens.plans.repack import repack
 from letterlens.scale import ordered_rank, scratch_path
+from letterlens.sinks.messages import write_archive
 from letterlens.sources.archives import read_archives
 from letterlens.sources.mime import body_text, with_headers, with_parts
 from letterlens.streaming.intake import start_named_intake, stream_messages, stream_outcomes
 from workloads import text_table
 from workloads.mail import as_bytes, conversation_archive, conversation_subject, encoded, headers, mail_date, role_address, other_role, text_part
-from workloads.messages import MAIL_TEXT, PAGE_NAMES, PAGES, parsed_pages, with_source_key
+from workloads.messages import MAIL_TEXT, PAGE_NAMES, PAGES, exported_files, parsed_pages, with_source_key
 from workloads.texts import PATTERNS, hits_sql
 
 NUL = "\0"
@@ -80,10 +82,18 @@ def archive_index(spark, folder):
     return messages.select("archive", "msg_index", "conv_id", "turn").join(ranks, ["archive", "msg_index"]).select("conv_id", "turn", "place")
 
 
+def repack_append(spark, folder):
+    """Two appends of single-message files, even turns and then odd ones, read back in archive order."""
+    source, target = exported_files(spark, folder), scratch_path(spark, "repacked")
+    for digits in ("02468", "13579"):
+        repack(spark, source, target, rf"[{digits}]\.eml$").collect()
+    messages = with_source_key(read_archives(spark, target, every_file=True))
+    ranks = ordered_rank(messages.select("archive", "msg_index"), [], ["archive", "msg_index"], "place")
+    return messages.select("archive", "msg_index", "conv_id", "turn").join(ranks, ["archive", "msg_index"]).select("conv_id", "turn", "place")
+
+
 def stream_quarantine(spark, folder):
     """Archives that arrive as a stream: matches and unreadable messages of each batch, in two stores."""
-    from letterlens.sinks.messages import write_archive
-
     arrived, table, failed = (scratch_path(spark, name) for name in ("archive", "stream", "stream-failed"))
     write_archive(faulty_mail(spark, folder), arrived, ["archive", "msg_index"])
     judged = stream_outcomes(stream_messages(spark, arrived), Search(PATTERNS))
@@ -140,7 +150,7 @@ def multipart_bodies(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (quarantine, extraction_store, attachment_store, archive_index, stream_quarantine, charset_mix, multipart_bodies)
+    for f in (quarantine, extraction_store, attachment_store, archive_index, repack_append, stream_quarantine, charset_mix, multipart_bodies)
 }
 
 KIND = f"(conv_id + turn) % {KINDS}"
@@ -165,6 +175,8 @@ SELECT '<p' || page_id || '@example.com>' AS message_id, sha256(html) AS digest,
   sha256(host || '|' || page_id) || '_001' || coalesce(nullif(regexp_extract(name, '[^/.][^/]*(\\.[^./]*)$', 1), ''), '.bin') AS file_name
 FROM att""",
     "archive_index": "SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS place FROM conversations",
+    "repack_append": """
+SELECT conv_id, turn, row_number() OVER (ORDER BY turn % 2, 'c' || conv_id || '_t' || turn || '.eml') AS place FROM conversations""",
     "stream_quarantine": MATCHED + f"""
 SELECT DISTINCT 'matched' AS store, conv_id, turn FROM firsts
 UNION ALL SELECT 'failed', conv_id, turn FROM conversations WHERE {KIND} < 3""",
