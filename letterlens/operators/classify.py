@@ -5,7 +5,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from letterlens.fixed_values import (
     LOG_HEADER_LENGTH, LOG_REASONING_LENGTH, PRICE_INPUT, PRICE_OUTPUT, PROMPT_BODY_LENGTH,
@@ -13,6 +13,8 @@ from letterlens.fixed_values import (
 from letterlens.functions.names import confidence_name
 from letterlens.functions.text import immediate_reply
 from letterlens.scale import materialize
+from letterlens.schema import RESPONSES
+from letterlens.sources.archives import matching_files
 from letterlens.sources.mime import body_text
 
 KEYS = ["archive", "msg_index"]
@@ -92,6 +94,54 @@ def score(
     return materialize(asked.select(*KEYS, F.inline("made")), "responses")
 
 
+def score_batches(
+    found: DataFrame, system_prompt: str, criteria: str,
+    scorer: Callable[[str, list[str]], list[tuple[str, int, int] | Exception]], ledger: str,
+    retries: int = 1, match_key: str = "is_match", strict: bool = False, batch_rows: int = 64, slices: int = 8,
+) -> DataFrame:
+    """Call scorer(system prompt, user messages) -> an answer or an exception for each, and append every attempt to the ledger, a
+    folder of attempts. Messages without a usable answer are asked again, together, up to `retries` times.
+
+    Candidates are asked in slices, each of which is committed to the ledger as it ends. A run that broke off is
+    continued by calling again: whoever has a usable answer in the ledger is not asked, and attempts of others are counted on."""
+    spark = found.sparkSession
+    rows = found.filter(F.col("read_error").isNull()).select(*KEYS, user_message(criteria).alias("message"))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64(*KEYS), F.lit(slices)))
+    first = F.lit(0).alias("first")
+    if matching_files(spark, f"{ledger}/*.parquet"):
+        made = parsed_attempts(spark.read.schema(RESPONSES).parquet(ledger), match_key, strict).groupBy(*KEYS).agg(
+            (F.max("attempt") + 1).alias("first"), F.bool_or("valid").alias("answered")
+        )
+        rows = rows.join(made, KEYS, "left").filter(~F.coalesce("answered", F.lit(False))).drop("answered")
+        first = F.coalesce("first", F.lit(0)).alias("first")
+    waiting = materialize(rows.select(*KEYS, "slice", "message", first), "scoring")
+    schema = to_arrow_schema(RESPONSES)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_rows):
+                open_rows, made = batch.slice(start, batch_rows).to_pylist(), []
+                for attempt in range(retries + 1):
+                    answers = scorer(system_prompt, [row["message"] for row in open_rows]) if open_rows else []
+                    left = []
+                    for row, answer in zip(open_rows, answers, strict=True):
+                        failed = isinstance(answer, Exception)
+                        content, tokens_in, tokens_out = (None, 0, 0) if failed else answer
+                        made.append({
+                            "archive": row["archive"], "msg_index": row["msg_index"], "attempt": row["first"] + attempt, "content": content,
+                            "prompt_tokens": tokens_in, "completion_tokens": tokens_out, "error": str(answer) if failed else None,
+                        })
+                        if failed or not usable(content, match_key, strict):
+                            left.append(row)
+                    open_rows = left
+                yield pa.RecordBatch.from_pylist(made, schema)
+
+    for number in range(slices):
+        part = waiting.filter(F.col("slice") == number).drop("slice")
+        part.mapInArrow(ask, RESPONSES).write.mode("append").parquet(ledger)
+    return spark.read.schema(RESPONSES).parquet(ledger)
+
+
 def usable(content: str | None, match_key: str, strict: bool) -> bool:
     """Whether an answer is complete: a decision, and a confidence that is a number."""
     try:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from letterlens.operators.classify import (
     KEYS, candidates, classification_log, final_attempts, parsed_attempts, route_counts, routed, score,
-    token_totals,
+    score_batches, token_totals,
 )
 from letterlens.scale import materialize
 from letterlens.sinks.logs import run_report, write_classification_csv, write_report
@@ -24,11 +24,17 @@ def run_classification(
     messages: DataFrame, system_prompt: str, criteria: str, output: str,
     scorer: Callable[[str, str], tuple[str, int, int]] | None = None, responses: DataFrame | None = None,
     configuration: dict[str, str] | None = None, match_key: str = "is_match", strict: bool = False, retries: int = 1,
+    batch_scorer: Callable[[str, list[str]], list] | None = None,
 ) -> DataFrame:
-    """Score (or replay recorded responses), route, and write routes, log and report."""
+    """Score (or replay recorded responses), route, and write routes, log and report. A batch scorer keeps its attempts in
+    the output folder, and a run that broke off goes on from there."""
     started = time.monotonic()
     found = materialize(candidates(with_parts(messages)), "candidates")
-    if responses is None:
+    if responses is None and batch_scorer:
+        responses = score_batches(
+            found, system_prompt, criteria, batch_scorer, f"{output}/attempts", retries, match_key, strict
+        )
+    elif responses is None:
         responses = score(found, system_prompt, criteria, scorer, retries, match_key, strict)
     rows = materialize(classify(found, responses, match_key, strict), "routed")
     with_bytes = rows.select(*KEYS, "route", "output_name").join(messages.select(*KEYS, "raw"), KEYS)

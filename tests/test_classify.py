@@ -144,3 +144,37 @@ def test_unreadable_headers_are_not_scored(mail):
     broken = mail.withColumn("header_error", F.when(F.col("msg_index") == 3, F.lit("bad")))
     row = candidates(with_parts(broken)).filter("msg_index = 3").first()
     assert row.read_error == "Failed to extract email data: bad"
+
+
+def test_batches_go_on_after_a_break(spark, tmp_path):
+    """Each slice is committed; a second run asks only those without a usable answer, and counts their attempts on."""
+    from letterlens.operators.classify import score_batches
+
+    rows = [("a", i, f"{i}.eml", None, "s", "d", f"n{i}", "b") for i in range(40)] + [("a", 99, "x.eml", "unreadable", "", "", "", "")]
+    found = spark.createDataFrame(rows, "archive string, msg_index long, file_name string, read_error string, sender string, date string, subject string, body string")
+    ledger, asked = str(tmp_path / "ledger"), tmp_path / "asked"
+    asked.mkdir()
+
+    def scorer(broken):
+        def answers(system, messages):
+            out = []
+            for message in messages:
+                n = int(message.split("Subject: n")[1].split("\n")[0])
+                (asked / f"{broken}-{n}").touch()
+                if n == 17 and broken:
+                    raise SystemExit("lost")
+                out.append(ValueError("busy") if n == 5 and broken else (f'{{"is_match": {str(n % 2 == 0).lower()}, "confidence": 1}}', 1, 1))
+            return out
+
+        return answers
+
+    with pytest.raises(Exception):
+        score_batches(found, "s", "c", scorer(True), ledger, slices=4)
+    score_batches(found, "s", "c", scorer(False), ledger, slices=4)
+    made = spark.read.parquet(ledger).collect()
+    usable = [r.msg_index for r in made if r.error is None]
+    assert sorted(usable) == list(range(40))
+    assert len({(r.msg_index, r.attempt) for r in made}) == len(made)
+    again = {int(p.name.split("-")[1]) for p in asked.glob("False-*")}
+    done = {r.msg_index for r in made} - again
+    assert 17 in again and all((asked / f"True-{n}").exists() for n in done)

@@ -1,9 +1,15 @@
 """Whole jobs over mail made from the given tables, their stores read back."""
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from letterlens.operators.classify import candidates, score_batches
+from letterlens.operators.selection import also_in
 from letterlens.plans.attachment_export import run_attachments
-from letterlens.plans.extraction import Search, run_extraction
+from letterlens.plans.classification import classify
+from letterlens.plans.extraction import Search, find_matches, run_extraction
 from letterlens.plans.repack import repack
 from letterlens.scale import ordered_rank, scratch_path
 from letterlens.sinks.messages import write_archive
@@ -11,9 +17,9 @@ from letterlens.sources.archives import read_archives
 from letterlens.sources.mime import body_text, with_headers, with_parts
 from letterlens.streaming.intake import start_named_intake, stream_messages, stream_outcomes
 from workloads import text_table
-from workloads.mail import as_bytes, conversation_archive, conversation_subject, encoded, headers, mail_date, role_address, other_role, text_part
+from workloads.mail import as_bytes, conversation_archive, conversation_subject, document_mail, encoded, headers, mail_date, role_address, other_role, text_part
 from workloads.messages import MAIL_TEXT, PAGE_NAMES, PAGES, exported_files, parsed_pages, with_source_key
-from workloads.texts import PATTERNS, hits_sql
+from workloads.texts import PATTERNS, czech, hits_sql
 
 NUL = "\0"
 FAULTY_KIND = f"Content-Type: text/plain; charset*=u{NUL}''utf-8\n\nlost\n"
@@ -148,11 +154,38 @@ def multipart_bodies(spark, folder):
     return _document_bodies(spark, folder, content)
 
 
+def _answers(system_prompt: str, messages: list[str]) -> list:
+    """A scorer that goes by the number in the subject: every seventh answer is no JSON, every third is a match."""
+    numbers = [int(re.search(r"\nSubject: Dokument (\d+)\n", message)[1]) for message in messages]
+    return [
+        ("no answer" if n % 7 == 0 else json.dumps({"is_match": n % 3 == 0, "confidence": 0.5, "reasoning": ""}), len(system_prompt), 1)
+        for n in numbers
+    ]
+
+
+def classify_scored(spark, folder):
+    """All documents scored in batches, the attempts kept in a ledger, and routed from a replay of it."""
+    found = candidates(with_parts(with_headers(document_mail(spark, folder))))
+    made = score_batches(found, "system", "criteria", _answers, scratch_path(spark, "attempts"))
+    rows = classify(found, made)
+    return rows.select(F.col("msg_index").alias("doc_id"), "route", "attempts", "prompt_tokens")
+
+
+def extract_classify(spark, folder):
+    """Messages that hold a keyword, and only these, as candidates of the classifier."""
+    mail = with_headers(document_mail(spark, folder))
+    found = candidates(with_parts(also_in(mail, find_matches(mail, Search(PATTERNS)), ["archive", "msg_index"])))
+    return found.select(F.col("msg_index").alias("doc_id"), "sender", "subject")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (quarantine, extraction_store, attachment_store, archive_index, repack_append, stream_quarantine, charset_mix, multipart_bodies)
+    for f in (quarantine, extraction_store, attachment_store, archive_index, repack_append, stream_quarantine, charset_mix, multipart_bodies, classify_scored, extract_classify)
 }
 
+DOCUMENT_TEXT = f"""
+SELECT doc_id, {czech("'Dokument ' || doc_id || CASE WHEN length(trim(text, chr(9) || chr(10) || chr(13) || ' ')) < 10 THEN '' ELSE ' ' || text END")} AS t
+FROM documents"""
 KIND = f"(conv_id + turn) % {KINDS}"
 FAULTY_TEXT = MAIL_TEXT.replace("FROM conversations", f"FROM (SELECT conv_id, turn, CASE {KIND} WHEN 0 THEN '' ELSE text END AS text FROM conversations WHERE {KIND} <> 1)")
 MATCHED = hits_sql(FAULTY_TEXT, "conv_id, turn")
@@ -181,5 +214,12 @@ SELECT conv_id, turn, row_number() OVER (ORDER BY turn % 2, 'c' || conv_id || '_
 SELECT DISTINCT 'matched' AS store, conv_id, turn FROM firsts
 UNION ALL SELECT 'failed', conv_id, turn FROM conversations WHERE {KIND} < 3""",
     "charset_mix": f"SELECT doc_id, {NARROWED} AS body FROM documents",
+    "classify_scored": """
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'failed' WHEN doc_id % 3 = 0 THEN 'matched' ELSE 'rejected' END AS route,
+  CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END::BIGINT AS attempts, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 6 END::BIGINT AS prompt_tokens
+FROM documents""",
+    "extract_classify": hits_sql(DOCUMENT_TEXT, "doc_id") + """
+SELECT DISTINCT doc_id, 'Účastník <' || source || '@docs.example.com>' AS sender, 'Dokument ' || doc_id AS subject
+FROM hits JOIN documents USING (doc_id)""",
     "multipart_bodies": f"SELECT doc_id, {NARROWED} || ' ' || lang AS body FROM documents",
 }
