@@ -22,20 +22,35 @@ def unique_names(rows: DataFrame, keys: list[str], base: str, prior: DataFrame |
         placed = ranks.withColumn("taken", zero)
     else:
         placed = ranks.join(_taken_before(prior), "wanted", "left").withColumn("taken", F.coalesce("taken", zero))
-    placed = placed.join(_own_slots(wanted), "wanted", "left")
-    # The number in line, moved on by the own slots at or before it.
-    first = F.greatest("taken", F.lit(1).cast("bigint"))
-    in_line = F.col("taken") + F.col("nth") - 1
-    ahead = F.filter(F.col("slots"), lambda s: s["slot"] >= first)
-    steps = F.transform(ahead, lambda s, i: s["slot"] - i)
-    slot = in_line + F.coalesce(F.size(F.filter(steps, lambda step: step <= in_line)), F.lit(0))
-    number = F.when(in_line == 0, zero).otherwise(slot)
-    return placed.select(
-        *keys, F.col("wanted").alias("base"), numbered_name(F.col("wanted"), number).alias("file_name"),
-        (number > 0).alias("collision"),
+    placed = placed.withColumn("in_line", F.col("taken") + F.col("nth") - 1)
+    number = F.when(F.col("in_line") == 0, zero).otherwise(F.col("in_line") + F.col("passed"))
+    return _slots_passed(materialize(placed, "in-line"), wanted).withColumn("number", number).select(
+        *keys, F.col("wanted").alias("base"), numbered_name(F.col("wanted"), F.col("number")).alias("file_name"),
+        (F.col("number") > 0).alias("collision"),
     )
 
 
+def _slots_passed(placed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """placed with the number of own slots that each row in line steps over.
+
+    The i-th own slot s of a name (from 0) moves on all rows whose place in line is s - i or more. Rows and slots are put
+    in one order by that value and ranked together, in range slices; a row's rank less its rank among rows is the number of slots
+    before it. So neither slots nor rows of a name are ever gathered."""
+    taken = placed.groupBy("wanted").agg(F.max("taken").alias("taken"))
+    slots = _own_slots(wanted).join(taken, "wanted").filter(F.col("slot") >= F.greatest("taken", F.lit(1)))
+    slots = materialize(slots.select("wanted", "slot"), "slots")
+    if slots.isEmpty():
+        return placed.withColumn("passed", F.lit(0).cast("bigint"))
+    steps = ordered_rank(slots, ["wanted"], ["slot"], "i").select(
+        "wanted", (F.col("slot") - F.col("i") + 1).alias("value"), F.lit(0).alias("kind"), F.col("i").alias("tie")
+    )
+    families = slots.select("wanted").distinct()
+    rows = placed.join(families, "wanted", "left_semi").select("wanted", F.col("in_line").alias("value"), F.lit(1).alias("kind"), F.col("nth").alias("tie"))
+    ranked = ordered_rank(rows.unionByName(steps), ["wanted"], ["value", "kind", "tie"], "at").filter("kind = 1")
+    passed = ranked.select("wanted", F.col("tie").alias("nth"), (F.col("at") - F.col("tie")).alias("passed"))
+    return placed.join(passed, ["wanted", "nth"], "left").withColumn("passed", F.coalesce("passed", F.lit(0).cast("bigint")))
+
+
 def _family(name) -> list:
     return [
         F.regexp_replace(name, NUMBERED, "$1$3").alias("wanted"),
@@ -44,12 +59,11 @@ def _family(name) -> list:
 
 
 def _own_slots(wanted: DataFrame) -> DataFrame:
-    """(wanted, slots): the numbers of a name that messages bear as their own names, ascending."""
+    """(wanted, slot): the numbers of a name that messages bear as their own names."""
     own = wanted.select("wanted").distinct()
     numbered = own.filter(F.col("wanted").rlike(NUMBERED)).select(F.col("wanted").alias("own"), *_family(F.col("wanted")))
     numbered = numbered.filter(numbered_name(F.col("wanted"), F.col("slot")) == F.col("own"))
-    known = numbered.join(own, "wanted", "left_semi")
-    return known.groupBy("wanted").agg(F.sort_array(F.collect_list(F.struct("slot"))).alias("slots"))
+    return numbered.join(own, "wanted", "left_semi").select("wanted", "slot")
 
 
 def _taken_before(prior: DataFrame) -> DataFrame:

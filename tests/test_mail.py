@@ -305,3 +305,20 @@ def test_appends_keep_their_order(spark, tmp_path):
     assert [r.subject for r in read_archives(spark, out).orderBy("archive", "msg_index").collect()] == [*subjects, "a1"]
     manifest = spark.read.parquet(f"{out}/_manifest/run=000001")
     assert manifest.agg(F.sum("rows")).first()[0] == 2
+
+
+def test_own_numbers_of_a_hot_name(spark):
+    """Thousands of own numbers in one family: each repeat takes the next free one."""
+    own = [f"x_{i:03d}.eml" for i in range(1, 9000, 3)]
+    base = own[:1500] + ["x.eml"] * 4000 + own[1500:] + ["x_004.eml", "y.eml", "y.eml"]
+    rows = spark.createDataFrame(list(enumerate(base)), "k int, base string")
+    got = {r.k: r.file_name for r in unique_names(rows, ["k"], "base").collect()}
+    taken, number, want = set(own), 0, {}
+    for k, name in enumerate(base):
+        if name == "x.eml":
+            while number and f"x_{number:03d}.eml" in taken:
+                number += 1
+            want[k] = f"x_{number:03d}.eml" if number else name
+            number += 1
+    assert {k: got[k] for k in want} == want
+    assert len(set(got.values())) == len(base)

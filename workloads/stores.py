@@ -6,17 +6,18 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from letterlens.operators.classify import candidates, score_batches
+from letterlens.operators.naming import unique_names
 from letterlens.operators.selection import also_in
 from letterlens.plans.attachment_export import run_attachments
 from letterlens.plans.classification import classify
 from letterlens.plans.extraction import Search, find_matches, run_extraction
 from letterlens.plans.repack import repack
-from letterlens.scale import ordered_rank, scratch_path
+from letterlens.scale import materialize, ordered_rank, scratch_path
 from letterlens.sinks.messages import write_archive
 from letterlens.sources.archives import read_archives
 from letterlens.sources.mime import body_text, with_headers, with_parts
 from letterlens.streaming.intake import start_named_intake, stream_messages, stream_outcomes
-from workloads import text_table
+from workloads import table, text_table
 from workloads.mail import as_bytes, conversation_archive, conversation_subject, document_mail, encoded, headers, mail_date, role_address, other_role, text_part
 from workloads.messages import MAIL_TEXT, PAGE_NAMES, PAGES, exported_files, parsed_pages, with_source_key
 from workloads.texts import PATTERNS, czech, hits_sql
@@ -163,6 +164,14 @@ def _answers(system_prompt: str, messages: list[str]) -> list:
     ]
 
 
+def collisions_prior(spark, folder):
+    """Names of later turns against the names that an earlier run gave to the first two turns of each thread."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", F.concat("role", F.lit(".eml")).alias("base_name"))
+    first = unique_names(turns.filter("turn < 2"), ["conv_id", "turn"], "base_name").select(F.col("file_name").alias("filename"))
+    later = unique_names(turns.filter("turn >= 2"), ["conv_id", "turn"], "base_name", materialize(first, "log"))
+    return later.select("conv_id", "turn", "file_name", "collision")
+
+
 def classify_scored(spark, folder):
     """All documents scored in batches, the attempts kept in a ledger, and routed from a replay of it."""
     found = candidates(with_parts(with_headers(document_mail(spark, folder))))
@@ -180,7 +189,7 @@ def extract_classify(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (quarantine, extraction_store, attachment_store, archive_index, repack_append, stream_quarantine, charset_mix, multipart_bodies, classify_scored, extract_classify)
+    for f in (quarantine, extraction_store, attachment_store, archive_index, repack_append, stream_quarantine, charset_mix, multipart_bodies, classify_scored, extract_classify, collisions_prior)
 }
 
 DOCUMENT_TEXT = f"""
@@ -214,6 +223,12 @@ SELECT conv_id, turn, row_number() OVER (ORDER BY turn % 2, 'c' || conv_id || '_
 SELECT DISTINCT 'matched' AS store, conv_id, turn FROM firsts
 UNION ALL SELECT 'failed', conv_id, turn FROM conversations WHERE {KIND} < 3""",
     "charset_mix": f"SELECT doc_id, {NARROWED} AS body FROM documents",
+    "collisions_prior": """
+WITH taken AS (SELECT role, count(*) AS n FROM conversations WHERE turn < 2 GROUP BY role),
+later AS (SELECT conv_id, turn, c.role, coalesce(t.n, 0) + row_number() OVER (PARTITION BY c.role ORDER BY conv_id, turn) - 1 AS k
+  FROM conversations c LEFT JOIN taken t ON c.role = t.role WHERE turn >= 2)
+SELECT conv_id, turn, role || CASE WHEN k = 0 THEN '' WHEN k < 1000 THEN '_' || lpad(k::VARCHAR, 3, '0') ELSE '_' || k END || '.eml' AS file_name,
+  k > 0 AS collision FROM later""",
     "classify_scored": """
 SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'failed' WHEN doc_id % 3 = 0 THEN 'matched' ELSE 'rejected' END AS route,
   CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END::BIGINT AS attempts, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 6 END::BIGINT AS prompt_tokens
