@@ -55,6 +55,32 @@ def test_one_template_of_a_large_host(spark):
     assert got[62] == got[63] == f"{own(62)}\nThis part of the site is kept by its lone readers and friends only"
 
 
+def test_one_text_at_several_addresses(spark):
+    """Near-equal pages are one page: their text stays whole, and what they share with others goes."""
+    line = "<div>All rights reserved by the owners of this fine site since ever</div>"
+    words = lambda i: " ".join(f"p{i}x{j}" for j in range(200))
+    view = "<body>{}<p>{}</p><p>This page was viewed {} times until now by all of its readers</p></body>"
+    rows = [(i, f"http://twice/{i}", f"<body><p>{words(0)}</p><p>This page was viewed {i} times</p></body>") for i in range(2)]
+    rows += [(10 + i, f"http://many/{i}", view.format(line, words(i // 3), f"{i} or {i}1")) for i in range(9)]
+    got = texts(spark, rows)
+    assert all(got[i] == f"{words(0)}\nThis page was viewed {i} times" for i in range(2))
+    assert all(got[10 + i].startswith(words(i // 3)) for i in range(9))
+
+
+def test_wrappers_of_the_article(spark):
+    article = "<article><p>the text</p></article>"
+    whole = [
+        f'<div class="content has-sidebar">{article}</div><div class="sidebar">side</div>', f'<form id="aspnetForm">{article}</form>',
+        f'<div class="widget-area">{article}</div>', '<article class="post comments-open"><p>the text</p></article>',
+        '<form><h1>the text</h1></form>', '<article><section id="related-work"><p>the text</p></section></article>',
+        f'<p>the text</p><div class="siteFooter">foot</div><form><p>fill in</p></form><div class="related-posts">{article}</div>',
+        f'<p>the text</p><div class="sidebar"><article>teaser</article></div><div id="reader-comments">{article}</div>',
+        '<article><p>the text</p><div class="user-comments"><article>nice</article></div><form><p>send</p></form></article>',
+    ]
+    got = texts(spark, [(i, f"http://h{i}/", page) for i, page in enumerate(whole)])
+    assert got == {i: "the text" for i in range(len(whole))}
+
+
 def test_columns_and_empty_table(spark):
     out = main_text(pages(spark, [(1, "http://h", "<p>a</p>"), (1, "http://h", "<p>a</p>")]))
     assert sorted(out.columns) == sorted([*pages(spark, []).columns, "n_blocks", "n_dropped"])
