@@ -93,10 +93,11 @@ def _merged(spans: list[tuple]) -> list[tuple]:
 
 
 def item_blocks(benchmark: DataFrame, key: str, text: str, window: int, item_block: int = ITEM_BLOCK) -> list[Phrases]:
-    """The benchmark in blocks of about `item_block` items, cut by hash. Documents are searched for every block."""
-    items = benchmark.select(F.col(key).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null")
+    """The benchmark in blocks of about `item_block` items, cut by hash. Documents are searched for every block. Rows
+    that are equal are one item."""
+    items = benchmark.select(F.col(key).cast("string").alias("item"), F.col(text).alias("text")).distinct()
     blocks = items.count() // item_block + 1
-    place = F.pmod(F.xxhash64("item"), F.lit(blocks))
+    place = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
     return [Phrases([(r.item, r.text) for r in items.where(place == i).collect()], window) for i in range(blocks)]
 
 
@@ -104,15 +105,15 @@ def find_passages(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
     window: int = WINDOW, item_block: int = ITEM_BLOCK,
 ) -> DataFrame:
-    """docs with n_words, spans (word numbers from 0, end exclusive, merged) and items (ids as text, sorted, distinct).
+    """docs with n_words, spans (word numbers from 0, end exclusive, merged), items (ids as text, sorted, distinct) and
+    n_unnamed (different items without an id that were found; their words are hit like all others).
 
-    A phrase is every run of `window` words of an item; an item with fewer words is one phrase, one without words or id
-    none. Null texts have no words. Columns of docs that bear one of the new names are replaced. Repeated rows and ids
+    A phrase is every run of `window` words of an item; an item with fewer words is one phrase, one without words none. Null texts have no words. Columns of docs that bear one of the new names are replaced. Repeated rows and ids
     are treated one by one: nothing is shuffled.
     """
-    result = docs.drop("n_words", "spans", "items").select(
+    result = docs.drop("n_words", "spans", "items", "n_unnamed").select(
         "*", F.lit(0).cast("bigint").alias("n_words"), F.array().cast(SPANS).alias("spans"),
-        F.array().cast("array<string>").alias("items"),
+        F.array().cast("array<string>").alias("items"), F.lit(0).cast("bigint").alias("n_unnamed"),
     )
     for phrases in item_blocks(benchmark, item_key, item_text, window, item_block):
         result = result.mapInArrow(_marker(phrases, text), result.schema)
@@ -124,11 +125,13 @@ def _marker(phrases: Phrases, text: str):
         for batch in batches:
             n_words, spans, items = phrases.find(batch.column(text).cast(pa.binary()).to_pylist())
             spans = [_merged(a + [(s["start"], s["end"]) for s in b]) for a, b in zip(spans, batch.column("spans").to_pylist())]
-            items = [sorted({*a, *b}) for a, b in zip(items, batch.column("items").to_pylist())]
+            unnamed = [a.count(None) + n for a, n in zip(items, batch.column("n_unnamed").to_pylist())]
+            items = [sorted({*a, *b} - {None}) for a, b in zip(items, batch.column("items").to_pylist())]
             new = {
                 "n_words": pa.array(n_words, pa.int64()),
                 "spans": pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], SPANS_ARROW),
                 "items": pa.array(items, pa.list_(pa.string())),
+                "n_unnamed": pa.array(unnamed, pa.int64()),
             }
             names = batch.schema.names
             yield pa.record_batch([new.get(name, batch.column(name)) for name in names], names)

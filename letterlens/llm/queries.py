@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from letterlens.llm import bpe_automaton, cotrain, curriculum, decontaminate, extract, filter_audit, jaccard, line_dedup, merkle
 from letterlens.llm import ring, rules, secrets, sql, token_planes
-from letterlens.scale import scratch_path
+from letterlens.scale import materialize, scratch_path
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,13 +35,19 @@ def op3_token_planes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """Measurements, failure bits and the verdict of the latest policy for every document."""
-    found = rules.ledger(documents(spark, folder).select("doc_id", "text"))
+    """Measurements, failure bits and the verdicts of all policies for every document; where one rule alone decides the latest
+    policy, that rule and how many documents the policy would keep besides without it."""
+    found = materialize(rules.ledger(documents(spark, folder).select("doc_id", "text")), "ledger")
     base = F.lit(rules.mask(rules.BASE))
-    return found.select(
+    gained = rules.ablations(found).where("policy = 'v3'").select(
+        F.col("rule").alias("deciding_rule"), (F.col("kept_without") - F.col("kept")).alias("gained_without")
+    )
+    judged = found.select(
         "doc_id", *rules.MEASURES, "failed_bits", (F.col("failed_bits").bitwiseAND(base) != 0).alias("base_failed"),
-        rules.passes("v3").alias("kept"),
+        rules.passes("v3").alias("kept"), rules.passes("v1").alias("kept_v1"), rules.passes("v2").alias("kept_v2"),
+        rules.deciding_rule("v3").alias("deciding_rule"),
     )
+    return judged.join(F.broadcast(gained), "deciding_rule", "left").fillna(0, "gained_without")  # gained: one row a rule
 
 
 def op5_ring_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,4 +130,7 @@ QUERIES = {
         op9_secret_ownership, op10_jaccard_join, op11_merkle_manifest, op12_tokenization_automaton, op13_filter_audit,
     )
 }
-SQL: dict[str, str] = {"op11_merkle_manifest": sql.MERKLE_MANIFEST, "op13_filter_audit": sql.FILTER_AUDIT}
+SQL: dict[str, str] = {
+    "op4_rule_ledger": sql.RULE_LEDGER, "op7_decontaminate": sql.DECONTAMINATE, "op10_jaccard_join": sql.JACCARD_JOIN,
+    "op11_merkle_manifest": sql.MERKLE_MANIFEST, "op13_filter_audit": sql.FILTER_AUDIT,
+}

@@ -118,6 +118,12 @@ def passes(policy: str) -> Column:
     return F.col("failed_bits").bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0
 
 
+def deciding_rule(policy: str) -> Column:
+    """The rule that alone fails a document under the policy; null where none or several fail."""
+    failed = F.col("failed_bits").bitwiseAND(F.lit(mask(POLICIES[policy])))
+    return F.coalesce(*(F.when(failed == 1 << BIT[name], F.lit(name)) for name in POLICIES[policy]))
+
+
 def ablations(found: DataFrame) -> DataFrame:
     """(policy, rule, documents, kept, kept_without, any_failed): what each policy keeps, what it would keep without one
     of its rules, and the rules that failed anywhere. The ledger is folded to one row per bit pattern first (at most

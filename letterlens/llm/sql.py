@@ -94,3 +94,75 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
   CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
 FROM counted
 """
+
+
+RULE_LEDGER = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), runs AS (
+  SELECT id, i, array_to_string(w[i:i + 4], ' ') AS run FROM d, unnest(range(1, len(w) - 3)) AS _(i)
+), twice AS (
+  SELECT id, i, count(*) OVER (PARTITION BY id, run) > 1 AS again FROM runs
+), repeated AS (
+  SELECT id, count(DISTINCT i + k) AS n FROM twice, range(0, 5) AS _(k) WHERE again GROUP BY id
+), lines AS (
+  SELECT id, line FROM d, unnest(string_split(text, chr(10))) AS _(line) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), line_counts AS (
+  SELECT id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM lines GROUP BY id
+), m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(l.dup, 0) AS n_dup_lines,
+    coalesce(r.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_lines, CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT) AS n_upper,
+    CAST(len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>!]$'))) AS BIGINT) AS n_marked_words
+  FROM d LEFT JOIN repeated r USING (id) LEFT JOIN line_counts l USING (id)
+), bits AS (
+  SELECT *, CAST((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (100 * n_symbols > 10 * word_chars)::INT
+    + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (n_words >= 10 AND 100 * n_upper > 50 * word_chars)::INT
+    + 32 * (n_words >= 10 AND 100 * n_marked_words > 30 * n_words)::INT + 64 * (word_chars > 40 * n_words)::INT AS BIGINT) AS failed_bits
+  FROM m
+), judged AS (
+  SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits & 3 = 0 AS kept_v1, failed_bits & 15 = 0 AS kept_v2,
+    CASE failed_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines'
+      WHEN 16 THEN 'capitals' WHEN 32 THEN 'marked_words' WHEN 64 THEN 'long_words' END AS deciding_rule
+  FROM bits
+)
+SELECT *, CASE WHEN deciding_rule IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY deciding_rule) END AS gained_without FROM judged"""
+
+_TEST_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+DECONTAMINATE = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, {_TEST_WORDS} AS w FROM documents
+), items AS (SELECT item_id, {_TEST_WORDS} AS w FROM benchmark
+), phrases AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS phrase
+  FROM items, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS _(i) WHERE len(w) > 0
+), lengths AS (SELECT DISTINCT n FROM phrases
+), runs AS (
+  SELECT id, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths)
+), hits AS MATERIALIZED (SELECT r.id, r.i, r.n, p.item_id FROM runs r JOIN phrases p ON r.phrase = p.phrase AND r.n = p.n
+), covered AS (SELECT id, count(DISTINCT j) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY id
+), named AS (SELECT DISTINCT id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL
+), found AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM named GROUP BY id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (id) LEFT JOIN found USING (id)"""
+
+JACCARD_JOIN = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS _(i) WHERE len(w) > 0
+), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL) p
+  JOIN sizes a ON a.doc_id = p.x JOIN sizes b ON b.doc_id = p.y WHERE 100 * common >= 80 * (a.n + b.n - common)
+), reach AS (
+  SELECT doc_id AS start, doc_id AS node FROM d UNION SELECT r.start, l.y FROM reach r JOIN links l ON r.node = l.x
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT start AS doc_id, min(node) AS component_id FROM reach GROUP BY start) c USING (doc_id)"""

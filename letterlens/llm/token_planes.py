@@ -10,13 +10,13 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from letterlens.llm.words import slices
 
@@ -126,9 +126,11 @@ SCHEMA_ARROW = pa.schema([
 ])
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
-    """Encode whole texts and write them in ascending order of the key, nulls first; rows with equal keys follow by the
-    hash of their text. Each document ends with end_id; null and empty texts are that id alone. Extra columns are ignored."""
+def write_tokens(
+    docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", order: Sequence[Column | str] | None = None,
+) -> None:
+    """Encode whole texts and write them in ascending order of the key, nulls first, or of the columns in `order`; rows that
+    are equal there follow by the hash of their text. Each document ends with end_id; null and empty texts are that id alone. Extra columns are ignored."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer)
@@ -145,8 +147,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: s
         if chunker.held:
             yield pa.RecordBatch.from_pylist([chunker.flush()], SCHEMA_ARROW)
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
+    places = {f"place{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order or [F.col(key).cast("long")])}
+    rows = docs.select(
+        F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *(c.alias(name) for name, c in places.items())
+    ).withColumn("tie", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(*places, "tie").sortWithinPartitions(*places, "tie")
     ordered.select("key", "text").mapInArrow(encode, SCHEMA).write.option("compression", "none").parquet(path)
 
 

@@ -18,14 +18,14 @@ def brute(text, items):
     have, hit, names = words(text), set(), set()
     for name, item in items:
         phrase = words(item)
-        if name is None or not phrase:
+        if not phrase:
             continue
         width = min(10, len(phrase))
         runs = {tuple(phrase[i : i + width]) for i in range(len(phrase) - width + 1)}
         for i in range(len(have) - width + 1):
             if tuple(have[i : i + width]) in runs:
                 hit |= set(range(i, i + width))
-                names.add(str(name))
+                names |= {str(name)} - {"None"}
     return len(have), len(hit), sorted(names)
 
 
