@@ -6,7 +6,8 @@ stage's docs."""
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from letterlens.llm import cotrain, curriculum, decontaminate, jaccard, token_planes
 from letterlens.scale import materialize, scratch_path
@@ -38,10 +39,21 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return curriculum.repeated(docs)
 
 
+def written_order(docs: DataFrame) -> list[Column] | None:
+    """Columns that give the rows of a written table in the order of the job that wrote it; none if docs is no such table."""
+    try:
+        file = docs.metadataColumn("_metadata")
+        docs.select(file["file_name"], file["row_index"])
+    except AnalysisException:
+        return None
+    return [F.regexp_extract(file["file_name"], r"part-(\d+)", 1).try_cast("long"), file["file_name"], file["row_index"]]
+
+
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in bit-plane files; returns per document what the files hold."""
+    """Token ids in bit-plane files, in the order in which docs were written (that of training); returns per document what
+    the files hold."""
     path = scratch_path(spark, "planes")
-    token_planes.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    token_planes.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), END_ID, order=written_order(docs))
     return token_planes.read_digests(spark, path)
 
 
