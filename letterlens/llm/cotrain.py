@@ -275,13 +275,26 @@ def _dense(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.empty((0, 10 + 2 * HASHED))
 
 
+LEADING = 18
+
+
 def _numbers(words: np.ndarray, row: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place in names of the words that stand there, and their rows."""
+    """Place in names (ascending hashes) of the words that stand there, and their rows. Hashes are looked up by their
+    leading bits; the few names that agree in these stand side by side."""
     if not len(names):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    at = np.minimum(np.searchsorted(names, words), len(names) - 1)
+    shift = np.uint64(64 - LEADING)
+    lead = (names.view(np.uint64) >> shift).astype(np.int64)
+    first, count = np.zeros(1 << LEADING, np.int32), np.bincount(lead, minlength=1 << LEADING)
+    first[lead[::-1]] = np.arange(len(names) - 1, -1, -1)
+    lead = (words.view(np.uint64) >> shift).view(np.int64)
+    at = first[lead]
     hit = names[at] == words
-    return at[hit], row[hit]
+    for further in range(1, count.max()):
+        more = np.flatnonzero(~hit & (count[lead] > further))
+        at[more] += 1
+        hit[more] = names[at[more]] == words[more]
+    return at[hit].astype(np.int64), row[hit]
 
 
 def _rows_of(number: np.ndarray, row: np.ndarray, count: int) -> pa.ListArray:
@@ -339,7 +352,8 @@ def word_counts(own: DataFrame, free: DataFrame | None = None, judge=None) -> Da
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words, row = _lists(batch.column("words"))
-            words, place = np.unique(words, return_inverse=True)
+            known = pa.array(words).dictionary_encode()
+            words, place = known.dictionary.to_numpy(), known.indices.to_numpy()
             counts = []
             for target in TARGETS:
                 label = batch.column(f"text_{target}").to_numpy()

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from letterlens.llm import cotrain
@@ -87,3 +88,16 @@ def test_word_counts(spark, table):
                 counts[2 * i + 1] += label == 1
     got = {r.word: list(r)[1:] for r in cotrain.word_counts(own).collect()}
     assert got == {word: counts for word, counts in brute.items() if word is None or any(counts)}
+
+
+def test_lookup_by_leading_bits():
+    rng = np.random.default_rng(4)
+    for spread in (64, 44, 3):
+        pool = np.unique(rng.integers(-(1 << 62), 1 << 62, 4_000) >> (64 - spread)) if spread < 64 else np.unique(rng.integers(-(1 << 62), 1 << 62, 4_000))
+        names = np.sort(rng.choice(pool, len(pool) // 2, replace=False))
+        words = rng.choice(pool, 10_000)
+        number, row = cotrain._numbers(words, np.arange(len(words)), names)
+        stands = np.isin(words, names)
+        assert (row == np.flatnonzero(stands)).all() and (names[number] == words[stands]).all()
+    for names in (np.empty(0, np.int64), np.array([5])):
+        assert [len(x) for x in cotrain._numbers(np.empty(0, np.int64), np.empty(0, np.int64), names)] == [0, 0]
