@@ -16,9 +16,10 @@ from letterlens.scale import materialize, ordered_rank, scratch_path
 from letterlens.sinks.messages import write_archive
 from letterlens.sources.archives import read_archives
 from letterlens.sources.mime import body_text, with_headers, with_parts
-from letterlens.streaming.intake import start_named_intake, stream_messages, stream_outcomes
+from letterlens.streaming.intake import start_intake, start_named_intake, stream_matches, stream_messages, stream_outcomes
+from letterlens.streaming.names import start_names
 from workloads import table, text_table
-from workloads.mail import as_bytes, conversation_archive, conversation_subject, document_mail, encoded, headers, mail_date, role_address, other_role, text_part
+from workloads.mail import as_bytes, conversation_archive, conversation_mail, conversation_subject, document_mail, encoded, headers, mail_date, role_address, other_role, text_part
 from workloads.messages import MAIL_TEXT, PAGE_NAMES, PAGES, exported_files, parsed_pages, with_source_key
 from workloads.texts import PATTERNS, czech, hits_sql
 
@@ -46,7 +47,7 @@ def faulty_mail(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("conv_id").cast("string").alias("archive"), F.col("turn").alias("msg_index"), faulty_raw(kind).alias("raw"))
 
 
-def _extracted(spark: SparkSession, folder: str) -> str:
+def extracted(spark: SparkSession, folder: str) -> str:
     output = scratch_path(spark, "extraction")
     run_extraction(with_headers(faulty_mail(spark, folder)), Search(PATTERNS), output).collect()
     return output
@@ -54,7 +55,7 @@ def _extracted(spark: SparkSession, folder: str) -> str:
 
 def quarantine(spark, folder):
     """Messages that a stage could not read in whole, as the job has stored them."""
-    rows = spark.read.parquet(f"{_extracted(spark, folder)}/failed")
+    rows = spark.read.parquet(f"{extracted(spark, folder)}/failed")
     return rows.select(
         F.col("archive").cast("bigint").alias("conv_id"), F.col("msg_index").alias("turn"), "file_name", "stage",
         F.substring_index("reason", ":", 1).alias("fault"),
@@ -63,7 +64,7 @@ def quarantine(spark, folder):
 
 def extraction_store(spark, folder):
     """Log and saved messages, joined by file name. A message read in part is saved as well if that part holds a keyword."""
-    output = _extracted(spark, folder)
+    output = extracted(spark, folder)
     log, saved = spark.read.parquet(f"{output}/log"), spark.read.parquet(f"{output}/messages")
     raw = F.col("raw").cast("string")
     return log.join(saved, log["filename"] == saved["file_name"]).select(
@@ -113,6 +114,19 @@ def stream_quarantine(spark, folder):
     )
 
 
+def stream_names(spark, folder):
+    """Names per role for the matches of a stream, with few files a batch and a restart in between."""
+    arrived, found, names, state = (scratch_path(spark, name) for name in ("archive", "stream", "stream-names", "names-state"))
+    write_archive(conversation_mail(spark, folder), arrived, ["archive", "msg_index"])
+    matches = stream_matches(stream_messages(spark, arrived), Search(PATTERNS))
+    role = F.regexp_extract(F.element_at("from_addrs", 1), "^[a-z]+", 0)
+    named = matches.withColumn("base_name", F.concat(role, F.lit(".eml")))
+    start_intake(named, found, scratch_path(spark, "stream-state")).awaitTermination()
+    for _ in range(2):
+        start_names(spark, found, names, state, files_per_batch=3).awaitTermination()
+    return spark.read.parquet(names).select(F.regexp_extract("base", "^[a-z]+", 0).alias("role"), "file_name", "collision")
+
+
 def _quoted_printable(text: Column, charset: str) -> Column:
     return F.regexp_replace(F.hex(F.encode(text, charset)), "(..)", "=$1")
 
@@ -189,7 +203,7 @@ def extract_classify(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (quarantine, extraction_store, attachment_store, archive_index, repack_append, stream_quarantine, charset_mix, multipart_bodies, classify_scored, extract_classify, collisions_prior)
+    for f in (quarantine, extraction_store, attachment_store, archive_index, repack_append, stream_quarantine, stream_names, charset_mix, multipart_bodies, classify_scored, extract_classify, collisions_prior)
 }
 
 DOCUMENT_TEXT = f"""
@@ -222,6 +236,11 @@ SELECT conv_id, turn, row_number() OVER (ORDER BY turn % 2, 'c' || conv_id || '_
     "stream_quarantine": MATCHED + f"""
 SELECT DISTINCT 'matched' AS store, conv_id, turn FROM firsts
 UNION ALL SELECT 'failed', conv_id, turn FROM conversations WHERE {KIND} < 3""",
+    "stream_names": hits_sql(MAIL_TEXT, "conv_id, turn") + """,
+n AS (SELECT role, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS k
+  FROM (SELECT DISTINCT conv_id, turn FROM firsts) f JOIN conversations c USING (conv_id, turn))
+SELECT role, role || CASE WHEN k = 0 THEN '' WHEN k < 1000 THEN '_' || lpad(k::VARCHAR, 3, '0') ELSE '_' || k END || '.eml' AS file_name,
+  k > 0 AS collision FROM n""",
     "charset_mix": f"SELECT doc_id, {NARROWED} AS body FROM documents",
     "collisions_prior": """
 WITH taken AS (SELECT role, count(*) AS n FROM conversations WHERE turn < 2 GROUP BY role),
