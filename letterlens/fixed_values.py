@@ -161,3 +161,14 @@ CLASSIFICATION_LOG = [
     "completion_tokens", "total_tokens", "processing_time_ms", "error_message", "retried",
     "from_address", "subject", "output_filename",
 ]
+
+# The frame around criteria and message in the scorer's input.
+PROMPT_FORMAT = (
+    "%s\n\nEMAIL TO ANALYZE:\nFrom: %s\nDate: %s\nSubject: %s\n\n%s\n\n"
+    "Respond with JSON only:\n"
+    '{"is_match": true/false, "confidence": 0.95, "reasoning": "brief explanation"}'
+)
+
+# Lower bounds of the confidence bands used in review and in the prompts.
+REVIEW_BANDS = (0.90, 0.70, 0.50)
+PROMPT_BANDS = (0.95, 0.80, 0.60, 0.40)

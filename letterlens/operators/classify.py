@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from letterlens.fixed_values import (
-    LOG_HEADER_LENGTH, LOG_REASONING_LENGTH, PRICE_INPUT, PRICE_OUTPUT, PROMPT_BODY_LENGTH,
+    LOG_HEADER_LENGTH, LOG_REASONING_LENGTH, PRICE_INPUT, PRICE_OUTPUT, PROMPT_BODY_LENGTH, PROMPT_FORMAT, REVIEW_BANDS,
 )
 from letterlens.functions.names import confidence_name
 from letterlens.functions.text import immediate_reply
@@ -22,8 +22,8 @@ NOT_READ = "Failed to read EML file"
 NOT_EXTRACTED = "Failed to extract email data: "
 
 
-def candidates(messages: DataFrame) -> DataFrame:
-    """What the scorer sees of each message that has parts: sender, date, subject, reply text."""
+def candidates(messages: DataFrame, body_length: int = PROMPT_BODY_LENGTH) -> DataFrame:
+    """What the scorer sees of each message that has parts: sender, date, subject, and so much of the reply text."""
     reply = immediate_reply(body_text(html_mode="strip"))
     return messages.select(
         *KEYS,
@@ -33,18 +33,10 @@ def candidates(messages: DataFrame) -> DataFrame:
         F.col("from_decoded").alias("sender"),
         F.coalesce("date_raw", F.lit("")).alias("date"),
         "subject",
-        F.substring(reply, 1, PROMPT_BODY_LENGTH).alias("body"),
+        F.substring(reply, 1, body_length).alias("body"),
     )
 
 
-# The frame around criteria and message in the scorer's input.
-PROMPT_FORMAT = (
-    "%s\n\nEMAIL TO ANALYZE:\nFrom: %s\nDate: %s\nSubject: %s\n\n%s\n\n"
-    "Respond with JSON only:\n"
-    '{"is_match": true/false, "confidence": 0.95, "reasoning": "brief explanation"}'
-)
-
-
 def user_message(criteria: str) -> Column:
     fields = [F.coalesce(F.col(c), F.lit("")) for c in ("sender", "date", "subject", "body")]
     return F.format_string(PROMPT_FORMAT, F.lit(criteria), *fields)
@@ -237,23 +229,25 @@ def routed(found: DataFrame, finals: DataFrame) -> DataFrame:
     )
 
 
-def classification_log(rows: DataFrame) -> DataFrame:
+def classification_log(
+    rows: DataFrame, reasoning_length: int = LOG_REASONING_LENGTH, header_length: int = LOG_HEADER_LENGTH
+) -> DataFrame:
     """The log columns in file order, and attempts. Per-row clock readings stay null."""
     return rows.select(
         F.col("file_name").alias("filename"),
         F.lit(None).cast("timestamp").alias("processed_at"),
         F.col("decision_label").alias("llm_decision"),
         "confidence",
-        F.substring("reasoning", 1, LOG_REASONING_LENGTH).alias("reasoning"),
+        F.substring("reasoning", 1, reasoning_length).alias("reasoning"),
         "prompt_tokens",
         "completion_tokens",
         (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"),
         F.lit(None).cast("bigint").alias("processing_time_ms"),
         F.col("error").alias("error_message"),
         F.lit(False).alias("retried"),
-        F.when(F.col("read_error").isNull(), F.substring("sender", 1, LOG_HEADER_LENGTH))
+        F.when(F.col("read_error").isNull(), F.substring("sender", 1, header_length))
         .otherwise("").alias("from_address"),
-        F.when(F.col("read_error").isNull(), F.substring("subject", 1, LOG_HEADER_LENGTH))
+        F.when(F.col("read_error").isNull(), F.substring("subject", 1, header_length))
         .otherwise("").alias("subject"),
         F.col("output_name").alias("output_filename"),
         "attempts",
@@ -292,11 +286,6 @@ def route_counts(rows: DataFrame) -> DataFrame:
     return counts.withColumns(shares)
 
 
-# Lower bounds of the confidence bands used in review and in the prompts.
-REVIEW_BANDS = (0.90, 0.70, 0.50)
-PROMPT_BANDS = (0.95, 0.80, 0.60, 0.40)
-
-
 def confidence_band(confidence: Column, bounds: tuple[float, ...] = REVIEW_BANDS) -> Column:
     """1 for the highest band, counting up; one more than the bounds for the rest."""
     band = F.lit(len(bounds) + 1)

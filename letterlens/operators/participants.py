@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from letterlens.scale import join_counted, materialize
+
 ROLES = ("from", "to", "cc", "reply_to")
 SALTS = 32
 
@@ -43,7 +45,8 @@ def of_any_target(messages: DataFrame, keys: list[str], targets: DataFrame, from
     """Messages that involve any address of a target table (column address) of any size.
 
     One mailing-list address may occur in a third of all messages, so addresses are salted before
-    they are joined, and only keys travel through that join.
+    they are joined. Only keys travel: whole messages stay where they are read, unless more than BROADCAST_ROWS of them
+    are found.
     """
     roles = address_roles(messages, keys).filter((F.col("role") == "from") | F.lit(not from_only))
     wanted = (
@@ -53,8 +56,8 @@ def of_any_target(messages: DataFrame, keys: list[str], targets: DataFrame, from
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     salted = roles.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
-    hits = salted.join(wanted, ["address", "salt"], "left_semi").select(*keys)
-    return messages.join(hits, keys, "left_semi")
+    hits = materialize(salted.join(wanted, ["address", "salt"], "left_semi").select(*keys).distinct(), "hits")
+    return join_counted(messages, hits, keys, "left_semi")
 
 
 ADDRESS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"

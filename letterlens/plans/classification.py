@@ -9,7 +9,7 @@ from letterlens.operators.classify import (
     KEYS, candidates, classification_log, final_attempts, parsed_attempts, route_counts, routed, score,
     score_batches, token_totals,
 )
-from letterlens.scale import materialize
+from letterlens.scale import join_counted, materialize
 from letterlens.sinks.logs import run_report, write_classification_csv, write_report
 from letterlens.sinks.messages import write_routes
 from letterlens.sources.mime import with_parts
@@ -20,6 +20,15 @@ def classify(found: DataFrame, responses: DataFrame, match_key: str = "is_match"
     return routed(found, final_attempts(parsed_attempts(responses, match_key, strict)))
 
 
+def with_bytes(messages: DataFrame, rows: DataFrame) -> DataFrame:
+    """Routed messages as write_routes takes them. Only keys, routes and names travel; the messages stay where they are
+    read, unless there are more than BROADCAST_ROWS of them."""
+    narrow = materialize(rows.select(*KEYS, "route", F.col("output_name").alias("file_name"), "confidence"), "routes")
+    sender = F.lower(F.try_element_at("from_addrs", F.lit(1)))
+    whole = messages.select(*KEYS, sender.alias("sender"), "date_wall", "raw")
+    return join_counted(whole, narrow, KEYS)
+
+
 def run_classification(
     messages: DataFrame, system_prompt: str, criteria: str, output: str,
     scorer: Callable[[str, str], tuple[str, int, int]] | None = None, responses: DataFrame | None = None,
@@ -37,8 +46,7 @@ def run_classification(
     elif responses is None:
         responses = score(found, system_prompt, criteria, scorer, retries, match_key, strict)
     rows = materialize(classify(found, responses, match_key, strict), "routed")
-    with_bytes = rows.select(*KEYS, "route", "output_name").join(messages.select(*KEYS, "raw"), KEYS)
-    write_routes(with_bytes.select(F.col("output_name").alias("file_name"), "raw", "route"), f"{output}/routes")
+    write_routes(with_bytes(messages, rows), f"{output}/routes")
     log = classification_log(rows)
     log.write.mode("overwrite").parquet(f"{output}/log")
     write_classification_csv(log, f"{output}/log_csv")

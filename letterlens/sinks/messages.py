@@ -3,7 +3,7 @@
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from letterlens.operators.naming import failure_names
 from letterlens.sources.archives import matching_files, scan_records
@@ -19,9 +19,24 @@ def write_attachments(rows: DataFrame, path: str) -> None:
     rows.select("file_name", "payload", "size").write.mode("append").parquet(path)
 
 
+ROUTED = (
+    "file_name string, sender string, date_wall timestamp_ntz, confidence double, raw binary, route string, month string"
+)
+
+
 def write_routes(rows: DataFrame, path: str) -> None:
-    """One folder per route: matched, rejected, failed."""
-    rows.write.mode("overwrite").partitionBy("route").parquet(path)
+    """One folder per route (matched, rejected, failed) and month of writing, ordered by falling confidence, so that
+    selections by route and date leave out folders and those by confidence parts of files. rows: the columns of ROUTED
+    without month. A message without a date has no month."""
+    dated = rows.withColumn("month", F.date_format("date_wall", "yyyy-MM"))
+    kept = dated.select([field.split()[0] for field in ROUTED.split(", ")])
+    in_order = kept.sortWithinPartitions("route", "month", F.desc("confidence"), "file_name")
+    in_order.write.mode("overwrite").partitionBy("route", "month").parquet(path)
+
+
+def read_routes(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of ROUTED, as write_routes has stored them."""
+    return spark.read.schema(ROUTED).parquet(path)
 
 
 def split_failures(rows: DataFrame, error: str) -> tuple[DataFrame, DataFrame]:

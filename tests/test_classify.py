@@ -5,13 +5,15 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from letterlens.fixed_values import CLASSIFICATION_LOG
+from letterlens.fixed_values import CLASSIFICATION_LOG, PROMPT_BANDS
 from letterlens.operators.classify import (
-    PROMPT_BANDS, call_cost, candidates, classification_log, confidence_band, cost_projection, final_attempts,
+    call_cost, candidates, classification_log, confidence_band, cost_projection, final_attempts,
     parsed_attempts, route_counts, routed, score, token_totals, user_message,
 )
-from letterlens.plans.classification import classify, run_classification
+from letterlens.operators.selection import select_routed
+from letterlens.plans.classification import classify, run_classification, with_bytes
 from letterlens.schema import RESPONSES
+from letterlens.sinks.messages import read_routes, write_routes
 from letterlens.sources.mime import with_headers, with_parts
 
 ANSWERS = {
@@ -140,6 +142,32 @@ def test_scoring_equals_its_replay(mail, spark):
     assert {r.route: r["count"] for r in routes} == {"matched": 12, "failed": 1}
 
 
+def test_selection_reads_few_folders(spark, mail, found, responses, tmp_path):
+    rows = classify(found, responses)
+    whole = with_bytes(mail, rows)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("BroadcastExchange", "")
+    dated = whole.withColumn("date_wall", F.expr("timestamp_ntz'2024-01-05 00:00:00' + make_dt_interval(cast(msg_index * 10 as int))"))
+    write_routes(dated, str(tmp_path / "routes"))
+    stored = read_routes(spark, str(tmp_path / "routes"))
+    assert stored.count() == 13 and stored.filter("route = 'failed'").count() == 4
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    chosen = select_routed(stored, ["matched", "rejected"], 0.5, 0.95, "2024-01-25", "2024-03-16", sender=" A@b.cz")
+    assert sorted(r.file_name for r in chosen.collect()) == ["50_m6.eml", "90_m4.eml"]
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    folders = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "route" in folders and "month" in folders
+    assert "GreaterThanOrEqual(confidence,0.5)" in plan
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_lengths_are_arguments(mail, found, responses):
+    assert candidates(with_parts(mail), body_length=7).filter("msg_index = 1").first().body == "long te"
+    log = classification_log(classify(found, responses), reasoning_length=3, header_length=2)
+    row = log.filter("filename = 'm0.eml'").first()
+    assert (row.reasoning, row.from_address, row.subject) == ("rrr", "A ", "S0")
+
+
 def test_unreadable_headers_are_not_scored(mail):
     broken = mail.withColumn("header_error", F.when(F.col("msg_index") == 3, F.lit("bad")))
     row = candidates(with_parts(broken)).filter("msg_index = 3").first()

@@ -256,6 +256,10 @@ def test_configuration_files(spark, tmp_path):
     assert choose_patterns(spark, path("p.txt")) == ["\\babc\\b", "x+"]
     assert choose_patterns(spark, path("empty.txt"), path("p.txt")) == ["\\babc\\b", "x+"]
     assert len(choose_patterns(spark, path("missing.txt"))) == 94
+    (tmp_path / "several").mkdir()
+    for i in range(20):
+        (tmp_path / "several" / f"{i:02d}.txt").write_text("".join(f"# {i}\n a{i}b{j}\n" for j in range(i)))
+    assert choose_patterns(spark, path("several")) == [f"a{i}b{j}" for i in range(20) for j in range(i)]
     (tmp_path / "prompt.txt").write_text("\n Two\nlines \n")
     assert read_prompt(spark, path("prompt.txt")) == "Two\nlines"
 

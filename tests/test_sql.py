@@ -4,13 +4,13 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import difference
-from workloads import classification, messages, stores, texts
+from workloads import classification, messages, readback, stores, texts
 
 FOLDER = "/root/testdata/sf0.001"
 
 
 def test_every_mail_query_has_sql():
-    assert {name for module in (texts, messages, classification, stores) for name in module.QUERIES} <= set(entry.oracle_sql())
+    assert {name for module in (texts, messages, classification, stores, readback) for name in module.QUERIES} <= set(entry.oracle_sql())
 
 
 def test_sql_belongs_to_queries():
