@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership of each candidate.
 
 Candidates with a known shape are secrets wherever they occur. A candidate without one (a long mixed string) is only a
-secret if it looks live: it belongs to one owner. Strings that many owners carry are examples, keys of public tools or
-digests that were copied along."""
+secret if it looks live: it belongs to one owner, and to few repositories of that owner. Strings that many owners carry,
+or that one owner has copied widely, are examples, keys of public tools or digests that were copied along."""
 
 import re
 from collections.abc import Iterator
@@ -19,6 +19,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones fail as a whole
 SHAPELESS = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 OWNER_LIMIT = 1
+REPOSITORY_LIMIT = 20
 SPAN = "struct<start: bigint, kind: string, end: bigint, value: bigint>"
 SPAN_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64()), ("value", pa.int64())]))
 
@@ -79,10 +80,14 @@ def ownership(found: DataFrame) -> DataFrame:
     return per_owner.groupBy("value").agg(F.sum("repositories").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source", text: str = "text") -> DataFrame:
+def scan_secrets(
+    docs: DataFrame, repository: str = "doc_id", owner: str = "source", text: str = "text", owner_limit: int = OWNER_LIMIT,
+    repository_limit: int = REPOSITORY_LIMIT,
+) -> DataFrame:
     """(uid, repository, base, spans, n_copied) per document. base holds the spans of known shape; spans adds the shapeless
-    ones that only one owner has; n_copied counts spans whose secret more than one owner has. Spans are
-    (start, kind, end) in code points, end exclusive, in order of start, then of kind as listed.
+    ones that at most owner_limit owners and repository_limit distinct repositories have; n_copied counts spans whose secret
+    more owners or more repositories have. Spans are (start, kind, end) in code points, end exclusive, in order of start, then
+    of kind as listed.
 
     Null and empty texts have no spans. Rows with equal or null repositories are treated one by one; extra columns are
     ignored."""
@@ -90,11 +95,12 @@ def scan_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     owners = ownership(found)
     spread = found.select("uid", F.explode(F.concat("spans", "shapeless")).alias("span"))
     judged = spread.join(owners, F.col("span.value") == F.col("value"))
-    live = (F.col("span.kind") == "token") & (F.col("n_owners") <= OWNER_LIMIT)
+    copied = (F.col("n_owners") > owner_limit) | (F.col("n_repositories") > repository_limit)
+    live = (F.col("span.kind") == "token") & ~copied
     plain = F.struct("span.start", "span.kind", "span.end")
     per_document = judged.groupBy("uid").agg(
         F.sort_array(F.collect_list(F.when(live, plain))).alias("added"),
-        F.sum((F.col("n_owners") > OWNER_LIMIT).cast("long")).alias("n_copied"),
+        F.sum(copied.cast("long")).alias("n_copied"),
     )
     without = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     rank = lambda s: F.array_position(F.array(*map(F.lit, (*KINDS, "token"))), s["kind"])

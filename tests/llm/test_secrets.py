@@ -42,5 +42,20 @@ def test_owners_decide_on_shapeless_strings(spark, table):
         assert [s["kind"] for s in got[i].spans] == ["assign"] and got[i].n_copied == 2
 
 
+def test_repositories_bound_what_is_live(spark, table):
+    """A string that one owner has in many repositories was copied; rows of one repository count once. Against a count in Python."""
+    values = {f"{c}9kZ0aQ7bW8cE6dR5fT4gY3h": n for c, n in (("A", 20), ("B", 21), ("C", 1), ("D", 500))}
+    rows = [(1000 * k + i, f"x {value}", "one") for k, (value, n) in enumerate(values.items()) for i in range(n)]
+    rows += [(2000, f"x {list(values)[2]}", "one")] * 30
+    holders = {value: {r[0] for r in rows if value in r[1]} for value in values}
+    texts = {r[0]: r[1] for r in rows}
+    for limit in (20, 600):
+        got = scan_secrets(table(rows), repository_limit=limit).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            copied = len(holders[texts[r.repository].split()[1]]) > limit
+            assert (len(r.spans), r.n_copied) == ((0, 1) if copied else (1, 0))
+
+
 def test_empty_table(spark, table):
     assert scan_secrets(table([])).count() == 0
