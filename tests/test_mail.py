@@ -11,6 +11,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from compare import difference
 from letterlens.functions.html import visible_text
 from letterlens.functions.names import (
     attachment_file_name, confidence_name, message_file_name, message_id_token, safe_name_part,
@@ -27,6 +28,7 @@ from letterlens.sources.archives import first_messages, read_archives
 from letterlens.sources.lists import choose_patterns, read_prompt
 from letterlens.sources.messages import read_message_files
 from letterlens.sources.mime import body_text, with_headers, with_parts
+from workloads import texts
 
 
 def parsed(spark, *raws, **options):
@@ -234,6 +236,21 @@ def test_visible_text(spark):
     assert all(r.t == r.want for r in df.collect())
 
 
+def test_visible_text_of_bare_references(spark):
+    html = "<title>a &amp; b &copy; c&#33; d &amp</title>&copy 1 &notit; &x; &#33 &&quot;"
+    row = spark.createDataFrame([(html,)], "html string").select(
+        visible_text("html").alias("decoded"), visible_text("html", bare_references=False).alias("kept")
+    ).first()
+    assert row.decoded == 'a & b © c! d & © 1 ¬it; &x; ! &"'
+    assert row.kept == 'a & b © c! d &amp &copy 1 &notit; &x; &#33 &"'
+
+
+def test_html_visible_equals_sql_on_a_cut_title(spark, tmp_path):
+    html = "<title>Fish &amp; chips &amp</title><p>&quot;x&quot; &copy</p>"
+    spark.createDataFrame([(1, html)], "page_id long, html string").toPandas().to_parquet(tmp_path / "pages.parquet")
+    assert difference(texts.html_visible(spark, str(tmp_path)), texts.SQL["html_visible"], str(tmp_path)) is None
+
+
 def test_repack(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / "95_a.eml").write_bytes(b"Subject: a\n\nFrom here\n>From there\nend")
