@@ -7,11 +7,13 @@ from email.mime.application import MIMEApplication
 from email.mime.multipart import MIMEMultipart
 from email.mime.text import MIMEText
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from compare import difference
+from letterlens.fixed_values import CHARSET_ORDER
 from letterlens.functions.html import visible_text
 from letterlens.functions.names import (
     attachment_file_name, confidence_name, message_file_name, message_id_token, safe_name_part,
@@ -26,8 +28,9 @@ from letterlens.scale import ordered_rank
 from letterlens.sinks.messages import write_archive
 from letterlens.sources.archives import first_messages, read_archives
 from letterlens.sources.lists import choose_patterns, read_prompt
+from letterlens.sources import mime
 from letterlens.sources.messages import read_message_files
-from letterlens.sources.mime import body_text, with_headers, with_parts
+from letterlens.sources.mime import body_text, pieces, with_headers, with_parts
 from workloads import texts
 
 
@@ -251,6 +254,21 @@ def test_html_visible_equals_sql_on_a_cut_title(spark, tmp_path):
     assert difference(texts.html_visible(spark, str(tmp_path)), texts.SQL["html_visible"], str(tmp_path)) is None
 
 
+def test_parsers_hold_few_messages_at_a_time():
+    batch = pa.array([b"x" * 600_000] * 3 + [None, b""] + [b"Subject: a\n\nb"] * 600, pa.binary())
+    lengths = [length for _, length in pieces(batch)]
+    assert lengths[:3] == [1, 1, 256] and sum(lengths) == len(batch) and list(pieces(batch[:0])) == []
+    for udf in (mime._headers(), mime._body(True, False, CHARSET_ORDER), mime._names()):
+        made = list(udf.func(iter([batch])))
+        assert [len(rows) for rows in made] == lengths
+    made = list(mime._payloads(True).func(iter([(batch, pa.array([[0]] * len(batch)))])))
+    assert [len(rows) for rows in made] == lengths
+    same = [pa.array([value] * len(batch)) for value in ("a", 0, True)]
+    placed = list(mime._placed_headers().func(iter([(*same, batch)])))
+    assert [len(rows) for rows in placed] == lengths
+    assert [row["block_pos"].as_py() for rows in placed for row in rows] == list(range(len(batch)))
+
+
 def test_repack(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / "95_a.eml").write_bytes(b"Subject: a\n\nFrom here\n>From there\nend")
