@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,7 +18,8 @@ from letterlens.functions.names import numbered_name
 
 STORED = "archive string, block_start bigint, block_pos bigint, base_name string"
 KEYS = ["archive", "block_start", "block_pos"]
-PACKED = "root string, base_name string, archive array<string>, block_start array<bigint>, block_pos array<bigint>"
+BLOCK = ["archive", "block_start"]
+PACKED = "root string, base_name string, archive string, block_start bigint, block_pos array<bigint>"
 PLACED = PACKED.replace("root string, ", "") + ", number array<bigint>"
 NUMBERS = r"^(.*?)(?:_\d{3,})+(\.[^.]*)$"  # all numbers at the end of a name
 NUMBER = re.compile(r"(.*)_(\d{3,})(\.[^.]*)", re.S)
@@ -69,18 +71,23 @@ class Slots:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per name and Arrow batch with the keys as lists, so that a name that a third of all messages bear reaches
-    its state in few rows."""
+    """One row per name and run of messages of one file block, with the places as a list, so that a name that a third of all
+    messages bear reaches its state in few rows, and each of its messages as one number."""
     for batch in batches:
-        grouped = pa.table(batch).group_by(["root", "base_name"], use_threads=False)
-        yield from grouped.aggregate([(key, "list") for key in KEYS]).rename_columns(["root", "base_name", *KEYS]).to_batches()
+        rows = pa.table(batch)
+        opens = np.ones(batch.num_rows, bool)
+        same = [pc.fill_null(pc.equal(batch.column(c)[1:], batch.column(c)[:-1]), False) for c in BLOCK]
+        opens[1:] = ~np.logical_and(*(s.to_numpy(zero_copy_only=False) for s in same))
+        grouped = rows.append_column("run", pa.array(np.cumsum(opens))).group_by(["root", "base_name", "run", *BLOCK], use_threads=False)
+        packed = grouped.aggregate([("block_pos", "list")]).drop_columns("run")
+        yield from packed.rename_columns(["root", "base_name", *KEYS]).to_batches()
 
 
 def _placed(root: tuple, packs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     slots = Slots(*state.get) if state.exists else Slots()
     for pack in packs:
         placed = pack.drop(columns="root")
-        placed["number"] = [slots.take(name, len(keys)) for name, keys in zip(pack["base_name"], pack["archive"])]
+        placed["number"] = [slots.take(name, len(keys)) for name, keys in zip(pack["base_name"], pack["block_pos"])]
         yield placed
     state.update((slots.stored(),))
 
@@ -94,7 +101,7 @@ def stream_names(matches: DataFrame) -> DataFrame:
     root = F.regexp_replace("base_name", NUMBERS, "$1$2").alias("root")
     packed = matches.select(root, "base_name", *KEYS).mapInArrow(_packed, PACKED)
     placed = packed.groupBy("root").applyInPandasWithState(_placed, PLACED, "slots string", "append", GroupStateTimeout.NoTimeout)
-    single = placed.select("base_name", F.inline(F.arrays_zip(*KEYS, "number")))
+    single = placed.select("base_name", *BLOCK, F.inline(F.arrays_zip("block_pos", "number")))
     return single.select(
         *KEYS, F.col("base_name").alias("base"), numbered_name(F.col("base_name"), F.col("number")).alias("file_name"),
         (F.col("number") > 0).alias("collision"),

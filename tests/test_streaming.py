@@ -3,11 +3,12 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
 from letterlens.plans.extraction import Search
 from letterlens.streaming.intake import start_intake, start_named_intake, stream_matches, stream_messages
-from letterlens.streaming.names import Slots, start_names
+from letterlens.streaming.names import Slots, _packed, start_names
 
 MAIL = b"From x\nFrom: a@b.cz\nSubject: %s\nMessage-ID: <same@id>\n\n%s\n\n"
 SEARCH = Search([r"\babsen[ct][a-z]*", r"away"])
@@ -80,3 +81,13 @@ def test_names_as_state(spark, tmp_path):
     assert len(before) == 12 and {"a.eml", "a_001.eml", "a_002.eml", "b.eml", "b_001.eml"} <= set(before.values())
     plan = spark.read.parquet(names).filter("collision <> (file_name <> base)")
     assert plan.isEmpty()
+
+
+def test_places_travel_as_numbers_per_run_of_a_block():
+    rows = [("r", name, archive, 0, at) for at, (name, archive) in enumerate([("a", "x"), ("b", "x"), ("a", "x"), ("a", "y"), ("a", "x")])]
+    columns = ["root", "base_name", "archive", "block_start", "block_pos"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], columns)
+    packed = pa.Table.from_batches(_packed(iter([batch, batch[:0]]))).to_pylist()
+    assert [tuple(row[c] for c in columns[1:]) for row in packed] == [
+        ("a", "x", 0, [0, 2]), ("b", "x", 0, [1]), ("a", "y", 0, [3]), ("a", "x", 0, [4]),
+    ]
