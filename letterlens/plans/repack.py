@@ -10,11 +10,13 @@ def repack(spark: SparkSession, source: str, archive: str, name_pattern: str | N
     """Append all .eml files below source, in path order, as one run of the archive; return processed, failed and skipped.
 
     processed comes from the manifest of the run, failed is what was listed and did not arrive there."""
-    messages, skipped = read_message_tree(spark, source)
+    messages, files = read_message_tree(spark, source)
+    chosen = F.col("is_message")
     if name_pattern:
         messages = messages.filter(F.col("file_name").rlike(name_pattern))
-    # The listing reads names only; file contents are read once, by the writing job.
-    listed, passed = messages.select("archive").count(), skipped.count()
+        chosen = chosen & F.element_at(F.split("path", "/"), -1).rlike(name_pattern)
+    # The listing reads names only, and counts both kinds in one pass.
+    listed, passed = files.agg(F.count_if(chosen), F.count_if(~F.col("is_message"))).first()
     done = append_archive(messages, archive, ["archive"]).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     return spark.createDataFrame([(done, listed - done, passed)], "processed long, failed long, skipped long")
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from letterlens.scale import gather
 from letterlens.sources.mime import with_headers
 
 
@@ -11,18 +12,20 @@ def read_message_files(
     """Messages of the *.eml files in a folder, with header columns. A limit takes the first files
     in path order. Key: (archive, msg_index), with the file as the archive."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-    files = files.option("pathGlobFilter", "*.eml").load(path)
+    files = gather(files.option("pathGlobFilter", "*.eml").load(path))
     if limit:
         files = files.join(files.select("path").orderBy("path").limit(limit), "path", "left_semi")
     return with_headers(_messages(files))
 
 
 def read_message_tree(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """For re-packing: all .eml files below a folder in any letter case, and the skipped rest. Files whose content cannot be
-    read are listed and bring no message."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(path)
+    """For re-packing: (messages, files). Messages are all .eml files below a folder in any letter case; files has the path of
+    every file, and whether it is a message. Files whose content cannot be read are listed and bring no message."""
+    files = gather(
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(path)
+    )
     is_message = F.lower("path").endswith(".eml")
-    return _messages(files.filter(is_message)), files.filter(~is_message).select("path")
+    return _messages(files.filter(is_message)), files.select("path", is_message.alias("is_message"))
 
 
 def _messages(files: DataFrame) -> DataFrame:

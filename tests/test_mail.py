@@ -29,7 +29,7 @@ from letterlens.sinks.messages import write_archive
 from letterlens.sources.archives import first_messages, read_archives
 from letterlens.sources.lists import choose_patterns, read_prompt
 from letterlens.sources import mime
-from letterlens.sources.messages import read_message_files
+from letterlens.sources.messages import read_message_files, read_message_tree
 from letterlens.sources.mime import body_text, pieces, with_headers, with_parts
 from workloads import texts
 
@@ -269,6 +269,20 @@ def test_parsers_hold_few_messages_at_a_time():
     assert [row["block_pos"].as_py() for rows in placed for row in rows] == list(range(len(batch)))
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"{i}.eml").write_bytes(b"Subject: a\n\nb\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # else 200 files are few splits
+    try:
+        messages, files = read_message_tree(spark, str(tmp_path))
+        assert messages.rdd.getNumPartitions() == files.rdd.getNumPartitions() == 8 * spark.sparkContext.defaultParallelism
+        assert read_message_files(spark, str(tmp_path)).rdd.getNumPartitions() == files.rdd.getNumPartitions()
+        assert "Coalesce" in messages.repartitionByRange("archive")._jdf.queryExecution().executedPlan().toString()
+        assert messages.count() == files.filter("is_message").count() == 200
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_repack(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / "95_a.eml").write_bytes(b"Subject: a\n\nFrom here\n>From there\nend")
