@@ -6,6 +6,7 @@ A file is a Parquet folder with one row per chunk of 65,536 ids. Its columns `pa
 every id, eight ids to a byte, the first id in the highest bit; plane i holds bit i. Chunks of a part are full but for
 the last one, so the chunk of any id is found by division."""
 
+import codecs
 import os
 import re
 import zlib
@@ -26,9 +27,11 @@ SMALL = rb"[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]"
 SIGNS = rb"[!-&(-/:-@\[-`{-~]+"
 SIGNS_BEHIND = re.compile(rb"((?:" + SMALL + rb")+)(" + SIGNS + rb")")
 SIMPLE = re.compile(rb"(?:" + SMALL + rb")+|" + SIGNS)
+SIGN_BYTES = re.sub(rb"[^!-&(-/:-@\[-`{-~]", b"", bytes(range(128)))
 # Fixed rule of byte-level vocabularies: printable bytes are letters of their own, the rest follow from 256 on.
 _UNPRINTABLE = [*range(33), *range(127, 161), 173]
 BYTE_LETTERS = {byte: 256 + i for i, byte in enumerate(_UNPRINTABLE)}
+LETTER_OF_BYTE = bytes(range(256)).decode("latin-1").translate(BYTE_LETTERS)
 PIECE = "struct<doc_id: bigint, ordinal: bigint, piece: int, n: int>"
 PIECE_ARROW = pa.list_(
     pa.struct([("doc_id", pa.int64()), ("ordinal", pa.int64()), ("piece", pa.int32()), ("n", pa.int32())])
@@ -54,9 +57,17 @@ class WordEncoder(dict):
     def __missing__(self, part: bytes) -> bytes:
         if len(self) >= WORD_CACHE:
             self.clear()
+        if part.isalpha():  # a-z, by far the most; the cases below hold for them too and take longer
+            ids = [token.id for token in self.model.tokenize(part.lower().decode())]
+            found = self[part] = array(self.code, ids).tobytes()
+            return found
+        letters = part.rstrip(SIGN_BYTES)
+        if letters.isalpha():
+            found = self[part] = self[letters] + self[part[len(letters):]]
+            return found
         small = part if part.isascii() else part.decode().lower().encode()
         if SIMPLE.fullmatch(small):  # one token of the pre-tokenizer as it stands
-            ids = [token.id for token in self.model.tokenize(small.decode("latin-1").translate(BYTE_LETTERS))]
+            ids = [token.id for token in self.model.tokenize(codecs.charmap_decode(small, "strict", LETTER_OF_BYTE)[0])]
         elif match := SIGNS_BEHIND.fullmatch(small):
             found = self[part] = self[match[1]] + self[match[2]]
             return found
@@ -205,8 +216,9 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"),
         F.sort_array(F.collect_list(F.struct("piece", "n", "crc"))).alias("pieces"),
     )
-    # Only a document on a border of chunks has more than one stretch.
-    crc = F.udf(lambda pieces: crc32_of_joined([(p["n"] * 4, p["crc"]) for p in pieces]), "long", useArrow=True)("pieces")
+    # Only a document on a border of chunks has more than one stretch, and only those pass through Python.
+    joined = F.udf(lambda pieces: pieces and crc32_of_joined([(p["n"] * 4, p["crc"]) for p in pieces]), "long", useArrow=True)
+    crc = F.coalesce(joined(F.when(F.size("pieces") > 1, F.col("pieces"))), F.get("pieces", F.lit(0))["crc"])
     return whole.join(part_starts(spark.read.parquet(path)), "part").select(
         "doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", crc.alias("ids_crc32")
     )

@@ -37,6 +37,15 @@ def test_encoder_equals_whole_texts():
         assert not wrong[:3]
 
 
+def test_plain_words_need_no_pattern(monkeypatch):
+    monkeypatch.setattr(token_planes, "SIMPLE", None)
+    monkeypatch.setattr(token_planes, "SIGNS_BEHIND", None)
+    encoder = token_planes.WordEncoder(PATH)
+    encoder.update({sign: np.array(ids, encoder.width).tobytes() for sign, ids in zip((b",", b"!?"), whole([",", "!?"]))})
+    text = "The house, old HOUSE!? x"
+    assert [np.frombuffer(x, encoder.width).tolist() for x in encoder.encode([text.encode()])] == whole([text])
+
+
 def test_planes_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 7, 8, 65_536, 1000):
