@@ -183,13 +183,15 @@ def read_pieces(spark: SparkSession, path: str, of_ids: str, kind: str, arrow_ki
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, at, rows = from_planes(row["planes"], row["n_ids"]), 0, []
-                for piece in row["pieces"]:
-                    n = piece.pop("n")
-                    rows.append(piece | {"part": row["part"], "start": row["start"] + at, "n": n, of_ids: value(ids[at : at + n])})
-                    at += n
-                yield pa.RecordBatch.from_pylist(rows, schema)
+            for i in range(batch.num_rows):
+                part, start, n_ids, planes = (batch.column(c)[i].as_py() for c in ("part", "start", "n_ids", "planes"))
+                ids, pieces = from_planes(planes, n_ids), batch.column("pieces").slice(i, 1).flatten()
+                n = pieces.field("n").to_numpy().astype(np.int64)
+                ends = np.cumsum(n)
+                values = [value(ids[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist())]
+                same = pa.array(np.full(len(n), part, np.int32))
+                columns = [same, *(pieces.field(c) for c in ("ordinal", "piece", "doc_id")), *map(pa.array, (start + ends - n, n))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(values, arrow_kind)], schema=schema)
 
     return spark.read.parquet(path).mapInArrow(
         decode, f"part int, ordinal long, piece int, doc_id long, start long, n long, {of_ids} {kind}"
@@ -211,7 +213,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document from the files. The checksums of the stretches of a document
     are combined, so its ids are never gathered in one place."""
-    pieces = read_pieces(spark, path, "crc", "long", pa.int64(), lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
+    pieces = read_pieces(spark, path, "crc", "long", pa.int64(), lambda ids: zlib.crc32(ids.astype("<u4", copy=False)))
     whole = pieces.groupBy("part", "ordinal").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"),
         F.sort_array(F.collect_list(F.struct("piece", "n", "crc"))).alias("pieces"),
