@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from letterlens.llm.words import slices
-from letterlens.scale import materialize, scratch_path
+from letterlens.scale import discard, materialize
 
 # Bound of the labelled rows, chosen by hash of the id. Unlabelled rows have none.
 MAX_LABELLED = 8_000
@@ -258,11 +258,8 @@ def stored_views(docs: DataFrame, labels: DataFrame, key: str, text: str) -> Dat
 
     same = ["key", "sampled", *TARGETS]
     schema = f"key {rows.schema['key'].dataType.simpleString()}, sampled boolean, low int, toxic int, words array<bigint>, metadata array<double>"
-    path = scratch_path(docs.sparkSession, "views")
     # Most words are in many documents: numbers in a dictionary take a fraction of their hashes.
-    stored = rows.mapInArrow(views, schema)
-    stored.write.option("parquet.dictionary.page.size", 8 << 20).option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(stored.schema).parquet(path)
+    return materialize(rows.mapInArrow(views, schema), "views", compression="zstd", **{"parquet.dictionary.page.size": 8 << 20})
 
 
 def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -417,9 +414,7 @@ def numbered(free: DataFrame, judge, lists: dict[str, np.ndarray]) -> DataFrame:
 
     labels = [f"{v}_{t} int" for t in TARGETS for v in ("text", "page")]
     rows = free.mapInArrow(number, ", ".join([*(f"{t} binary" for t in lists), "metadata binary", *labels]))
-    path = scratch_path(free.sparkSession, "exchange")
-    rows.write.option("compression", "zstd").parquet(path)
-    return free.sparkSession.read.schema(rows.schema).parquet(path)
+    return materialize(rows, "exchange", compression="zstd")
 
 
 def gradient_sums(exchange: DataFrame, views: dict[str, View], counts: bool = False) -> dict[str, tuple[np.ndarray, ...]]:
@@ -466,7 +461,10 @@ def gradient_sums(exchange: DataFrame, views: dict[str, View], counts: bool = Fa
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> dict[str, Model | None]:
     """Models of low quality and of toxicity from labels (key, quality, toxic)."""
-    return fit_views(stored_views(docs, labels, key, text))
+    views = stored_views(docs, labels, key, text)
+    models = fit_views(views)
+    discard(views)
+    return models
 
 
 def fit_views(rows: DataFrame) -> dict[str, Model | None]:
@@ -479,6 +477,7 @@ def fit_views(rows: DataFrame) -> dict[str, Model | None]:
     learned = {t: learner for t, learner in learners.items() if learner.usable}
     models: dict[str, Model | None] = dict.fromkeys(TARGETS)
     if not learned:
+        discard(labelled)
         return models
     own = rows.sparkSession.createDataFrame(
         pa.table({"key": known["key"], **{f"text_{t}": pa.array(learners[t].own(), pa.int32()) for t in TARGETS}})
@@ -486,6 +485,7 @@ def fit_views(rows: DataFrame) -> dict[str, Model | None]:
     own_words = materialize(labelled.select("key", "words").join(F.broadcast(own), "key").select("words", *(f"text_{t}" for t in TARGETS)), "own")
     counts = word_counts(own_words)
     first = {t: chosen_words(counts, t) for t in learned}
+    discard(counts)
     found = labelled_numbers(labelled, first)
     for t, learner in learned.items():
         learner.take_words(first[t], found[t])
@@ -509,6 +509,8 @@ def fit_views(rows: DataFrame) -> dict[str, Model | None]:
                     learner.begin(sums[t][0], int(sums[t][0][-1]), int(sums[t][1][-1]))
                 else:
                     learner.step(*sums[t])
+        discard(stored, counts)
+    discard(labelled, own_words)
     return models | {t: learner.model() for t, learner in learned.items()}
 
 

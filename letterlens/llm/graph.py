@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from letterlens.scale import materialize
+from letterlens.scale import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = materialize(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, current = current, materialize(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(last)
         before, mark = mark, _mark(current)
         if mark == before:
             break

@@ -5,7 +5,9 @@ Sets of word shingles are joined on prefix index lists. Two relations between se
 * index level: the lists are kept in order of set size and prefix position and read in blocks; a pair of blocks whose
   sizes or positions cannot give the overlap asked for is skipped as a whole;
 * answer level: equal sets are one node, and a set that is highly similar to a leader takes over the leader's
-  answers: within a component found so far nothing is compared again, only what leads out of it is.
+  answers: within a component found so far nothing is compared again, only what leads out of it is. So that a large
+  group of near copies is one component before its lists are compared in full, the members of long lists are first
+  compared with a few others each.
 """
 
 import math
@@ -18,8 +20,9 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from letterlens.llm.graph import connected_components
+from letterlens.llm.lists import complete_lists, pair_batches
 from letterlens.llm.words import WordHashes, shingle_set, slices
-from letterlens.scale import materialize
+from letterlens.scale import discard, materialize
 
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 14
@@ -27,6 +30,9 @@ BLOCK = 256
 # Odd multipliers and band shifts of the four leader keys.
 LEADER_KEYS = ((0x9E3779B97F4A7C15, 0.0), (0xC2B2AE3D27D4EB4F, 0.5), (0x165667B19E3779F9, 0.25), (0xD6E8FEB86659FD93, 0.75))
 BAND = math.log(1.25)
+# A list of more entries is long. In each round its entries are paired with those so many places on, and with a leader.
+LONG = 32
+SHIFTS = ((1, 5, 29), (2, 11, 67))
 
 
 def _binary(column: pa.Array) -> list:
@@ -132,12 +138,14 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets reach the similarity. Sets differ in at least as many shingles as their
+    """Stored: the pairs (a, b) of nodes whose whole sets reach the similarity. Sets differ in at least as many shingles as their
     parities differ in slots; pairs with too many go first. Only texts of documents in a remaining pair are read."""
     side = lambda name: named.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("parities").alias(f"parities_{name}"))
     differing = F.aggregate(F.zip_with("parities_a", "parities_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     close = (100 + percent) * differing <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
     pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b"), "close")
+    if pairs.isEmpty():
+        return pairs
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(named.join(ends, "node", "left_semi").select("node", "digest", "id"), "wanted")
     known = wanted.select(F.col("id").alias("wanted_id")).distinct()
@@ -149,11 +157,10 @@ def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, key: str, text
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     shared = F.size(F.array_intersect("left", "right"))
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .where((100 + percent) * shared >= percent * (F.size("left") + F.size("right")))
-        .select("a", "b")
-    )
+    enough = (100 + percent) * shared >= percent * (F.size("left") + F.size("right"))
+    links = materialize(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"), "links")
+    discard(pairs, wanted, sets)
+    return links
 
 
 def leader_pairs(nodes: DataFrame, percent: int) -> DataFrame:
@@ -167,53 +174,63 @@ def leader_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     ).distinct()
 
 
-def list_pairs(nodes: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes from different components that share a prefix shingle at positions that leave room for the
-    overlap asked for."""
-    labelled = nodes.join(components, "node", "left").select(
-        "node", F.coalesce("component", "node").alias("component"), "n", F.posexplode("prefix").alias("position", "shingle")
+def index_lists(nodes: DataFrame) -> DataFrame:
+    """Stored: (shingle, place, node) of every index list with more than one node. place is the size of the set, shifted by
+    32 bits, plus the position of the shingle in its prefix."""
+    entries = nodes.select("node", "n", F.posexplode("prefix").alias("position", "shingle")).select(
+        "shingle", (F.shiftleft("n", 32) + F.col("position")).alias("place"), "node"
     )
-    entries = labelled.select(
-        "shingle", (F.shiftleft("n", 32) + F.col("position")).alias("place"), "node", "component"
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, starts, ends in complete_lists(batches):
+            wanted = np.repeat(ends - starts > 1, ends - starts)
+            if wanted.any():
+                yield pa.record_batch([pa.array(column[wanted]) for column in columns], ["shingle", "place", "node"])
+
+    together = entries.repartition("shingle").sortWithinPartitions("shingle")
+    return materialize(together.mapInArrow(several, "shingle long, place long, node long"), "lists")
+
+
+def list_pairs(entries: DataFrame, components: DataFrame, percent: int, round_: int | None = None) -> DataFrame:
+    """Pairs of nodes from different components that share a prefix shingle at positions that leave room for the
+    overlap asked for. In a round, only some of those in long lists: their number follows that of the entries."""
+    labelled = entries.join(components, "node", "left").select(
+        "shingle", "place", "node", F.coalesce("component", "node").alias("component")
     )
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 4
-        for batch in batches:
-            columns = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)]
-            starts = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]]) if len(columns[0]) else [0]
-            cut = starts[-1]
-            held = [c[cut:] for c in columns]
-            yield from _batch([c[:cut] for c in columns])
-        yield from _batch(held)
-
-    def _batch(columns: list) -> Iterator[pa.RecordBatch]:
-        shingle, place, node, component = columns
-        if not len(shingle):
-            return
-        starts = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
-        ends = np.r_[starts[1:], len(shingle)]
-        mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
-        left, right, size = [], [], 0
-        for start, end in zip(starts[mixed], ends[mixed]):
-            for a, b in _list(place[start:end], node[start:end], component[start:end], percent):
-                left.append(np.minimum(a, b))
-                right.append(np.maximum(a, b))
-                size += len(a)
-                if size > 100_000:
-                    yield _pairs(left, right)
-                    left, right, size = [], [], 0
-        if size:
-            yield _pairs(left, right)
-
-    def _pairs(left: list, right: list) -> pa.RecordBatch:
-        both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-        return pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-    sorted_lists = entries.repartition("shingle").sortWithinPartitions("shingle", "place")
+        def found() -> Iterator[tuple]:
+            for (_, place, node, component), starts, ends in complete_lists(batches):
+                mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+                if round_ is not None:
+                    mixed &= ends - starts > LONG
+                for start, end in zip(starts[mixed], ends[mixed]):
+                    one = (place[start:end], node[start:end], component[start:end], percent)
+                    yield from _list(*one) if round_ is None else _some(*one, round_)
+
+        yield from pair_batches(found())
+
+    sorted_lists = labelled.repartition("shingle").sortWithinPartitions("shingle", "place")
     return sorted_lists.mapInArrow(lists, "a long, b long").distinct()
 
 
+def _some(place: np.ndarray, node: np.ndarray, component: np.ndarray, percent: int, round_: int) -> Iterator[tuple]:
+    """Pairs of each entry of one index list with entries near it in order of size, and with the leader of its band of sizes:
+    the set that has the shingle earliest in its prefix has the fewest shingles of its own, as the original of altered copies."""
+    size, position = place >> 32, place & 0xFFFFFFFF
+    band = (np.log(size) / BAND + round_ / len(SHIFTS)).astype(np.int64)
+    leaders = np.empty(len(place), np.int64)
+    edges = np.r_[np.flatnonzero(np.r_[True, band[1:] != band[:-1]]), len(place)]
+    for start, end in zip(edges[:-1], edges[1:]):
+        leaders[start:end] = start + np.argmin(position[start:end])
+    here = np.arange(len(place))
+    for there in (leaders, *((here + shift) % len(place) for shift in SHIFTS[round_])):
+        room = np.minimum(size - position, (size - position)[there])
+        x = np.flatnonzero(((100 + percent) * room >= percent * (size + size[there])) & (component != component[there]))
+        if len(x):
+            yield node[x], node[there[x]]
+
+
 def _list(place: np.ndarray, node: np.ndarray, component: np.ndarray, percent: int) -> Iterator[tuple]:
     """Pairs of one index list, block by block. Sizes rise along the list, so for each block the earlier blocks that are
     too small, that are of the same component, or whose best position is too late are skipped."""
@@ -243,6 +260,16 @@ def _list(place: np.ndarray, node: np.ndarray, component: np.ndarray, percent: i
                 yield node[here][x], node[there][y]
 
 
+def _widened(components: DataFrame, pairs: DataFrame, check: tuple) -> DataFrame:
+    """Stored: (node, component), components with those joined that the pairs link. The table given goes."""
+    pairs = materialize(pairs, "pairs")
+    links = verified(pairs, *check)
+    known = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    found = components if links.isEmpty() else materialize(connected_components(known.unionByName(links)), "components")
+    discard(pairs, links, *(() if found is components else (components,)))
+    return found
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(uid, id, n, digest, component) per document: the number of its shingles and the smallest id reachable over links,
     itself included. Two documents link when 100 * |intersection| >= percent * |union|.
@@ -251,19 +278,23 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     only has the component null. Repeated rows and equal texts share a component. Extra columns are ignored.
     """
     docs = docs.select(F.col(key).alias("row_id"), F.col(text).alias("row_text"))
-    rows = shingle_index(docs, "row_id", "row_text", words, percent)
+    indexed = shingle_index(docs, "row_id", "row_text", words, percent)
+    rows = materialize(indexed.select("uid", "id", "n", "digest"), "rows")
     names = rows.where("n > 0").groupBy("digest").agg(F.min("uid").alias("node"), F.min("id").alias("id"))
-    first = rows.drop("id", "digest").withColumnRenamed("uid", "node")
+    first = indexed.drop("id", "digest").withColumnRenamed("uid", "node")
     named = materialize(first.join(names, "node"), "nodes")
+    discard(indexed)
     nodes = named.select("node", "n", "leaders", "prefix")
     check = (named, docs, "row_id", "row_text", words, percent)
-    stars = materialize(leader_pairs(nodes, percent), "pairs")
-    links = materialize(verified(stars, *check), "links")
-    first = materialize(connected_components(links), "components")
-    crossing = materialize(list_pairs(nodes, first, percent), "pairs")
-    known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    last = connected_components(known.unionByName(verified(crossing, *check)))
-    groups = named.join(last, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component"))
+    alone = nodes.select("node", F.col("node").alias("component")).limit(0)
+    components = _widened(materialize(alone, "components"), leader_pairs(nodes, percent), check)
+    entries = index_lists(nodes)
+    for round_ in range(len(SHIFTS)):
+        components = _widened(components, list_pairs(entries, components, percent, round_), check)
+    components = _widened(components, list_pairs(entries, components, percent), check)
+    groups = named.join(components, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component"))
+    groups = materialize(groups, "groups")
+    discard(named, entries, components)
     lowest = groups.groupBy("component").agg(F.min("id").alias("lowest"))
     labels = groups.join(lowest, "component").select("digest", "lowest")
     return rows.select("uid", "id", "n", "digest").join(labels, "digest", "left").select(

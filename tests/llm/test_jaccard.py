@@ -1,6 +1,9 @@
 import random
 
+from letterlens import scale
+from letterlens.llm import graph, jaccard
 from letterlens.llm.jaccard import jaccard_components, one_per_group
+from letterlens.scale import materialize
 
 
 def words(text):
@@ -81,3 +84,30 @@ def test_one_per_group(spark, table):
     kept = sorted(((r.doc_id, r.text) for r in one_per_group(table(rows)).collect()), key=repr)
     assert kept == sorted([(3, near), (9, "other words in here"), (7, None), (7, None), (8, "")], key=repr)
     assert one_per_group(table(rows)).columns == table(rows).columns
+
+
+def test_large_group_is_not_compared_pair_by_pair(spark, table, monkeypatch):
+    """Copies altered in places of their own: most are no leader's neighbours, and many pairs of them do not link."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 401):
+        copy = list(base)
+        for place in rng.sample(range(120), 2):
+            copy[place] = f"x{i}y{place}"
+        rows.append((i, " ".join(copy)))
+    compared, verified = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    assert found(jaccard_components(table(rows))) == brute(rows)
+    assert sum(compared) < 40 * len(rows)
+
+
+def test_tables_in_between_are_discarded(spark, table, monkeypatch, tmp_path):
+    kept = set()
+    for module in (jaccard, graph):
+        monkeypatch.setattr(module, "materialize", lambda df, label, **options: kept.add(label) or materialize(df, label, **options))
+    monkeypatch.setattr(scale, "scratch_dir", lambda spark: str(tmp_path))
+    text = " ".join(f"a{i}" for i in range(60))
+    one_per_group(table([(5, text), (3, text + " x"), (4, text + " y"), (9, "other words in here")])).collect()
+    left = {path.name.rsplit("-", 1)[0] for path in (tmp_path / "letterlens").iterdir()}
+    assert {"shingles", "nodes", "lists", "sets", "pairs", "links", "wanted", "close", "components"} <= kept - left
