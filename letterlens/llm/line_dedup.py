@@ -6,6 +6,7 @@ number. What meets there is verified by a banded bit-parallel edit distance. Lin
 not compared again."""
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,9 @@ LIMIT = 2
 LEAST = 40
 SHORT = 12
 SEEN = 500_000
+# So many lines or code points are entered at a time.
+LINES = 4_000
+CODES = 1 << 20
 BLOCK = 256
 
 
@@ -48,13 +52,24 @@ def allowed(length: int, limit: int, least: int = 0) -> int:
 
 
 def index_keys(line: str, limit: int, least: int = 0) -> list[int]:
-    n = len(line)
-    return [_key(line[at : at + size], n, i) for i, (at, size) in enumerate(cuts(n, allowed(n, limit, least) + 1))]
+    """Keys as unsigned numbers."""
+    return [_key(line[at:end], seed) for at, end, seed in _pieces(len(line), limit, least)[0]]
 
 
 def probe_keys(line: str, limit: int, least: int = 0) -> list[int]:
-    """Keys under which an equally long or shorter line within the limit would be found."""
-    keys, n = [], len(line)
+    """Keys under which an equally long or shorter line within the limit would be found, each once."""
+    return list(dict.fromkeys([_key(line[at:end], seed) for at, end, seed in _pieces(len(line), limit, least)[1]]))
+
+
+_key = xxhash.xxh3_64_intdigest
+
+
+@lru_cache(maxsize=10_000)
+def _pieces(n: int, limit: int, least: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(start, end, seed) of the index keys and of the probe keys of a line of n code points. The seed names the length and the
+    number of the segment."""
+    index = [(at, at + size, n * 64 + i) for i, (at, size) in enumerate(cuts(n, allowed(n, limit, least) + 1))]
+    probes = []
     for other in range(max(1, n - limit), n + 1):
         gap, most = n - other, allowed(other, limit, least)
         if gap > most or not most:
@@ -63,20 +78,24 @@ def probe_keys(line: str, limit: int, least: int = 0) -> list[int]:
             # Edits before segment i number at most i, edits behind it at most `most` - i.
             first = max(0, at - i, at + gap - (most - i))
             last = min(n - size, at + i, at + gap + (most - i))
-            keys += [_key(line[place : place + size], other, i) for place in range(first, last + 1)]
-    return keys
+            probes += [(place, place + size, other * 64 + i) for place in range(first, last + 1)]
+    return index, probes
 
 
-def _key(piece: str, length: int, number: int) -> int:
-    return xxhash.xxh3_64_intdigest(piece, seed=length * 64 + number) - (1 << 63)
+def parities(lines: list[str]) -> np.ndarray:
+    """For each line, and each of 64 hash slots, whether an odd number of neighbouring code point pairs falls into it. An edit
+    changes four slots at most. No line is empty."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64)
+    ends = np.cumsum([len(line) for line in lines])
+    following = np.r_[codes[1:], np.uint64(0)]
+    slots = (codes * np.uint64(0x9E3779B97F4A7C15) + following) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(58)
+    bits = np.uint64(1) << slots
+    bits[ends - 1] = 0  # no pair spans two lines
+    return np.bitwise_xor.reduceat(bits, np.r_[0, ends[:-1]]).view(np.int64)
 
 
 def parity(line: str) -> int:
-    """For each of 64 hash slots, whether an odd number of neighbouring code point pairs falls into it. An edit changes
-    four slots at most."""
-    codes = np.frombuffer(line.encode("utf-32-le"), "<u4").astype(np.uint64)
-    pairs = (codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(58)
-    return int(np.packbits(np.bincount(pairs.astype(np.int64), minlength=64).astype(np.uint8) & 1).view(np.int64)[0])
+    return int(parities([line])[0]) if line else 0
 
 
 def split_lines(text: str | None) -> list[tuple[int, str]]:
@@ -105,26 +124,35 @@ def index_entries(docs: DataFrame, limit: int, least: int) -> DataFrame:
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, lines, parities, places = [], [], [], []
+            fresh, names, codes = [], [], 0
             for text in batch.column(1).to_pylist():
                 for _, line in split_lines(text):
                     name = line_hash(line)
-                    if not allowed(len(line), limit, least) or name in seen:
+                    if name in seen or not allowed(len(line), limit, least):
                         continue
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(name)
-                    index, probes = index_keys(line, limit, least), list(dict.fromkeys(probe_keys(line, limit, least)))
-                    count = len(index) + len(probes)
-                    keys += index + probes
-                    lines += [name] * count
-                    parities += [parity(line)] * count
-                    places += [2 * len(line) + 1] * len(index) + [2 * len(line)] * len(probes)
-                    if len(keys) > 100_000:
-                        yield _entries(keys, lines, parities, places)
-                        keys, lines, parities, places = [], [], [], []
-            if keys:
-                yield _entries(keys, lines, parities, places)
+                    fresh.append(line)
+                    names.append(name)
+                    codes += len(line)
+                    if len(fresh) >= LINES or codes >= CODES:
+                        yield _of_lines(fresh, names)
+                        fresh, names, codes = [], [], 0
+            if fresh:
+                yield _of_lines(fresh, names)
+
+    def _of_lines(lines: list[str], names: list[int]) -> pa.RecordBatch:
+        keys, counts, places = [], [], []
+        for line in lines:
+            index, probes = index_keys(line, limit, least), probe_keys(line, limit, least)
+            keys += index
+            keys += probes
+            counts += (len(index), len(probes))
+            places += (2 * len(line) + 1, 2 * len(line))
+        key = (np.array(keys, np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+        each = np.add.reduceat(counts, np.arange(0, len(counts), 2))
+        return _entries(key, np.repeat(names, each), np.repeat(parities(lines), each), np.repeat(places, counts))
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, starts, ends in complete_lists(batches):

@@ -2,6 +2,7 @@ import random
 
 from hypothesis import given, settings, strategies as st
 
+from letterlens.llm import line_dedup
 from letterlens.llm.edit_distance import within
 from letterlens.llm.line_dedup import index_keys, line_classes, parity, probe_keys, split_lines
 
@@ -44,6 +45,20 @@ def test_no_close_pair_escapes_the_index(a, changes, limit):
     assert ((parity(a) ^ parity(b)) & (2**64 - 1)).bit_count() <= 4 * limit
 
 
+def test_pieces_are_cut_once_a_length(monkeypatch):
+    calls, cuts = [], line_dedup.cuts
+    monkeypatch.setattr(line_dedup, "cuts", lambda *a: calls.append(a) or cuts(*a))
+    for i in range(1000):
+        line = f"{i:04d} the quick brown fox jumps over the lazy dog, again and again"
+        assert len(index_keys(line, 2, 41)) == 3 and probe_keys(line, 2, 41)
+    assert len(calls) <= 4
+
+
+def test_parities_of_many_lines():
+    lines = ["the quick brown fox", "é", "the quick brown fox", "𝄞bc" * 50, "ab"]
+    assert line_dedup.parities(lines).tolist() == [parity(line) for line in lines]
+
+
 def brute(rows, limit, least):
     first, root = {}, {}
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
