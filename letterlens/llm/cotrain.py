@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from letterlens.llm.words import slices
-from letterlens.scale import discard, materialize
+from letterlens.scale import discard, few, gather, materialize
 
 # Bound of the labelled rows, chosen by hash of the id. Unlabelled rows have none.
 MAX_LABELLED = 8_000
@@ -365,7 +365,7 @@ def word_counts(own: DataFrame, free: DataFrame | None = None, judge=None) -> Da
     counted = own.mapInArrow(count, schema)
     if free is not None:
         counted = counted.unionByName(free.mapInArrow(lambda batches: count(judge(batches)), schema))
-    return materialize(counted.groupBy("word").agg(*(F.sum(name).alias(name) for name in names)), "words")
+    return materialize(few(counted.groupBy("word").agg(*(F.sum(name).alias(name) for name in names))), "words")
 
 
 def chosen_words(counts: DataFrame, target: str) -> np.ndarray:
@@ -470,7 +470,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def fit_views(rows: DataFrame) -> dict[str, Model | None]:
     """As fit, from stored views."""
     # At most one row of a labelled key: repeated rows would count twice.
-    labelled = materialize(rows.where("sampled").dropDuplicates(["key"]), "labelled")
+    labelled = materialize(few(rows.where("sampled").dropDuplicates(["key"])), "labelled")
     known = labelled.select("key", "metadata", *TARGETS).toArrow().sort_by("key")
     metadata = _dense(known["metadata"].combine_chunks())
     learners = {t: Learner(metadata, known[t].to_numpy()) for t in TARGETS}
@@ -482,7 +482,7 @@ def fit_views(rows: DataFrame) -> dict[str, Model | None]:
     own = rows.sparkSession.createDataFrame(
         pa.table({"key": known["key"], **{f"text_{t}": pa.array(learners[t].own(), pa.int32()) for t in TARGETS}})
     )
-    own_words = materialize(labelled.select("key", "words").join(F.broadcast(own), "key").select("words", *(f"text_{t}" for t in TARGETS)), "own")
+    own_words = materialize(few(labelled.select("key", "words").join(F.broadcast(own), "key").select("words", *(f"text_{t}" for t in TARGETS))), "own")
     counts = word_counts(own_words)
     first = {t: chosen_words(counts, t) for t in learned}
     discard(counts)
@@ -490,7 +490,7 @@ def fit_views(rows: DataFrame) -> dict[str, Model | None]:
     for t, learner in learned.items():
         learner.take_words(first[t], found[t])
         learner.text_weights = learner.own_rows.fit(learner.labels[learner.learned], len(first[t]))
-    free = rows.where("low < 0 or toxic < 0")
+    free = gather(rows.where("low < 0 or toxic < 0"))
     for _ in range(ROUNDS):
         judge = exchanged({t: learner.calibrated() for t, learner in learned.items()})
         counts = word_counts(own_words, free, judge)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from letterlens.scale import discard, materialize
+from letterlens.scale import discard, few, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     of edges is safe. Each round is a written table. Edges with a null end and loops are ignored.
     """
     ends = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    current = materialize(ends.where("u is not null and v is not null and u != v").distinct(), "edges")
+    current = materialize(few(ends.where("u is not null and v is not null and u != v").distinct()), "edges")
     mark = _mark(current)
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, current = current, materialize(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, current = current, materialize(few(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()), "edges")
         discard(last)
         before, mark = mark, _mark(current)
         if mark == before:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from letterlens.llm.graph import connected_components
 from letterlens.llm.lists import complete_lists, pair_batches
 from letterlens.llm.words import WordHashes, shingle_set, slices
-from letterlens.scale import discard, materialize
+from letterlens.scale import discard, few, materialize
 
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 14
@@ -143,11 +143,11 @@ def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, key: str, text
     side = lambda name: named.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("parities").alias(f"parities_{name}"))
     differing = F.aggregate(F.zip_with("parities_a", "parities_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     close = (100 + percent) * differing <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
-    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b"), "close")
+    pairs = materialize(few(pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b")), "close")
     if pairs.isEmpty():
         return pairs
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(named.join(ends, "node", "left_semi").select("node", "digest", "id"), "wanted")
+    wanted = materialize(few(named.join(ends, "node", "left_semi").select("node", "digest", "id")), "wanted")
     known = wanted.select(F.col("id").alias("wanted_id")).distinct()
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(
         known, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi"
@@ -158,7 +158,7 @@ def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, key: str, text
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     shared = F.size(F.array_intersect("left", "right"))
     enough = (100 + percent) * shared >= percent * (F.size("left") + F.size("right"))
-    links = materialize(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"), "links")
+    links = materialize(few(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")), "links")
     discard(pairs, wanted, sets)
     return links
 
@@ -262,10 +262,10 @@ def _list(place: np.ndarray, node: np.ndarray, component: np.ndarray, percent: i
 
 def _widened(components: DataFrame, pairs: DataFrame, check: tuple) -> DataFrame:
     """Stored: (node, component), components with those joined that the pairs link. The table given goes."""
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize(few(pairs), "pairs")
     links = verified(pairs, *check)
     known = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    found = components if links.isEmpty() else materialize(connected_components(known.unionByName(links)), "components")
+    found = components if links.isEmpty() else materialize(few(connected_components(known.unionByName(links))), "components")
     discard(pairs, links, *(() if found is components else (components,)))
     return found
 
@@ -279,7 +279,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     docs = docs.select(F.col(key).alias("row_id"), F.col(text).alias("row_text"))
     indexed = shingle_index(docs, "row_id", "row_text", words, percent)
-    rows = materialize(indexed.select("uid", "id", "n", "digest"), "rows")
+    rows = materialize(few(indexed.select("uid", "id", "n", "digest")), "rows")
     names = rows.where("n > 0").groupBy("digest").agg(F.min("uid").alias("node"), F.min("id").alias("id"))
     first = indexed.drop("id", "digest").withColumnRenamed("uid", "node")
     named = materialize(first.join(names, "node"), "nodes")
@@ -287,13 +287,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     nodes = named.select("node", "n", "leaders", "prefix")
     check = (named, docs, "row_id", "row_text", words, percent)
     alone = nodes.select("node", F.col("node").alias("component")).limit(0)
-    components = _widened(materialize(alone, "components"), leader_pairs(nodes, percent), check)
+    components = _widened(materialize(few(alone), "components"), leader_pairs(nodes, percent), check)
     entries = index_lists(nodes)
     for round_ in range(len(SHIFTS)):
         components = _widened(components, list_pairs(entries, components, percent, round_), check)
     components = _widened(components, list_pairs(entries, components, percent), check)
     groups = named.join(components, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("component"))
-    groups = materialize(groups, "groups")
+    groups = materialize(few(groups), "groups")
     discard(named, entries, components)
     lowest = groups.groupBy("component").agg(F.min("id").alias("lowest"))
     labels = groups.join(lowest, "component").select("digest", "lowest")
@@ -305,15 +305,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group of near copies: the one with the smallest id, of repeated rows the first. Documents
     without words are groups of their own."""
-    found = materialize(jaccard_components(docs, key, text, words, percent), "groups")
+    found = materialize(few(jaccard_components(docs, key, text, words, percent)), "groups")
     chosen = found.where("n > 0").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "uid")).alias("first"))
     single = found.where("n = 0").select("uid").unionByName(chosen.select(F.col("first.uid").alias("uid")))
     kept = found.join(single, "uid", "left_semi")
     per_id = found.groupBy("id").agg(F.count("*").alias("rows"))
     unique = kept.join(per_id.where("rows = 1 and id is not null"), "id", "left_semi").select(F.col("id").alias(key))
     result = docs.join(unique, key, "left_semi")
-    shared = materialize(kept.join(per_id.where("rows > 1 or id is null").select(F.col("id").alias("other")),
-                                   F.col("id").eqNullSafe(F.col("other")), "left_semi"), "shared")
+    shared = materialize(few(kept.join(per_id.where("rows > 1 or id is null").select(F.col("id").alias("other")),
+                                       F.col("id").eqNullSafe(F.col("other")), "left_semi")), "shared")
     if shared.isEmpty():
         return result
     wanted = shared.select(F.col("id").alias("wanted_id"), F.col("digest").alias("wanted_digest")).distinct()

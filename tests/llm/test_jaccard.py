@@ -111,3 +111,27 @@ def test_tables_in_between_are_discarded(spark, table, monkeypatch, tmp_path):
     one_per_group(table([(5, text), (3, text + " x"), (4, text + " y"), (9, "other words in here")])).collect()
     left = {path.name.rsplit("-", 1)[0] for path in (tmp_path / "letterlens").iterdir()}
     assert {"shingles", "nodes", "lists", "sets", "pairs", "links", "wanted", "close", "components"} <= kept - left
+
+
+def test_narrow_tables_are_stored_in_few_files(spark, table, monkeypatch):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    most, files = max(10, 2 * spark.sparkContext.defaultParallelism), {}
+
+    def counted(df, label, **options):
+        stored = materialize(df, label, **options)
+        files[label] = max(files.get(label, 0), len(stored.inputFiles()))
+        return stored
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 160)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rng = random.Random(5)
+        rows = [(2 * i + j, f"{text}{' end' * j}") for i in range(150) for text in [" ".join(str(rng.random()) for _ in range(40))] for j in (0, 1)]
+        found = {r.id: r.component for r in jaccard_components(table(rows)).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert found == {i: i - i % 2 for i in range(300)}
+    assert {k: n for k, n in files.items() if n > most}.keys() <= {"shingles", "nodes", "lists", "sets"}
