@@ -7,12 +7,12 @@ the size of a model reach the driver. Both are then calibrated on rows held out
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
@@ -36,19 +36,66 @@ SYMBOLS = b"#*$%&|<>!"
 HASHED = 16
 STEM = 6
 FEW = np.array([xxhash.xxh3_64_intdigest(b"few"), xxhash.xxh3_64_intdigest(b"very few")], np.uint64)
+# Bytes of texts whose words are taken together, but for a longer last one.
+MOST_TOGETHER = 2 << 20
 SHOUT = re.compile(rb"[A-Z][A-Z]")
 
 
-def text_view(text: bytes | None) -> set[bytes]:
-    """Distinct words, runs of signs as they stand at words, and stems (with a - behind; a second - if two or more
-    words have the stem)."""
-    joined = b" ".join(set(text.split())) if text else b""
-    words = set(joined.translate(FOLD).split())
-    stems = Counter([word[:STEM] for word in words])
-    several = [stem + b"--" for stem, count in stems.items() if count > 1]
-    if len(words) < 20:  # the absence of words says little here
-        several.append(b"few" if len(words) >= 5 else b"very few")
-    return {*words, *joined.translate(SIGNS).split(), *[stem + b"-" for stem in stems], *several}
+def _hashes(names: pa.Array, behind: bytes = b"") -> np.ndarray:
+    names = [name + behind for name in names.to_numpy(zero_copy_only=False)]
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)).view(np.int64)
+
+
+def _distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending, and how often each stands there. By sorting: the hash table of np.unique takes several times as long."""
+    numbers = np.sort(numbers)
+    starts = np.flatnonzero(np.diff(numbers, prepend=-1))
+    return numbers[starts], np.diff(starts, append=len(numbers))
+
+
+def _runs(joined: bytes, table: bytes, begins: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct runs of the bytes that the table does not make spaces of; places in these, and texts, of each text's distinct
+    runs. begins has the places in joined where texts begin."""
+    folded = joined.translate(table)
+    inside = np.frombuffer(folded, np.uint8) != 32
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    lengths = edges[1::2] - edges[::2]
+    ends = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+    runs = pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(folded.translate(None, b" "))])
+    known = runs.dictionary_encode()
+    text = np.searchsorted(begins, edges[::2], "right") - 1
+    width = max(len(known.dictionary), 1)
+    pairs, _ = _distinct(text * width + known.indices.to_numpy())
+    return known.dictionary, pairs % width, pairs // width
+
+
+def text_views(texts: list[bytes | None]) -> list[np.ndarray]:
+    """Per text, the hashes, ascending, of its distinct words, of its runs of signs as they stand at words, and of its stems (with
+    a - behind; a second - if two or more words have the stem)."""
+    n = len(texts)
+    joined = b" ".join([text or b"" for text in texts])
+    begins = np.r_[0, np.cumsum([len(text or b"") + 1 for text in texts])][:n]
+    known, word, at = _runs(joined, FOLD, begins)
+    stems = pc.binary_slice(known, 0, STEM).dictionary_encode()
+    width = max(len(stems.dictionary), 1)
+    pairs, times = _distinct(at * width + stems.indices.to_numpy()[word])
+    several = pairs[times > 1]
+    signs, sign, sign_at = _runs(joined, SIGNS, begins)
+    parts = [
+        (_hashes(known)[word], at), (_hashes(signs)[sign], sign_at),
+        (_hashes(stems.dictionary, b"-")[pairs % width], pairs // width),
+        (_hashes(stems.dictionary, b"--")[several % width], several // width),
+    ]
+    cuts = [np.searchsorted(rows, np.arange(n + 1)).tolist() for _, rows in parts]
+    found = []
+    for i in range(n):
+        own = [values[cut[i] : cut[i + 1]] for (values, _), cut in zip(parts, cuts)]
+        if len(own[0]) < 20:  # the absence of words says little here
+            own.append(FEW.view(np.int64)[:1] if len(own[0]) >= 5 else FEW.view(np.int64)[1:])
+            found.append(np.unique(np.concatenate(own)))  # few may be one of the words
+        else:
+            found.append(np.sort(np.concatenate(own)))
+    return found
 
 
 def metadata_view(text: bytes | None, lang: str | None, source: str | None) -> list[float]:
@@ -228,10 +275,13 @@ def batch_views(batch: pa.RecordBatch, text: str) -> tuple[list[np.ndarray], np.
     texts = batch.column(text).cast(pa.binary()).to_pylist()
     lang, source = (batch.column(c).to_pylist() if c in batch.schema.names else [None] * len(texts) for c in ("lang", "source"))
     found, dense = [], np.empty((len(texts), 10 + 2 * HASHED))
+    start, size = 0, 0
     for i, value in enumerate(texts):
-        words = text_view(value)
-        found.append(np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)))
         dense[i] = metadata_view(value, lang[i], source[i])
+        size += len(value or b"")
+        if size >= MOST_TOGETHER or i == len(texts) - 1:
+            found += text_views(texts[start : i + 1])
+            start, size = i + 1, 0
     return found, dense
 
 

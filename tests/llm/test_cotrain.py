@@ -1,6 +1,9 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
 from letterlens.llm import cotrain
@@ -101,3 +104,25 @@ def test_lookup_by_leading_bits():
         assert (row == np.flatnonzero(stands)).all() and (names[number] == words[stands]).all()
     for names in (np.empty(0, np.int64), np.array([5])):
         assert [len(x) for x in cotrain._numbers(np.empty(0, np.int64), np.empty(0, np.int64), names)] == [0, 0]
+
+
+def test_views_of_texts_taken_together(monkeypatch):
+    def alone(text):
+        words, signs = set((text or b"").translate(cotrain.FOLD).split()), (text or b"").translate(cotrain.SIGNS).split()
+        stems = Counter(word[: cotrain.STEM] for word in words)
+        names = {*words, *signs, *(stem + b"-" for stem in stems), *(stem + b"--" for stem in stems if stems[stem] > 1)}
+        if len(words) < 20:
+            names.add(b"few" if len(words) >= 5 else b"very few")
+        return sorted(np.array([xxhash.xxh3_64_intdigest(name) for name in names], np.uint64).view(np.int64).tolist())
+
+    rng = random.Random(4)
+    texts = [None, b"", b" ", b"few", b"few of the words here", b"- -- a- a--", b"stemmed stemmer STEMMED", b"caf\xc3\xa9 \x1c\x00a1b !x!"]
+    texts += [bytes(rng.choice(b"aAbBfew-! \n\t#1\xc3\xa9\x00\x1c") for _ in range(rng.randrange(300))) for _ in range(300)]
+    for part in (texts, texts[::-1], texts[:1], []):
+        assert [x.tolist() for x in cotrain.text_views(part)] == [alone(text) for text in part]
+    batch = pa.record_batch({"text": pa.array(texts, pa.binary())})
+    whole, dense = cotrain.batch_views(batch, "text")
+    monkeypatch.setattr(cotrain, "MOST_TOGETHER", 500)
+    parts, again = cotrain.batch_views(batch, "text")
+    assert [x.tolist() for x in whole] == [x.tolist() for x in parts] == [alone(text) for text in texts]
+    assert (dense == again).all()
