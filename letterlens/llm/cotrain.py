@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from letterlens.llm.words import slices
-from letterlens.scale import discard, few, gather, materialize
+from letterlens.scale import discard, few, few_dealt, gather, materialize
 
 # Bound of the labelled rows, chosen by hash of the id. Unlabelled rows have none.
 MAX_LABELLED = 8_000
@@ -415,7 +415,7 @@ def word_counts(own: DataFrame, free: DataFrame | None = None, judge=None) -> Da
     counted = own.mapInArrow(count, schema)
     if free is not None:
         counted = counted.unionByName(free.mapInArrow(lambda batches: count(judge(batches)), schema))
-    return materialize(counted.groupBy("word").agg(*(F.sum(name).alias(name) for name in names)), "words")
+    return materialize(few_dealt(counted.groupBy("word").agg(*(F.sum(name).alias(name) for name in names))), "words")
 
 
 def chosen_words(counts: DataFrame, target: str) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from letterlens.llm.graph import connected_components
 from letterlens.llm.lists import complete_lists, pair_batches
 from letterlens.llm.words import WordHashes, shingle_set, slices
-from letterlens.scale import discard, few, materialize
+from letterlens.scale import discard, few, few_dealt, materialize
 
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 14
@@ -143,7 +143,7 @@ def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, key: str, text
     side = lambda name: named.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("parities").alias(f"parities_{name}"))
     differing = F.aggregate(F.zip_with("parities_a", "parities_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     close = (100 + percent) * differing <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
-    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b"), "close")
+    pairs = materialize(few_dealt(pairs.join(side("a"), "a").join(side("b"), "b").where(close).select("a", "b")), "close")
     if pairs.isEmpty():
         return pairs
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -153,7 +153,7 @@ def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, key: str, text
         known, F.col("id").eqNullSafe(F.col("wanted_id")), "left_semi"
     )
     sets = shingle_sets(texts, "id", "text", words).dropDuplicates(["digest"]).join(wanted.select("node", "digest"), "digest")
-    sets = materialize(sets.select("node", "shingles"), "sets")
+    sets = materialize(few_dealt(sets.select("node", "shingles")), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     shared = F.size(F.array_intersect("left", "right"))
@@ -188,7 +188,7 @@ def index_lists(nodes: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(column[wanted]) for column in columns], ["shingle", "place", "node"])
 
     together = entries.repartition("shingle").sortWithinPartitions("shingle")
-    return materialize(together.mapInArrow(several, "shingle long, place long, node long"), "lists")
+    return materialize(few_dealt(together.mapInArrow(several, "shingle long, place long, node long")), "lists")
 
 
 def list_pairs(entries: DataFrame, components: DataFrame, percent: int, round_: int | None = None) -> DataFrame:
@@ -282,7 +282,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = materialize(few(indexed.select("uid", "id", "n", "digest")), "rows")
     names = rows.where("n > 0").groupBy("digest").agg(F.min("uid").alias("node"), F.min("id").alias("id"))
     first = indexed.drop("id", "digest").withColumnRenamed("uid", "node")
-    named = materialize(first.join(names, "node"), "nodes")
+    named = materialize(few_dealt(first.join(names, "node")), "nodes")
     discard(indexed)
     nodes = named.select("node", "n", "leaders", "prefix")
     check = (named, docs, "row_id", "row_text", words, percent)

@@ -1,7 +1,7 @@
 import random
 
 from letterlens import scale
-from letterlens.llm import graph, jaccard
+from letterlens.llm import cotrain, graph, jaccard, running
 from letterlens.llm.jaccard import jaccard_components, one_per_group
 from letterlens.scale import materialize
 
@@ -135,3 +135,39 @@ def test_narrow_tables_are_stored_in_few_files(spark, table, monkeypatch):
             spark.conf.set(k, v)
     assert found == {i: i - i % 2 for i in range(300)}
     assert {k: n for k, n in files.items() if n > most}.keys() <= {"shingles", "nodes", "lists", "sets", "close"}
+
+
+def test_tables_of_wide_shuffles_are_stored_in_few_files(spark, table, monkeypatch):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    most, files = 2 * spark.sparkContext.defaultParallelism, {}
+
+    def counted(df, label, **options):
+        stored = materialize(df, label, **options)
+        files[label] = max(files.get(label, 0), len(stored.inputFiles()))
+        return stored
+
+    for module in (jaccard, cotrain, running):
+        monkeypatch.setattr(module, "materialize", counted)
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.random()) for _ in range(40)) for _ in range(60)]
+    rows = [(2 * i + j, f"{text}{' end' * j}") for i, text in enumerate(texts) for j in (0, 1)]
+    words = spark.createDataFrame([([i, 2000 + i // 2], i % 2, -1) for i in range(2000)], "words array<long>, text_low int, text_toxic int")
+    sums = spark.createDataFrame([(i % 3 // 2, i, 1) for i in range(2000)], "number int, at int, one long")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        components = {r.id: r.component for r in jaccard_components(table(rows)).collect()}
+        counts = {r.word: r.seen_low for r in cotrain.word_counts(words).collect()}
+        before = {(r.number, r["at"]): r.before for r in running.totals_before(sums, "number", ["at"], "one", "before").collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert components == {i: i - i % 2 for i in range(120)}
+    assert counts == {None: 2000, **{i: 1 + (i >= 2000) for i in range(3000)}}
+    at = {0: 0, 1: 0}
+    for i in range(2000):
+        number = i % 3 // 2
+        assert before[number, i] == at[number]
+        at[number] += 1
+    assert {"nodes", "lists", "sets", "close", "words", "slices"} <= files.keys()
+    assert {k: n for k, n in files.items() if n > most}.keys() <= {"shingles"}
