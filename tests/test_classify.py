@@ -206,3 +206,23 @@ def test_batches_go_on_after_a_break(spark, tmp_path):
     again = {int(p.name.split("-")[1]) for p in asked.glob("False-*")}
     done = {r.msg_index for r in made} - again
     assert 17 in again and all((asked / f"True-{n}").exists() for n in done)
+
+
+def test_keyword_candidates_bear_their_prompt(spark, tmp_path):
+    """The digest is that of the whole message to the scorer: it follows the text of the document, as far as it is sent."""
+    from hashlib import sha256
+
+    from workloads.stores import extract_classify
+
+    texts = {1: "Call 5551 now.", 2: "Call 5552 now.", 3: "no keyword", 4: "  Call 5554 now, " + "é" * 5000, 5: "Reply 5555, long enough.\n> On Monday you wrote 777\nmore"}
+    docs = spark.createDataFrame([(i, text, "en", "src") for i, text in texts.items()], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    replies = {i: text for i, text in texts.items() if i != 3} | {4: texts[4].strip()[:4000], 5: "Reply 5555, long enough."}
+    sent = {
+        i: "Is this about work?\n\nEMAIL TO ANALYZE:\nFrom: Účastník <src@docs.example.com>\n"
+        f"Date: {day}, 0{i + 1} Jan 2024 00:00:00 +0100\nSubject: Dokument {i}\n\n{replies[i]}\n\nRespond with JSON only:\n"
+        '{"is_match": true/false, "confidence": 0.95, "reasoning": "brief explanation"}'
+        for i, day in {1: "Tue", 2: "Wed", 4: "Fri", 5: "Sat"}.items()
+    }
+    found = extract_classify(spark, str(tmp_path))
+    assert {r.doc_id: r.prompt_digest for r in found.collect()} == {i: sha256(message.encode()).hexdigest() for i, message in sent.items()}
