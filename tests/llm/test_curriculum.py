@@ -106,3 +106,28 @@ def test_even_schedule_shows_the_mix_at_any_time(spark, table):
 def test_empty_table(spark, table):
     assert mix(table([])).count() == 0
     assert repeated(table([])).count() == 0
+
+
+def test_positions_follow_the_words_that_are_shown(spark, table):
+    """A source that shows a part of its documents, or a part once more, shows them over the whole time, as its schedule says."""
+    rows = [(i, "word " * (i * 7 % 90 + 1), f"s{i % 6}") for i in range(1800)]
+    rows += [(None, "no id", "s0"), (7, "twice two", "s0"), (7, "twice two", "s0"), (9000, None, "s0"), (9001, "alone " * 50, "s6"), (9002, " ", "s7"), (9003, "null source", None)]
+    mixed = mix(table(rows)).collect()
+    numbers = {name: i for i, name in enumerate(["s0", "s1", "s2", "s3", "s4", "s5", "s6", "s7", None])}
+    assert {r.source for r in mixed if r.source_size and r.target % r.source_size > 0} >= {"s0", "s1", "s2", "s3", "s4", "s5"}
+
+    def share(knots, time):
+        done = total = 0.0
+        for (t0, v0), (t1, v1) in zip(knots, knots[1:]):
+            total += (t1 - t0) * (v0 + v1) / 2
+            x = min(max(time - t0, 0.0), t1 - t0)
+            done += v0 * x + (v1 - v0) / (t1 - t0) * x * x / 2
+        return done / total
+
+    for name, number in numbers.items():
+        copies = sorted((p, r.size) for r in mixed if r.source == name for p in r.positions)
+        taken, done = sum(size for _, size in copies), 0
+        assert taken == sum(r.taken for r in mixed if r.source == name)
+        for position, size in copies:
+            assert share(SCHEDULES[number % 3], position) == pytest.approx((done + size / 2) / taken, abs=1e-6)
+            done += size
