@@ -132,18 +132,20 @@ final AS (
   FROM d)
 """
 SPACES = "chr(9) || chr(10) || chr(13) || ' ' || chr(160)"
-
-SQL = {
-    "classify_candidates": f"""
-WITH s AS (SELECT d.*, 'Is this about work?' AS criteria,
+SENT = f"""WITH s AS (SELECT d.*, 'Is this about work?' AS criteria,
     strftime(TIMESTAMP '2024-01-01' + to_days((d.doc_id % 3650)::INTEGER), '%a, %d %b %Y %H:%M:%S') || ' +0100' AS sent,
     CASE WHEN length(trim(text, {SPACES})) < 20 THEN text ELSE trim(text, {SPACES}) END AS reply
   FROM documents d)
-SELECT doc_id AS msg_index, sha256(criteria || chr(10) || chr(10) || 'EMAIL TO ANALYZE:' || chr(10)
+"""
+PROMPT_DIGEST = """sha256(criteria || chr(10) || chr(10) || 'EMAIL TO ANALYZE:' || chr(10)
   || 'From: Účastník <' || source || '@docs.example.com>' || chr(10) || 'Date: ' || sent || chr(10)
   || 'Subject: Dokument ' || doc_id || chr(10) || chr(10) || substring(reply, 1, 4000) || chr(10) || chr(10)
   || 'Respond with JSON only:' || chr(10)
-  || '{{"is_match": true/false, "confidence": 0.95, "reasoning": "brief explanation"}}') AS prompt_digest
+  || '{"is_match": true/false, "confidence": 0.95, "reasoning": "brief explanation"}')"""
+
+SQL = {
+    "classify_candidates": f"""
+{SENT}SELECT doc_id AS msg_index, {PROMPT_DIGEST} AS prompt_digest
 FROM s""",
     "classify_log": RECORDED + """
 SELECT 'd' || doc_id || '.eml' AS filename, label AS llm_decision, round(confidence, 4) AS confidence, reasoning,
